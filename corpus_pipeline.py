@@ -47,9 +47,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = ngram_jaccard_join(docs)
     gone = groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
-    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    key = F.when(F.coalesce(worded, F.lit(False)), F.col("doc_id").cast("string")).otherwise(F.uuid())
-    return rest.withColumn("key_", key).dropDuplicates(["key_"]).select(COLUMNS)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull(), F.lit(False))
+    return rest.where(worded).dropDuplicates(["doc_id"]).unionByName(rest.where(~worded)).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", token_stage),
 ]
 
-#: Trees of tokens and a threshold from hashed n-gram counts are beyond SQL; tests compare with brute force.
+#: SQL cannot express the hashed scores of the first stage; the tests compare with brute force.
 ORACLE_SQL = None
 
 
