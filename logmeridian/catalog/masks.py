@@ -10,8 +10,6 @@ because every other group loop recurses and a stack overflow in a task takes its
 host name bound is three times what DNS allows.
 """
 
-MAX_SIGNATURE_CHARS = 16 * 1024
-
 MASKS = (
     (
         "TIMESTAMP_ISO8601",

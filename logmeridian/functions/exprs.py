@@ -67,4 +67,4 @@ def utc_text(column: Column) -> Column:
 def decimal_text(column: Column, digits: int = 3) -> Column:
     """Invariant decimal text with at most ``digits`` fraction digits and no trailing zeros."""
     fixed = F.round(column, digits).cast(f"decimal(38,{digits})").cast("string")
-    return F.regexp_replace(fixed, r"\.?0+$", "")
+    return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_, or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmeridian.catalog.masks import MASKS, MAX_SIGNATURE_CHARS
+from logmeridian.catalog.masks import MASKS
+from logmeridian.functions.exprs import let
 
 Mask = tuple[str, str, Sequence[Sequence[tuple[str, int]]]]
 
@@ -26,31 +26,39 @@ def masks_with(extra: Sequence[tuple[str, str]] = ()) -> tuple[Mask, ...]:
     return tuple((name, regex, ()) for name, regex in extra) + MASKS
 
 
-def with_masked(df: DataFrame, body: str = "body", into: str = "signature_text", masks=MASKS) -> DataFrame:
-    """Add the masked text.
+def masked(body: Column, masks: Sequence[Mask] = MASKS, max_chars: int | None = None) -> Column:
+    """The masked text of ``body``; with ``max_chars`` longer bodies get the empty text.
 
-    One projection per mask: each reads its predecessor several times, so the optimizer keeps them
-    apart (no re-evaluation) while whole-stage codegen still fuses them into one loop.
+    Every step binds its predecessor once (:func:`let`), so the expression grows with the number of
+    masks and not with its power, wherever the optimizer moves it.
     """
-    df = df.withColumn(
-        into, F.when(F.length(body) <= MAX_SIGNATURE_CHARS, F.col(body)).otherwise(F.lit(""))
-    )
+
+    def step(name: str, regex: str, quick: Sequence[Sequence[tuple[str, int]]]) -> Callable[[Column], Column]:
+        def replace(text: Column) -> Column:
+            replaced = F.regexp_replace(text, F.lit("(?U)" + regex), F.lit(f"<{name}>"))
+            if not quick:
+                return replaced
+            possible = reduce(or_, (reduce(and_, (_holds(text, *need) for need in needs)) for needs in quick))
+            return F.when(possible, replaced).otherwise(text)
+
+        return replace
+
+    text = body if max_chars is None else F.when(F.length(body) <= max_chars, body).otherwise(F.lit(""))
     for name, regex, quick in masks:
-        text = F.col(into)
-        replaced = F.regexp_replace(text, F.lit("(?U)" + regex), F.lit(f"<{name}>"))
-        if quick:
-            possible = reduce(
-                or_, (reduce(and_, (_holds(text, *need) for need in needs)) for needs in quick)
-            )
-            replaced = F.when(possible, replaced).otherwise(text)
-        df = df.withColumn(into, replaced)
-    return df
-
-
-def hash_of(masked: Column) -> Column:
+        text = let(text, step(name, regex, quick))
+    return text
+
+
+def hash_of(text: Column) -> Column:
     """64-bit signature; 0 is kept for "no signature", so a real 0 becomes 1."""
-    digest = F.xxhash64(masked)
-    return F.when(masked == "", F.lit(0).cast("bigint")).when(digest == 0, F.lit(1).cast("bigint")).otherwise(digest)
+
+    def hashed(t: Column) -> Column:
+        return let(
+            F.xxhash64(t),
+            lambda d: F.when(t == "", F.lit(0).cast("bigint")).when(d == 0, F.lit(1).cast("bigint")).otherwise(d),
+        )
+
+    return let(text, hashed)
 
 
 def with_signature(
@@ -59,8 +67,9 @@ def with_signature(
     text: str = "signature_text",
     hash_column: str = "signature_hash",
     masks=MASKS,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    return with_masked(df, body, text, masks).withColumn(hash_column, hash_of(F.col(text)))
+    return df.withColumn(text, masked(F.col(body), masks, max_chars)).withColumn(hash_column, hash_of(F.col(text)))
 
 
 def unsigned_text(column: Column) -> Column:
@@ -70,17 +79,3 @@ def unsigned_text(column: Column) -> Column:
         .cast("decimal(20,0)")
         .cast("string")
     )
-
-
-@F.pandas_udf("bigint")
-def seed_zero_hash(masked: pd.Series) -> pd.Series:
-    """XXH64 with seed 0, for comparing with signatures other systems computed."""
-    import xxhash
-
-    def one(text: str | None) -> int:
-        if not text:
-            return 0
-        value = xxhash.xxh64_intdigest(text.encode("utf-8"), seed=0) or 1
-        return value - 2**64 if value >= 2**63 else value
-
-    return masked.map(one, na_action=None).astype("int64")

@@ -114,19 +114,16 @@ def volume_deviation(
     )
 
 
-def with_sample_bodies(
-    top: DataFrame, events: DataFrame, window: CorrelationWindow, scope: AccessScope, max_rows: int
-) -> DataFrame:
+def with_sample_bodies(top: DataFrame, events: DataFrame, window: CorrelationWindow, scope: AccessScope) -> DataFrame:
     """Add ``sample_body``: the earliest message (ties by id) of each signature in ``top``.
 
-    ``top`` is cut to ``max_rows`` first, so its broadcast has a fixed bound; only the rows sitting at
-    a signature's first instant survive the join, and only those carry text.
+    Only the rows sitting at a signature's first instant survive the join, and only those carry text.
     """
-    wanted = top.limit(max_rows).select("signature_hash", F.col("first_seen_at").alias("ts"))
+    wanted = top.select("signature_hash", F.col("first_seen_at").alias("ts"))
     samples = (
         window_rows(events, window, scope)
         .select("signature_hash", "ts", "event_id", "body")
-        .join(F.broadcast(wanted), ["signature_hash", "ts"])
+        .join(wanted, ["signature_hash", "ts"])
         .groupBy("signature_hash")
         .agg(F.min_by("body", "event_id").alias("sample_body"))
     )
@@ -180,7 +177,7 @@ def top_per_field(counts: DataFrame, limit: int = 50) -> DataFrame:
     order = Window.partitionBy("field").orderBy(F.col("window_count").desc(), F.col("value"))
     return (
         counts.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= max(1, min(limit, 100)))
+        .filter(F.col("rank") <= limit)
         .drop("rank")
     )
 
@@ -304,13 +301,14 @@ def baseline_sweep(
     lengths: Sequence[timedelta],
     scope: AccessScope,
     gap: timedelta = timedelta(0),
+    reach: timedelta = timedelta(hours=1),
     signature: str | Sequence[str] = "signature_hash",
 ) -> DataFrame:
     """How many window signatures look new under each candidate baseline length.
 
     One scan and one grouping: per signature its presence in the window and its last instant before
     the baseline end. A signature is new under a length when that instant is older than the length.
-    A length whose far end (at most one hour) holds no signed event is reported as too long for the
+    A length whose far end (``reach`` long) holds no signed event is reported as too long for the
     archive and gets no count.
     """
     from logmeridian.windows import to_instant
@@ -324,7 +322,7 @@ def baseline_sweep(
     )
     in_window, before = between("ts", start, end), F.col("ts") < instant(base_end)
     probes = [
-        F.max(between("ts", s, s + min(length, timedelta(hours=1)))).alias(f"reach_{i}")
+        F.max(between("ts", s, s + min(length, reach))).alias(f"reach_{i}")
         for i, (s, length) in enumerate(zip(starts, lengths))
     ]
     per_signature = rows.groupBy(*keys).agg(

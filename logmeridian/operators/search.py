@@ -13,8 +13,6 @@ from logmeridian.operators.correlate import source_activity
 from logmeridian.scope import AccessScope, in_scope, out_of_scope
 from logmeridian.windows import ChangeQuery, EventCursor, EventQuery, Instant, between, to_instant
 
-MAX_HISTOGRAM_BUCKETS = 720
-
 
 @dataclass(frozen=True)
 class Page:
@@ -60,10 +58,19 @@ def count_events_out_of_scope(events: DataFrame, query: EventQuery, scope: Acces
     return events.filter(hidden).agg(F.count(F.lit(1)).alias("event_count"))
 
 
-def bucket_seconds(start: Instant, end: Instant, requested: int) -> int:
-    """The requested width, widened so that the range never needs more than 720 buckets."""
-    span = (to_instant(end) - to_instant(start)).total_seconds()
-    return max(requested, 1, math.ceil(span / MAX_HISTOGRAM_BUCKETS))
+def bucket_seconds(start: Instant, end: Instant, requested: int, max_buckets: int | None = None) -> int:
+    """The requested width; with ``max_buckets`` widened until the epoch-aligned range needs no more."""
+    width = max(requested, 1)
+    if max_buckets is not None:
+        first, last = (_epoch(t) for t in (start, end))
+        width = max(width, math.ceil((last - first) / max_buckets))
+        while math.ceil(last / width) - first // width > max_buckets:
+            width += 1
+    return width
+
+
+def _epoch(value: Instant) -> float:
+    return (to_instant(value) - to_instant("1970-01-01")).total_seconds()
 
 
 def bucket_start(ts: Column, seconds: int) -> Column:
@@ -78,9 +85,10 @@ def histogram(
     scope: AccessScope,
     requested_seconds: int,
     by_source: bool = False,
+    max_buckets: int | None = None,
 ) -> DataFrame:
     """Counts per fixed bucket, per source if asked."""
-    width = bucket_seconds(query.start, query.end, requested_seconds)
+    width = bucket_seconds(query.start, query.end, requested_seconds, max_buckets)
     keys = [bucket_start(F.col("ts"), width).alias("bucket_start")]
     keys.append(F.col("source_id") if by_source else F.lit("").alias("source_id"))
     return (
@@ -89,7 +97,7 @@ def histogram(
 
 
 def bucket_grid(events: DataFrame, start: Instant, end: Instant, seconds: int) -> DataFrame:
-    """Every bucket of a range, at most 720 of them when the width came from :func:`bucket_seconds`."""
+    """Every epoch-aligned bucket of a range."""
     first = int((to_instant(start) - to_instant("1970-01-01")).total_seconds())
     last = (to_instant(end) - to_instant("1970-01-01")).total_seconds()
     first -= first % seconds
@@ -111,17 +119,36 @@ def dense_series(
     )
 
 
-def ratio_series(dense: DataFrame) -> DataFrame:
+def ratio_series(dense: DataFrame, seconds: int) -> DataFrame:
     """Each bucket over the one before it (at least 1); the first bucket has no predecessor and goes.
 
-    The window has no partition key on purpose: a dense series holds at most 720 rows.
+    Buckets have a fixed width, so the predecessor is found by an equi join and no row order is needed.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("bucket_start")
+    shift = F.expr(f"bucket_start + make_dt_interval(0, 0, 0, {seconds})")
+    before = dense.select(shift.alias("bucket_start"), F.col("event_count").alias("previous"))
+    return dense.join(before, "bucket_start").select(
+        "bucket_start", "event_count", (F.col("event_count") / F.greatest(F.col("previous"), F.lit(1))).alias("ratio")
+    )
+
+
+def source_gaps(events: DataFrame, query: EventQuery, scope: AccessScope, seconds: int) -> DataFrame:
+    """Lengths of the silent stretches of each source between its occupied buckets, ends included."""
+    width = F.lit(seconds)
+    bucket = F.unix_seconds(F.col("ts").cast("timestamp"))
+    occupied = (
+        events.filter(matching(events, query, scope))
+        .select("owner_group", "source_id", (bucket - F.pmod(bucket, width)).alias("at"))
+        .distinct()
+    )
+    first, last = int(_epoch(query.start)) // seconds * seconds, math.ceil(_epoch(query.end) / seconds) * seconds
+    by = Window.partitionBy("owner_group", "source_id").orderBy("at")
+    previous = F.coalesce(F.lag("at").over(by) + width, F.lit(first))
+    inner = occupied.select("owner_group", "source_id", previous.alias("gap_from"), F.col("at").alias("gap_to"))
+    tail = occupied.groupBy("owner_group", "source_id").agg((F.max("at") + width).alias("gap_from")).withColumn("gap_to", F.lit(last))
     return (
-        dense.withColumn("previous", F.lag("event_count").over(order))
-        .filter(F.col("previous").isNotNull())
-        .withColumn("ratio", F.col("event_count") / F.greatest(F.col("previous"), F.lit(1)))
-        .select("bucket_start", "event_count", "ratio")
+        inner.unionByName(tail)
+        .filter(F.col("gap_to") > F.col("gap_from"))
+        .select("owner_group", "source_id", "gap_from", "gap_to", (F.col("gap_to") - F.col("gap_from")).alias("gap_seconds"))
     )
 
 
@@ -140,7 +167,8 @@ def change_criteria(query: ChangeQuery) -> Column:
 def search_changes(changes: DataFrame, query: ChangeQuery, scope: AccessScope) -> DataFrame:
     """Newest first."""
     visible = changes.filter(change_criteria(query) & in_scope(scope, query.owner_groups))
-    return visible.orderBy(F.col("ts").desc(), F.col("change_id").desc()).limit(max(1, query.limit))
+    ordered = visible.orderBy(F.col("ts").desc(), F.col("change_id").desc())
+    return ordered if query.limit is None else ordered.limit(query.limit)
 
 
 def count_changes_out_of_scope(changes: DataFrame, query: ChangeQuery, scope: AccessScope) -> DataFrame:
@@ -159,7 +187,6 @@ def search_sources(inventory: DataFrame, scope: AccessScope) -> DataFrame:
 
 
 __all__ = [
-    "MAX_HISTOGRAM_BUCKETS",
     "Page",
     "activity",
     "bucket_grid",
@@ -174,6 +201,7 @@ __all__ = [
     "page",
     "page_order",
     "ratio_series",
+    "source_gaps",
     "search_changes",
     "search_criteria",
     "search_events",

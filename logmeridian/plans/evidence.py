@@ -18,13 +18,12 @@ from logmeridian.functions import scores
 from logmeridian.functions.exprs import decimal_text, ellipsis, text_map, utc_text
 from logmeridian.functions.signature import unsigned_text
 from logmeridian.operators import correlate
-from logmeridian.operators.search import change_criteria
+from logmeridian.operators.search import change_criteria, count_events_out_of_scope
 from logmeridian.schemas import LIFT_FIELDS
 from logmeridian.scope import AccessScope, in_scope, out_of_scope
 from logmeridian.session import cut_lineage
 from logmeridian.windows import ChangeQuery, CorrelationWindow, EventQuery, instant
 
-DEFAULT_BUDGET = 400
 CHANGE_LEAD = timedelta(minutes=30)
 EVER_PROBE = timedelta(days=365)
 EVIDENCE_KINDS = ("log", "change", "metric", "trace", "topology")
@@ -52,7 +51,8 @@ class Inputs:
     changes: DataFrame
     window: CorrelationWindow
     scope: AccessScope
-    budget: int = DEFAULT_BUDGET
+    #: Findings kept per provider; all of them if not given.
+    budget: int | None = None
     min_z: float = 3.0
     min_count: int = 5
     min_lift: float = 2.0
@@ -99,13 +99,11 @@ class Report:
     failures: dict[str, str] = field(default_factory=dict)
 
 
-def _top(df: DataFrame, budget: int, *order: Column) -> DataFrame:
-    """The best ``budget + 1`` rows with their position; the extra row only tells that more exist."""
-    return (
-        df.orderBy(*order)
-        .limit(budget + 1)
-        .withColumn("order_in_slice", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
-    )
+def _top(df: DataFrame, budget: int | None, *order: Column) -> DataFrame:
+    """Rows with their position; with a budget the best ``budget + 1``, the extra row telling that more exist."""
+    if budget is not None:
+        df = df.orderBy(*order).limit(budget + 1)
+    return df.withColumn("order_in_slice", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
 
 
 def _findings(
@@ -126,7 +124,7 @@ def _findings(
 def _first_seen(x: Inputs) -> Slice:
     new = correlate.first_seen(x.events, x.window, x.scope, x.signature_keys)
     top = _top(new, x.budget, F.col("event_count").desc(), x.signature_label)
-    top = correlate.with_sample_bodies(top, x.events, x.window, x.scope, x.budget + 1)
+    top = correlate.with_sample_bodies(top, x.events, x.window, x.scope)
     summary = F.concat(
         F.lit("first seen · "),
         F.col("source_count"),
@@ -158,7 +156,7 @@ def _first_seen(x: Inputs) -> Slice:
 def _volume(x: Inputs) -> Slice:
     high = correlate.volume_deviation(x.events, x.window, x.scope, x.min_z, x.min_count, x.signature_keys)
     top = _top(high, x.budget, F.col("z_score").desc(), x.signature_label)
-    top = correlate.with_sample_bodies(top, x.events, x.window, x.scope, x.budget + 1)
+    top = correlate.with_sample_bodies(top, x.events, x.window, x.scope)
     summary = F.concat(
         F.lit("volume "),
         F.col("window_count"),
@@ -344,9 +342,7 @@ def _parse_problems(x: Inputs) -> Slice:
         name: F.col(name) for name in ("owner_group", "source_id", "host", "parser_id", "parse_status", "time_source")
     }
     payload["signature_hash"] = unsigned_text(F.col("signature_hash"))
-    hidden = x.events.filter(
-        (F.col("ts") >= instant(query.start)) & (F.col("ts") < instant(query.end)) & out_of_scope(x.scope)
-    ).agg(F.count(F.lit(1)).alias("n"))
+    hidden = count_events_out_of_scope(x.events, query, x.scope)
     return Slice(
         _findings(
             top,
@@ -383,8 +379,8 @@ def _status_rows(x: Inputs, provider: Provider, part: Slice) -> DataFrame:
         F.when(F.col("found") > 0, "gathered").when(fed, "empty").otherwise("never_fed").alias("status"),
         F.lit("").alias("detail"),
         F.coalesce(hidden, F.lit(0)).cast("bigint").alias("out_of_scope_count"),
-        (F.col("found") > x.budget).alias("truncated"),
-        F.least(F.col("found"), F.lit(x.budget)).cast("bigint").alias("items"),
+        (F.col("found") > x.budget if x.budget is not None else F.lit(False)).alias("truncated"),
+        (F.least(F.col("found"), F.lit(x.budget)) if x.budget is not None else F.col("found")).cast("bigint").alias("items"),
     )
 
 
@@ -417,7 +413,7 @@ def gather(x: Inputs, providers: Sequence[Provider] = PROVIDERS, materialize: bo
             failures[provider.id] = str(error)
             static.append((provider.id, provider.kind, "failed", str(error), 0, False, 0))
             continue
-        findings.append(part.findings.filter(F.col("order_in_slice") < x.budget))
+        findings.append(part.findings if x.budget is None else part.findings.filter(F.col("order_in_slice") < x.budget))
         slices.append(status)
     covered = {p.kind for p in providers}
     for kind in EVIDENCE_KINDS:

@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-EVENT_SCHEMA = _ddl(
+EVENT_SCHEMA = (
     """
     event_id STRING, ts TIMESTAMP, ingested_at TIMESTAMP, time_source STRING, owner_group STRING,
     source_id STRING, host STRING, vendor STRING, product STRING, parser_id STRING,
@@ -21,7 +14,7 @@ EVENT_SCHEMA = _ddl(
     """
 )
 
-CHANGE_SCHEMA = _ddl(
+CHANGE_SCHEMA = (
     """
     ts TIMESTAMP, change_id STRING, owner_group STRING, target_kind STRING, target_id STRING,
     change_kind STRING, actor STRING, summary STRING, details MAP<STRING,STRING>, source STRING,
@@ -29,44 +22,6 @@ CHANGE_SCHEMA = _ddl(
     """
 )
 
-RAW_SCHEMA = _ddl(
-    """
-    event_id STRING, received_at TIMESTAMP, observed_at TIMESTAMP, source_key STRING,
-    source_id STRING, owner_group STRING, transport STRUCT<proto: STRING, peer: STRING>,
-    encoding_declared STRING, severity_number INT, attrs MAP<STRING,STRING>, raw_b64 STRING
-    """
-)
-
-SOURCE_SCHEMA = _ddl(
-    """
-    source_id STRING, peer_address STRING, hostname STRING, owner_group STRING, vendor STRING,
-    product STRING, parser_id STRING, encoding STRING, source_class STRING, enabled BOOLEAN,
-    created_at TIMESTAMP, updated_at TIMESTAMP
-    """
-)
-
-MANIFEST_SCHEMA = _ddl(
-    """
-    object_key STRING, owner_group STRING, sha256 STRING, byte_size BIGINT, event_count INT,
-    wal_segment STRING, ts_from TIMESTAMP, ts_to TIMESTAMP, uploaded_at TIMESTAMP,
-    verified_at TIMESTAMP, last_scrubbed_at TIMESTAMP, state STRING, recovery_attempts INT
-    """
-)
-
-FINDING_SCHEMA = _ddl(
-    """
-    item_id STRING, provider_id STRING, kind STRING, ts TIMESTAMP, weight DOUBLE, summary STRING,
-    payload MAP<STRING,STRING>, order_in_slice INT
-    """
-)
-
-SLICE_SCHEMA = _ddl(
-    """
-    provider_id STRING, kind STRING, status STRING, detail STRING, out_of_scope_count BIGINT,
-    truncated BOOLEAN, items BIGINT
-    """
-)
-
 #: How "this column carries a value" is tested; columns without an entry are always filled.
 FIELD_KINDS = {
     "source_id": "text",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from logmeridian.functions.exprs import TEXT_MAP
 from logmeridian.functions.signature import with_signature
-from logmeridian.schemas import EVENT_SCHEMA
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,11 +83,6 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return with_signature(event_columns(spark, folder))
 
 
-def stored_shape(df: DataFrame) -> DataFrame:
-    """Exactly the canonical columns, in order and with the canonical types."""
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields])
-
-
 def changes(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as a change feed spread over January 2024."""
     key = F.col("o_orderkey")

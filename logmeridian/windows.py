@@ -102,9 +102,6 @@ class EventCursor:
     event_id: str
 
 
-MAX_PAGE_ROWS = 10_000
-
-
 @dataclass(frozen=True)
 class EventQuery:
     start: Instant
@@ -120,7 +117,9 @@ class EventQuery:
 
     @property
     def page_rows(self) -> int:
-        return max(1, min(self.limit, MAX_PAGE_ROWS))
+        if self.limit < 1:
+            raise ValueError(f"a page needs at least one row, not {self.limit}")
+        return self.limit
 
 
 @dataclass(frozen=True)
@@ -130,4 +129,4 @@ class ChangeQuery:
     owner_groups: tuple[str, ...] = ()
     target_ids: tuple[str, ...] = ()
     change_kinds: tuple[str, ...] = ()
-    limit: int = 100
+    limit: int | None = None
