@@ -246,7 +246,7 @@ def _subsets(boundary: int, percent: int):
                         keys = np.full(len(picked), size, np.uint64)
                         for j in range(size):
                             keys = W.mix(keys + picked[:, j])
-                        rows.append(pd.DataFrame({"key": keys.view(np.int64), "cls": cls, "n": n, "rank": -1}))
+                        rows.append(pd.DataFrame({"key": keys.view(np.int64), "cls": cls, "n": n, "rank": -1, "own": 1 - len(ordered) / n}))
             if rows:
                 yield pd.concat(rows)
 
@@ -287,50 +287,64 @@ def _possible(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs of ``(x, cx, y, cy)``, as edges between their components."""
     side = lambda s: sets.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"i{s}"))
     overlap = F.size(F.array_intersect("ix", "iy"))
     return (
         pairs.join(side("x"), "x")
         .join(side("y"), "y")
         .where(overlap * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
-        .select("x", "y")
+        .select("cx", "cy")
+        .distinct()
     )
 
 
-def _ordered_pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("a.cls", "b.cls").alias("x"), F.greatest("a.cls", "b.cls").alias("y")).distinct()
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Each pair once, smaller class first, with the component of either side."""
+    first, second = F.struct("a.cls", "a.comp"), F.struct("b.cls", "b.comp")
+    return rows.select(F.least(first, second).alias("p"), F.greatest(first, second).alias("q")).distinct().select(
+        F.col("p.cls").alias("x"), F.col("p.comp").alias("cx"), F.col("q.cls").alias("y"), F.col("q.comp").alias("cy")
+    )
+
 
+def _components(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(cls, comp)`` of every class in ``blocks``.
 
-def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect every linked pair of classes, though not each of them directly."""
-    spark, links = blocks.sparkSession, None
+    The first pivot of a list is the set with the least share of shingles of its own: of a text and its
+    edited copies that is the text, which links with more of them than they do with each other. Later
+    pivots come from the largest component of the list. Components found are contracted, so each round
+    adds edges between components only.
+    """
     labelled = blocks.withColumn("comp", F.col("cls"))
     for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            pivot = labelled.groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "rank", "comp")).alias("p")
-            ).select("key", "p.cls", "p.n", "p.rank", "p.comp")
+        if turn == 0:
+            order = F.struct("own", F.xxhash64("cls").alias("o"), "cls", "n", "rank", "comp")
+            pivot = labelled.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.cls", "p.n", "p.rank", "p.comp")
             rows = labelled.alias("a").join(pivot.alias("b"), "key").where(F.col("a.comp") != F.col("b.comp"))
         else:
-            parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-            top = parts.groupBy("key").agg(
-                F.max(F.struct("c", "comp")).alias("t"), F.count(F.lit(1)).alias("parts")
-            ).where("parts > 1").select("key", F.col("t.comp").alias("top"))
+            order = F.struct(F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "rank")
+            parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("p"))
+            top = (
+                parts.groupBy("key").agg(F.max(F.struct("c", "comp", "p")).alias("t"), F.count(F.lit(1)).alias("parts"))
+                .where("parts > 1").select("key", F.col("t.comp").alias("top"), F.col("t.p").alias("p"))
+            )
             mixed = labelled.join(top, "key")
-            rows = mixed.where("comp <> top").alias("a").join(mixed.alias("b"), "key").where(
-                (F.col("a.comp") != F.col("b.comp"))
-                & ((F.col("b.comp") == F.col("b.top")) | (F.col("a.cls") < F.col("b.cls")))
-            )
-        found = stash(_verified(_ordered_pairs(rows.where(_possible(percent))), sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, "x", "y")
-        if turn < PIVOT_ROUNDS:
-            labelled = stash(
-                blocks.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-                .select("key", "cls", "n", "rank", F.coalesce("root", "cls").alias("comp")),
-                "labelled",
-            )
-    return labels
+            if turn < PIVOT_ROUNDS:
+                pivot = top.select("key", "p.cls", "p.n", "p.rank", F.col("top").alias("comp"))
+                rows = labelled.alias("a").join(pivot.alias("b"), "key").where(F.col("a.comp") != F.col("b.comp"))
+            else:
+                rows = mixed.where("comp <> top").alias("a").join(mixed.alias("b"), "key").where(
+                    (F.col("a.comp") != F.col("b.comp"))
+                    & ((F.col("b.comp") == F.col("b.top")) | (F.col("a.cls") < F.col("b.cls")))
+                )
+        edges = _verified(_pairs(rows.where(_possible(percent))), sets, percent)
+        roots = components(edges, "cx", "cy")
+        labelled = stash(
+            labelled.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
+            .select("key", "cls", "n", "rank", "own", F.coalesce("root", "comp").alias("comp")),
+            "labelled",
+        )
+    return labelled.select("cls", "comp").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -358,15 +372,15 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
     )
     lists = sets.select(
         "cls", "n", (F.col("n") - F.size("items")).alias("before"), F.posexplode(F.slice("items", F.lit(1), _prefix_length(percent))).alias("at", "key")
-    ).select("key", "cls", "n", (F.col("before") + F.col("at")).alias("rank"))
+    ).select("key", "cls", "n", (F.col("before") + F.col("at")).alias("rank"), (F.col("before") / F.col("n")).alias("own"))
     boundary = _light_boundary(sets, lists, percent)
-    light = sets.where(F.col("n") <= boundary).mapInPandas(_subsets(boundary, percent), "key long, cls long, n int, rank int")
+    light = sets.where(F.col("n") <= boundary).mapInPandas(_subsets(boundary, percent), "key long, cls long, n int, rank int, own double")
     keys = lists.where(F.col("n") * 100 >= (boundary + 1) * percent).unionByName(light)
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     blocks = stash(keys.join(several, "key", "left_semi"), "blocks")
-    labels = _links(blocks, sets, percent)
+    labels = _components(blocks, sets, percent)
     classes = described.where("n > 0").groupBy("cls").agg(F.min("id").alias("class_id"))
-    named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = classes.join(labels, "cls", "left").withColumn("root", F.coalesce("comp", "cls"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "root").select("cls", "class_id", "component_id")
     return described.join(named.withColumn("n_", F.lit(1)), (described["cls"] == named["cls"]) & (described["n"] > 0), "left").select(
