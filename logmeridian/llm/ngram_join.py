@@ -5,9 +5,10 @@ is exact and runs in these steps.
 
 1. Documents with equal sets form a class; only classes are joined from here on.
 2. One shuffle of all shingle hashes, cut into key ranges and packed into byte columns, finds each
-   shingle's document frequency. A shingle of one class can link nothing and goes no further. A
-   shingle that is frequent within one batch of a task is counted there and sent as one weighted
-   mark, while its postings travel apart, dealt by hash, so no task receives a hot shingle whole.
+   shingle's document frequency. A shingle of one class can link nothing and goes no further. For a
+   shingle that is frequent within one batch of a task only a mark is sent to its range, while its
+   postings travel apart, dealt by hash, so no task receives a hot shingle whole; a mark puts the
+   shingle last in the order of all batches alike.
 3. Light sets (small ones) enumerate all their subsets of the size that a link requires; two light
    sets that link have one in common. Heavy sets are entered in, and scan, inverted lists of their
    rarest shingles: a set of n needs n - ceil(0.75 n) + 1 of them to meet every partner. The size
@@ -37,7 +38,9 @@ from logmeridian.llm.storage import arrow_ready, shuffle_width, stash
 BATCH_SHINGLES = 1_200_000
 """Shingles gathered in a task before they are sorted and sent."""
 LOCALLY_HOT = 64
-"""Classes of one batch that share a shingle, from which on it is counted in place."""
+"""Classes of one batch that share a shingle, from which on it is marked as frequent."""
+FREQUENT = 1 << 40
+"""Stands for the frequency of a marked shingle: such shingles come last in the common order."""
 LIGHT_LIMIT = 14
 """Largest size considered for subset enumeration; the cost picks the boundary at or below it."""
 PIVOT_ROUNDS = 2
@@ -104,11 +107,9 @@ def _send(k: int, ranges: int):
         for r in np.flatnonzero(np.diff(cuts)):
             add(PLAIN, int(r), plain[cuts[r] : cuts[r + 1]], whose[cuts[r] : cuts[r + 1]])
         marked = keys[heads][counts >= LOCALLY_HOT]
-        weights = counts[counts >= LOCALLY_HOT]
         cuts = np.concatenate([[0], np.searchsorted(marked, edges), [len(marked)]])
         for r in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[r], cuts[r + 1])
-            rows.append((int(r), MARK, _planes(marked[part]), b"", b"", weights[part].astype("<i4").tobytes()))
+            rows.append((int(r), MARK, _planes(marked[cuts[r] : cuts[r + 1]]), b"", b"", b""))
         if len(marked):
             lot = (own[hot] % 16).astype(np.int64)
             deal = int(cls[0]) % ranges
@@ -161,10 +162,7 @@ def _meet(group: pa.Table) -> pa.Table:
     rows = group.select(["kind", "keys", "idx", "cls", "size"]).to_pylist()
     keys, cls, size = _open([r for r in rows if r["kind"] == PLAIN])
     marks = [r for r in rows if r["kind"] == MARK]
-    marked = np.concatenate([_unplanes(r["keys"]) for r in marks]) if marks else np.empty(0, np.uint64)
-    weight = np.concatenate([np.frombuffer(r["size"], "<i4") for r in marks]).astype(np.int64) if marks else np.empty(0, np.int64)
-    marked, back = np.unique(marked, return_inverse=True)
-    weight = np.bincount(back, weights=weight, minlength=len(marked)).astype(np.int64)
+    marked = np.unique(np.concatenate([_unplanes(r["keys"]) for r in marks])) if marks else np.empty(0, np.uint64)
     order = np.argsort(keys, kind="stable")
     keys, cls, size = keys[order], cls[order], size[order]
     same = keys[1:] == keys[:-1]
@@ -182,19 +180,18 @@ def _meet(group: pa.Table) -> pa.Table:
     df = counts.astype(np.int64)
     if len(marked):
         at = np.minimum(np.searchsorted(marked, found), len(marked) - 1)
-        df = df + np.where(marked[at] == found, weight[at], 0)
-        plain = dict(zip(found.tolist(), counts.tolist(), strict=True))
-        weight = weight + np.array([plain.get(m, 0) for m in marked.tolist()], np.int64)
+        df[marked[at] == found] = FREQUENT
     df = np.repeat(df, counts)
     real = df > 1
-    out_keys, out_cls, out_size, out_df = [keys[real], marked], [cls[real]], [size[real]], [df[real], weight]
     hot = _open([r for r in rows if r["kind"] == HOT])
-    out_keys.append(hot[0])
-    out_df.append(np.zeros(len(hot[0]), np.int64))
-    names = pa.chunked_array([pa.array(out_cls[0]), pa.nulls(len(marked), pa.int64()), pa.array(hot[1])], pa.int64())
-    sizes = pa.chunked_array([pa.array(out_size[0], pa.int32()), pa.nulls(len(marked), pa.int32()), pa.array(hot[2], pa.int32())], pa.int32())
     return pa.Table.from_arrays(
-        [names, sizes, pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_df))], schema=_SHARED
+        [
+            pa.array(np.concatenate([cls[real], hot[1]])),
+            pa.array(np.concatenate([size[real], hot[2]]), pa.int32()),
+            pa.array(np.concatenate([keys[real], hot[0]]).view(np.int64)),
+            pa.array(np.concatenate([df[real], np.full(len(hot[0]), FREQUENT)])),
+        ],
+        schema=_SHARED,
     )
 
 
@@ -362,12 +359,8 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
     described = stash(docs.mapInArrow(_describe(k), "id long, n long, cls long"), "described")
     sent = docs.select("text").mapInArrow(_send(k, ranges), "range int, kind byte, keys binary, idx binary, cls binary, size binary")
     shared = stash(sent.groupBy("range").applyInArrow(_meet, "cls long, n int, h long, df long"), "shared")
-    marks = shared.where("cls is null").select("h", F.col("df").alias("hot_df"))
-    known = shared.where("cls is not null and df > 0").unionByName(
-        shared.where("cls is not null and df = 0").join(marks, "h").select("cls", "n", "h", F.col("hot_df").alias("df"))
-    )
     sets = stash(
-        known.groupBy(F.pmod("cls", F.lit(ranges)).alias("lot")).applyInArrow(_gather(percent), "cls long, n int, items array<long>"),
+        shared.groupBy(F.pmod("cls", F.lit(ranges)).alias("lot")).applyInArrow(_gather(percent), "cls long, n int, items array<long>"),
         "sets",
     )
     lists = sets.select(
