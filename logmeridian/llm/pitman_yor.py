@@ -35,7 +35,9 @@ CLASSES = 1 << 12
 SWEEPS, BURN_IN = 4, 2
 EXACT = 64
 STRENGTH = 1.0
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
+RANGES_PER_PARTITION = 3
+"""Blocks for each shuffle partition; a task holds one block at a time."""
 SEED = 20_24
 
 _CLASS_MASK = np.uint64(CLASSES - 1)
@@ -276,18 +278,17 @@ def _new_root_table(model: Model, totals: Totals) -> float:
 
 
 def _summed(blocks: DataFrame, run, columns: tuple[str, ...]) -> dict[tuple[str, int], float]:
-    """Sums over all blocks of named vectors of fixed length; zero entries are not sent."""
+    """Sums over all blocks of named vectors of fixed length, added up in each task; zeros are not sent."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                names, at, value = [], [], []
                 for name, vector in run(row).items():
-                    full = np.flatnonzero(vector)
-                    names += [name] * len(full)
-                    at.append(full)
-                    value.append(vector[full].astype(np.float64))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(at)), pa.array(np.concatenate(value))], names=["name", "at", "value"])
+                    total[name] = total[name] + vector if name in total else vector.astype(np.float64)
+        for name, vector in total.items():
+            full = np.flatnonzero(vector)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full), pa.array(vector[full])], names=["name", "at", "value"])
 
     with one_row_batches(blocks.sparkSession):
         rows = blocks.select("range", *columns).mapInArrow(each, "name string, at long, value double").groupBy("name", "at").agg(F.sum("value").alias("value")).collect()
@@ -389,7 +390,7 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     """
     spark = docs.sparkSession
     arrow_ready(spark)
-    ranges = shuffle_width(spark)
+    ranges = RANGES_PER_PARTITION * shuffle_width(spark)
     texts = docs.select(
         F.col(text_column).cast("string").alias("text"),
         F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"),
