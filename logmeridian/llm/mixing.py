@@ -45,9 +45,10 @@ def repetition_rates(docs: DataFrame, source_column: str = "source", weights: Ma
         weighted = counts.withColumn("w", F.coalesce(F.element_at(given, F.col("source_key")), F.lit(0.0)))
     else:
         weighted = counts.withColumn("w", F.lit(0.0))
-    totals = weighted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    rate = F.when(F.col("w") > 0, F.lit(rows) if rows is not None else F.col("all_n")) * F.col("w") / F.col("all_w") / F.col("n")
-    rated = weighted.join(F.broadcast(totals)).select("source_key", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    totals = weighted.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    aim, all_weights = float(rows if rows is not None else totals["n"] or 0), float(totals["w"] or 1)
+    rate = F.when(F.col("w") > 0, F.lit(aim) * F.col("w") / F.lit(all_weights) / F.col("n"))
+    rated = weighted.select("source_key", F.coalesce(rate, F.lit(0.0)).alias("rate"))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
     start = F.struct((-F.col("rate")).alias("l"), F.exp(-F.col("rate")).alias("c"), F.array(F.exp(-F.col("rate"))).alias("a"))
 
