@@ -2,7 +2,7 @@
 
 A line that stands on many sites is boilerplate. Lines on fewer rows than the threshold cannot spread
 that far and are left out by an exact count; for the rest, HyperLogLog sketches of the sites per line
-hash are merged by aggregation. Where the estimate is near the threshold, the sites are counted
+hash are made in salted parts and merged by aggregation. Where the estimate is near the threshold, the sites are counted
 exactly, so the result is that of exact counting unless a sketch errs by more than ``MARGIN``. A text
 that consists mostly of such lines is a copy of other texts rather than a page with boilerplate: it
 stays whole, for a near-duplicate step to judge.
@@ -19,6 +19,8 @@ SITES = 10
 SKETCH_BITS = 10
 MARGIN = 0.2
 """Six standard errors of a sketch of 2^10 registers."""
+SALTS = 16
+"""Tasks that the rows of one line are dealt over; each makes a sketch of its own part."""
 MOST = 0.5
 """Share of a text's characters in boilerplate lines from which on the text stays whole."""
 
@@ -33,16 +35,20 @@ def _lines(docs: DataFrame, key: Column, site: str, text: str) -> DataFrame:
 
 def widespread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """Hashes of lines that stand on at least ``sites`` distinct sites; a null site is none."""
-    often = lines.where("site is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("h")
-    seen = lines.where("site is not null").join(often, "h", "left_semi").select("h", "site")
+    seen = lines.where("site is not null").select("h", "site", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).alias("salt"))
+    often = (
+        seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites)
+        .select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    )
+    parts = seen.join(often, ["h", "salt"], "left_semi").groupBy("h", "salt").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
     spread = stash(
-        seen.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("estimate"))
+        parts.groupBy("h").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
         .where(F.col("estimate") >= sites * (1 - MARGIN)),
         "spread",
     )
     clear = spread.where(F.col("estimate") > sites * (1 + MARGIN)).select("h")
     near = spread.where(F.col("estimate") <= sites * (1 + MARGIN)).select("h")
-    counted = seen.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites)
+    counted = seen.join(near, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites)
     return stash(clear.unionByName(counted.select("h")), "widespread")
 
 
