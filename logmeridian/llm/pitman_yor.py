@@ -1,16 +1,17 @@
 """Language-model scoring with a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
 Tokens are lower-cased words and one end per text. The model has two levels of Chinese restaurants: one
-restaurant for each class of preceding words, all of them sharing the root restaurant as parent, whose
-own base is uniform over the vocabulary and one unknown word. Preceding words are hashed into
-``CLASSES`` classes, so the totals of all restaurants have a fixed size and reach every task.
+restaurant for each preceding word, told by its 64-bit hash, all of them sharing the root restaurant as
+parent, whose own base is uniform over the vocabulary and one unknown word.
 
-One shuffle brings all tokens together by word: per batch of texts each (word, class) travels once, with
+One shuffle brings all tokens together by word: per batch of texts each (word, preceding word) travels once, with
 the texts that have it, packed into byte columns. A word that makes up more than a part of all tokens
-is dealt over the tasks by class as well; its totals are added up like those of the restaurants. The
-merged blocks are written once. Every sweep then reads the counts only, seats all customers of a
-(word, class) anew given the others, sums the tables into the parent, seats the parent, and reports its
-totals, a few thousand numbers. A block's seating is a function of its counts and of the totals of
+is dealt over the tasks by preceding word as well; its totals are added up on the driver. The
+merged blocks are written once. The totals of the restaurants are a second table, in groups by the hash of the preceding
+word: a block sends each group one row with its tables per restaurant, the group adds up the rows of all blocks and answers
+each block with the totals of the restaurants it has, so a frequent restaurant counts once per block. Every sweep reads the
+counts and these answers, seats all customers of a (word, preceding word) anew given the others, sums the tables into the
+parent, seats the parent, and reports the totals of the root. A block's seating is a function of its counts and of the totals of
 earlier sweeps (the random numbers come from a seed by block and sweep), so nothing else is kept and
 a lost executor changes nothing. Scores average the predictive probabilities of the last sweeps.
 
@@ -21,7 +22,7 @@ with binomial draws; up to that number customers are seated one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,16 @@ from logmeridian.llm import words as W
 from logmeridian.llm.storage import arrow_ready, one_row_batches, shuffle_width, stash, table
 
 CLASSES = 1 << 12
+"""A key holds the word and the low 12 bits of the hash of the preceding word; ``rest`` holds the other 52."""
+_CLASS_BITS = np.uint64(12)
 SWEEPS, BURN_IN = 4, 2
 EXACT = 64
 STRENGTH = 1.0
 BATCH_TOKENS = 1_000_000
 RANGES_PER_PARTITION = 3
 """Blocks for each shuffle partition; a task holds one block at a time."""
+PARTITIONS_PER_GROUP = 4
+"""Shuffle partitions for each group of restaurants."""
 SEED = 20_24
 
 _CLASS_MASK = np.uint64(CLASSES - 1)
@@ -45,8 +50,8 @@ _START = np.uint64(0x5EED_0000_0001)
 _END = W.mix(np.array([0xE0D_0F_7E47], np.uint64))[0]
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``word | class`` keys of all tokens in order, and the text of each; every text ends with an end."""
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all tokens in order, the rest of the preceding word's hash, and the text; every text ends with an end."""
     data = W.lower(data)
     found = W.find_words(data, offs)
     hashes = W.slice_hashes(data, found.starts, found.ends)
@@ -54,7 +59,8 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     words = np.insert(hashes, found.bounds[1:], _END)
     before = np.insert(hashes, found.bounds[:-1], _START)
     # ``before`` has the start of each text first and its last word last: the token's predecessor.
-    return (words & ~_CLASS_MASK) | (W.mix(before) & _CLASS_MASK), np.repeat(np.arange(len(n)), n + 1)
+    before = W.mix(before)
+    return (words & ~_CLASS_MASK) | (before & _CLASS_MASK), before >> _CLASS_BITS, np.repeat(np.arange(len(n)), n + 1)
 
 
 def _word(keys: np.ndarray) -> np.ndarray:
@@ -85,57 +91,62 @@ def frequent_words(texts: DataFrame, ranges: int) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in rows if not r["all"] and r["n"] * 4 * ranges >= total], np.int64).view(np.uint64))
 
 
-_SENT = "range int, base long, keys binary, runs binary, idx binary, times binary, docs binary, ids binary, held binary"
+_SENT = "range int, base long, keys binary, rest binary, runs binary, idx binary, times binary, docs binary, ids binary, held binary"
 
 
 def _send(ranges: int, hot: np.ndarray):
     width = (1 << 64) // ranges + 1
     edges = np.array([i * width for i in range(1, ranges)], np.uint64)
 
-    def flush(base: int, keys: np.ndarray, doc: np.ndarray, ids: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+    def flush(base: int, keys: np.ndarray, rest: np.ndarray, doc: np.ndarray, ids: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
         frequent = np.isin(_word(keys), hot)
         lot = np.searchsorted(edges, keys, "right")
-        lot[frequent] = ranges + (W.mix(keys[frequent]) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((keys, lot))
-        keys, doc, lot = keys[order], doc[order], lot[order]
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
+        lot[frequent] = ranges + (W.mix(keys[frequent] ^ W.mix(rest[frequent])) % np.uint64(ranges)).astype(np.int64)
+        order = np.lexsort((rest, keys, lot))
+        keys, rest, doc, lot = keys[order], rest[order], doc[order], lot[order]
+        fresh = np.concatenate([[True], _changes(keys, rest) | (doc[1:] != doc[:-1])])
         at = np.flatnonzero(fresh)
         times = np.diff(np.append(at, len(keys)))
-        keys, doc, lot = keys[at], doc[at], lot[at]
+        keys, rest, doc, lot = keys[at], rest[at], doc[at], lot[at]
         cuts = np.concatenate([[0], np.flatnonzero(lot[1:] != lot[:-1]) + 1, [len(lot)]])
         rows = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            heads = np.flatnonzero(np.concatenate([[True], keys[a + 1 : b] != keys[a : b - 1]]))
+            heads = np.flatnonzero(np.concatenate([[True], _changes(keys[a:b], rest[a:b])]))
             present, idx = np.unique(doc[a:b], return_inverse=True)
             rows.append((
-                int(lot[a]), base, _planes(keys[a:b][heads]), np.diff(np.append(heads, b - a)).astype("<i4").tobytes(), idx.astype("<u2").tobytes(),
+                int(lot[a]), base, _planes(keys[a:b][heads]), _planes(rest[a:b][heads]), np.diff(np.append(heads, b - a)).astype("<i4").tobytes(), idx.astype("<u2").tobytes(),
                 times[a:b].astype("<i4").tobytes(), present.astype("<u2").tobytes(), ids[present].tobytes(), held[present].tobytes(),
             ))
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
-        names = ["range", "base", "keys", "runs", "idx", "times", "docs", "ids", "held"]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
+        names = ["range", "base", "keys", "rest", "runs", "idx", "times", "docs", "ids", "held"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, keys, docs, ids, held, size, count = TaskContext.get().partitionId() << 36, [], [], [], [], 0, 0
+        base, keys, rests, docs, ids, held, size, count = TaskContext.get().partitionId() << 36, [], [], [], [], [], 0, 0
         for batch in batches:
             for first, last, data, offs in W.pieces(batch.column(0)):
-                key, doc = _tokens(data, offs)
+                key, rest, doc = _tokens(data, offs)
                 keys.append(key)
+                rests.append(rest)
                 docs.append(doc + count)
                 ids.append(batch.column(1).slice(first, last - first).to_numpy(zero_copy_only=False).astype(np.int64))
                 held.append(batch.column(2).slice(first, last - first).to_numpy(zero_copy_only=False).astype(np.uint8))
                 size, count = size + len(key), count + last - first
                 if size >= BATCH_TOKENS or count >= 60_000:
-                    yield flush(base, *map(np.concatenate, (keys, docs, ids, held)))
-                    base, keys, docs, ids, held, size, count = base + count, [], [], [], [], 0, 0
+                    yield flush(base, *map(np.concatenate, (keys, rests, docs, ids, held)))
+                    base, keys, rests, docs, ids, held, size, count = base + count, [], [], [], [], [], 0, 0
         if count:
-            yield flush(base, *map(np.concatenate, (keys, docs, ids, held)))
+            yield flush(base, *map(np.concatenate, (keys, rests, docs, ids, held)))
 
     return run
 
 
+def _changes(keys: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return (keys[1:] != keys[:-1]) | (rest[1:] != rest[:-1])
+
+
 def _planes(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
@@ -144,37 +155,39 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-_BLOCK = "range int, keys binary, count binary, runs binary, doc binary, times binary, uid binary, ids binary, held binary"
+_BLOCK = "range int, keys binary, rest binary, count binary, runs binary, doc binary, times binary, uid binary, ids binary, held binary"
 
 
 def _merge(group: pa.Table) -> pa.Table:
     """One block per range: sorted keys with training counts, and the texts that have each."""
-    keys, docs, times, uid, ids, held = [], [], [], [], [], []
+    keys, rest, docs, times, uid, ids, held = [], [], [], [], [], [], []
     rows = group.sort_by([("base", "ascending")]).to_pylist()
     for row in rows:
         present = np.frombuffer(row["docs"], "<u2")
-        keys.append(np.repeat(_unplanes(row["keys"]), np.frombuffer(row["runs"], "<i4")))
+        runs = np.frombuffer(row["runs"], "<i4")
+        keys.append(np.repeat(_unplanes(row["keys"]), runs))
+        rest.append(np.repeat(_unplanes(row["rest"]), runs))
         docs.append(np.frombuffer(row["idx"], "<u2").astype(np.int64) + sum(map(len, uid)))
         times.append(np.frombuffer(row["times"], "<i4"))
         uid.append(row["base"] + present.astype(np.int64))
         ids.append(np.frombuffer(row["ids"], "<i8"))
         held.append(np.frombuffer(row["held"], np.uint8))
-    keys, docs, times, uid, ids, held = map(np.concatenate, (keys, docs, times, uid, ids, held))
-    order = np.argsort(keys, kind="stable")
-    keys, docs, times = keys[order], docs[order], times[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, rest, docs, times, uid, ids, held = map(np.concatenate, (keys, rest, docs, times, uid, ids, held))
+    order = np.lexsort((rest, keys))
+    keys, rest, docs, times = keys[order], rest[order], docs[order], times[order]
+    heads = np.flatnonzero(np.concatenate([[True], _changes(keys, rest)]))
     count = np.add.reduceat(np.where(held[docs] == 1, 0, times).astype(np.int64), heads)
-    blobs = [_planes(keys[heads]), count.astype("<i8").tobytes(), np.diff(np.append(heads, len(keys))).astype("<i4").tobytes(), docs.astype("<i4").tobytes(), times.astype("<i4").tobytes(), uid.tobytes(), ids.tobytes(), held.tobytes()]
-    names = ["range", "keys", "count", "runs", "doc", "times", "uid", "ids", "held"]
+    blobs = [_planes(keys[heads]), _planes(rest[heads]), count.astype("<i8").tobytes(), np.diff(np.append(heads, len(keys))).astype("<i4").tobytes(), docs.astype("<i4").tobytes(), times.astype("<i4").tobytes(), uid.tobytes(), ids.tobytes(), held.tobytes()]
+    names = ["range", "keys", "rest", "count", "runs", "doc", "times", "uid", "ids", "held"]
     return pa.Table.from_arrays([pa.array([rows[0]["range"]], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], names=names)
 
 
 @dataclass
 class Totals:
-    """What the whole corpus adds up to after a sweep; fixed size for a fixed number of ranges."""
+    """What the whole corpus adds up to after a sweep; the restaurants are only those of one block, empty on the driver."""
 
     customers: np.ndarray
-    """Training tokens per class."""
+    """Training tokens per preceding word."""
     tables: np.ndarray
     root_customers: float
     root_tables: float
@@ -219,7 +232,10 @@ class Block:
         heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, np.int64)
         self.words = words[heads]
         self.of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(words))))
-        self.cls = (self.keys & _CLASS_MASK).astype(np.int64)
+        if row.get("rest") is None:
+            self.contexts, self.cls = np.arange(CLASSES, dtype=np.uint64), (self.keys & _CLASS_MASK).astype(np.int64)
+        else:
+            self.contexts, self.cls = np.unique((_unplanes(row["rest"]) << _CLASS_BITS) | (self.keys & _CLASS_MASK), return_inverse=True)
         self.is_hot = np.isin(self.words, model.hot)
         self.hot_at = np.searchsorted(model.hot, self.words[self.is_hot])
         self.word_count = self._by_word(self.count)
@@ -230,6 +246,9 @@ class Block:
     def _by_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, weights=values, minlength=len(self.words)) if len(self.of) else np.zeros(len(self.words))
 
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cls, weights=values, minlength=len(self.contexts))
+
     def _random(self, sweep: int, level: int) -> np.random.Generator:
         return np.random.Generator(np.random.PCG64([SEED, sweep, level, self.range]))
 
@@ -261,7 +280,7 @@ class Block:
         hot = np.zeros(len(self.model.hot))
         np.add.at(hot, self.hot_at, self.root_customers[self.is_hot])
         return {
-            "tables": np.bincount(self.cls, weights=self.tables, minlength=CLASSES),
+            "tables": self.by_context(self.tables),
             "root": np.array([self.tables.sum(), self.root_tables[cold].sum()]),
             "hot": hot,
         }
@@ -303,8 +322,75 @@ def _vector(sums: dict, name: str, size: int) -> np.ndarray:
     return out
 
 
-def fit(blocks: DataFrame, hot: np.ndarray) -> Model:
-    """Counts, discounts from the numbers of pairs seen once and twice, and ``SWEEPS`` sweeps."""
+_MESSAGE = "at int, peer int, values binary, more binary"
+"""To a group: the numbers of a block ``peer`` for the restaurants they share, in order of the hash. To a block: the totals of
+those restaurants, one array for customers and one for tables after each sweep. With ``peer`` -1: what a group keeps. With
+``at`` -1: sums of the root."""
+
+
+def _messages(at: list, peer: list, values: list, more: list) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(at, pa.int32()), pa.array(peer, pa.int32()), pa.array(values, pa.binary()), pa.array(more, pa.binary())], names=["at", "peer", "values", "more"])
+
+
+def _shares(contexts: np.ndarray, groups: int) -> list[tuple[int, int, int]]:
+    """``(group, first, last)`` of the sorted hashes; groups have none in common."""
+    width = (1 << 64) // groups + 1
+    cuts = [0, *np.searchsorted(contexts, np.array([i * width for i in range(1, groups)], np.uint64)).tolist(), len(contexts)]
+    return [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def _ask(groups: int, model: Model):
+    """A block tells each group its restaurants, with their customers and first tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row, model)
+                numbers = np.stack([block.by_context(block.count), block.by_context(block.tables)]).astype("<i8")
+                shares = _shares(block.contexts, groups)
+                at, values, more = [g for g, _, _ in shares], [_planes(block.contexts[a:b]) for _, a, b in shares], [numbers[:, a:b].tobytes() for _, a, b in shares]
+                yield from _messages(at, [row["range"]] * len(at), values, more).to_batches()
+
+    return run
+
+
+def _answer(group: int, peers: list[int], sizes: list[int], index: np.ndarray, history: np.ndarray) -> pa.Table:
+    cuts = np.cumsum([0, *sizes])
+    replies = [history[:, index[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return _messages([group, *peers], [-1] + [group] * len(peers), [index.astype("<i4").tobytes(), *replies], [history.tobytes()] + [None] * len(peers))
+
+
+def _number(rows: pa.Table) -> pa.Table:
+    """Each distinct restaurant of a group gets a number; its customers and first tables are added up."""
+    rows = rows.sort_by("peer").to_pylist()
+    asked = [_unplanes(r["values"]) for r in rows]
+    contexts, index = np.unique(np.concatenate(asked), return_inverse=True)
+    numbers = np.concatenate([np.frombuffer(r["more"], "<i8").reshape(2, -1) for r in rows], axis=1)
+    history = np.stack([np.bincount(index, weights=n, minlength=len(contexts)) for n in numbers]).astype("<i8")
+    return _answer(rows[0]["at"], [r["peer"] for r in rows], [len(a) for a in asked], index, history)
+
+
+def _add(rows: pa.Table) -> pa.Table:
+    """The tables of a sweep are added up; ``-1`` sorts what the group keeps to the front."""
+    kept, *rows = rows.sort_by("peer").to_pylist()
+    index = np.frombuffer(kept["values"], "<i4")
+    history = np.frombuffer(kept["more"], "<i8")
+    tables = [np.frombuffer(r["values"], "<i4") for r in rows]
+    n = int(index.max()) + 1
+    now = np.bincount(index, weights=np.concatenate(tables), minlength=n).astype("<i8")
+    return _answer(kept["at"], [r["peer"] for r in rows], [len(t) for t in tables], index, np.concatenate([history, now]).reshape(-1, n))
+
+
+def _seated(row: dict, model: Model, answers: pa.Table) -> Block:
+    """A block that knows the totals of its restaurants after each sweep."""
+    totals = [np.frombuffer(r["values"], "<i8").reshape(len(model.history) + 1, -1) for r in answers.sort_by("peer").to_pylist()]
+    customers, *tables = np.concatenate(totals, axis=1).astype(np.float64)
+    return Block(row, replace(model, history=[replace(h, customers=customers, tables=t) for h, t in zip(model.history, tables, strict=True)]))
+
+
+def fit(blocks: DataFrame, hot: np.ndarray) -> tuple[Model, DataFrame]:
+    """Counts, discounts from the numbers of pairs seen once and twice, and ``SWEEPS`` sweeps; the totals of the restaurants
+    as a table."""
 
     def count(row: dict) -> dict[str, np.ndarray]:
         keys, counts = _unplanes(row["keys"]), np.frombuffer(row["count"], "<i8")
@@ -317,67 +403,86 @@ def fit(blocks: DataFrame, hot: np.ndarray) -> Model:
         np.add.at(of_hot, np.searchsorted(hot, words[heads][frequent]), by_word[frequent])
         dishes = np.zeros(len(hot))
         np.add.at(dishes, np.searchsorted(hot, words[heads][frequent]), contexts[frequent])
-        cls = (keys & _CLASS_MASK).astype(np.int64)
         return {
-            "customers": np.bincount(cls, weights=counts, minlength=CLASSES),
-            "tables": np.bincount(cls, weights=counts > 0, minlength=CLASSES),
             "hot": of_hot,
             "hot_root": dishes,
-            "known": np.array([(by_word[~frequent] > 0).sum(), (counts == 1).sum(), (counts == 2).sum(), (contexts[~frequent] == 1).sum(), (contexts[~frequent] == 2).sum()]),
-        }
+            "known": np.array([
+                (by_word[~frequent] > 0).sum(), (counts == 1).sum(), (counts == 2).sum(), (contexts[~frequent] == 1).sum(), (contexts[~frequent] == 2).sum(),
+                counts.sum(), (counts > 0).sum(),
+            ]),
+        }
 
     sums = _summed(blocks, count, ("keys", "count"))
-    known, hot_counts = _vector(sums, "known", 5), _vector(sums, "hot", len(hot))
-    customers, tables, hot_root = _vector(sums, "customers", CLASSES), _vector(sums, "tables", CLASSES), _vector(sums, "hot_root", len(hot))
+    known, hot_counts, hot_root = _vector(sums, "known", 7), _vector(sums, "hot", len(hot)), _vector(sums, "hot_root", len(hot))
     discount = lambda once, twice: float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
-    vocabulary = int(known[0] + (hot_counts > 0).sum())
-    first = Totals(customers, tables, tables.sum(), float(vocabulary), hot_root, np.minimum(hot_root, 1))
-    model = Model(hot, hot_counts, int(customers.sum()), vocabulary, discount(known[1], known[2]), discount(known[3], known[4]), [first])
+    vocabulary, none = int(known[0] + (hot_counts > 0).sum()), np.empty(0)
+    first = Totals(none, none, known[6], float(vocabulary), hot_root, np.minimum(hot_root, 1))
+    model = Model(hot, hot_counts, int(known[5]), vocabulary, discount(known[1], known[2]), discount(known[3], known[4]), [first])
+    counted = blocks.select("range", "keys", "rest", "count")
+    groups = max(1, shuffle_width(blocks.sparkSession) // PARTITIONS_PER_GROUP)
+    with one_row_batches(blocks.sparkSession):
+        asked = stash(counted.mapInArrow(_ask(groups, model), _MESSAGE), "asked")
+    totals = stash(asked.groupBy("at").applyInArrow(_number, _MESSAGE), "totals")
     for sweep in range(1, SWEEPS + 1):
 
-        def turn(row: dict, sweep: int = sweep) -> dict[str, np.ndarray]:
-            block = Block(row, model)
-            for s in range(1, sweep + 1):
+        def turn(group: pa.Table, answers: pa.Table) -> pa.Table:
+            row = group.to_pylist()[0]
+            block = _seated(row, model, answers)
+            for s in range(1, len(model.history) + 1):
                 block.sweep(s)
-            return block.report()
-
-        sums = _summed(blocks, turn, ("keys", "count"))
-        root, hot_customers = _vector(sums, "root", 2), _vector(sums, "hot", len(hot))
+            report, shares = block.report(), _shares(block.contexts, groups)
+            tables, root = report["tables"].astype("<i4"), np.concatenate([report["root"], report["hot"]])
+            full = np.flatnonzero(root)
+            return _messages(
+                [-1, *[g for g, _, _ in shares]], [row["range"]] * (1 + len(shares)),
+                [root[full].tobytes(), *[tables[a:b].tobytes() for _, a, b in shares]], [full.astype("<i8").tobytes()] + [None] * len(shares),
+            )
+
+        def root_sums(row: dict) -> dict[str, np.ndarray]:
+            root = np.zeros(2 + len(hot))
+            root[np.frombuffer(row["more"], "<i8")] = np.frombuffer(row["values"], "<f8")
+            return {"root": root}
+
+        answers = totals.where("peer >= 0").groupBy("at")
+        sent = stash(counted.groupBy("range").cogroup(answers).applyInArrow(turn, _MESSAGE), "sweep")
+        totals = stash(totals.where("peer = -1").unionByName(sent.where("at >= 0")).groupBy("at").applyInArrow(_add, _MESSAGE), "totals")
+        root = _vector(_summed(sent.where("at = -1").withColumnRenamed("peer", "range"), root_sums, ("values", "more")), "root", 2 + len(hot))
         random = np.random.Generator(np.random.PCG64([SEED, sweep, 2]))
-        before = model.history[-1]
+        before, hot_customers = model.history[-1], root[2:]
         hot_tables = _seat(hot_customers.astype(np.int64), np.full(len(hot), _new_root_table(model, before)), model.root_discount, random)
-        model.history.append(Totals(customers, _vector(sums, "tables", CLASSES), root[0], root[1] + hot_tables.sum(), hot_customers, hot_tables))
-    return model
+        # A new model: functions of earlier sweeps keep the history they were made with.
+        model = replace(model, history=[*model.history, Totals(none, none, root[0], root[1] + hot_tables.sum(), hot_customers, hot_tables)])
+    return model, totals
 
 
-def score_blocks(blocks: DataFrame, model: Model) -> DataFrame:
+def score_blocks(blocks: DataFrame, model: Model, totals: DataFrame) -> DataFrame:
     """Per text and block: tokens, known tokens and the two sums of log probabilities."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block, chances = Block(row, model), []
-                for s in range(1, SWEEPS + 1):
-                    block.sweep(s)
-                    if s > BURN_IN:
-                        chances.append(block.probability(model.history[s]))
-                log_p = np.log10(np.mean(chances, axis=0))
-                base = np.log10((block.word_count + 1) / (model.tokens + model.vocabulary + 1))[block.of]
-                known = (block.word_count > 0)[block.of]
-                runs, doc, times = np.frombuffer(row["runs"], "<i4"), np.frombuffer(row["doc"], "<i4"), np.frombuffer(row["times"], "<i4")
-                key = np.repeat(np.arange(len(runs)), runs)
-                uid = np.frombuffer(row["uid"], "<i8")
-                held, n = np.frombuffer(row["held"], np.uint8), len(uid)
-                each = lambda w: np.bincount(doc, weights=w * times, minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(uid), pa.array(np.frombuffer(row["ids"], "<i8")), pa.array(held == 1), pa.array(each(np.ones(len(doc))).astype(np.int64)),
-                        pa.array(each(known[key]).astype(np.int64)), pa.array(each(base[key])), pa.array(each(log_p[key])),
-                    ],
-                    names=["uid", "id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
-
-    return blocks.mapInArrow(run, "uid long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        row = group.to_pylist()[0]
+        block, chances = _seated(row, model, answers), []
+        for s in range(1, SWEEPS + 1):
+            block.sweep(s)
+            if s > BURN_IN:
+                chances.append(block.probability(block.model.history[s]))
+        log_p = np.log10(np.mean(chances, axis=0))
+        base = np.log10((block.word_count + 1) / (model.tokens + model.vocabulary + 1))[block.of]
+        known = (block.word_count > 0)[block.of]
+        runs, doc, times = np.frombuffer(row["runs"], "<i4"), np.frombuffer(row["doc"], "<i4"), np.frombuffer(row["times"], "<i4")
+        key = np.repeat(np.arange(len(runs)), runs)
+        uid = np.frombuffer(row["uid"], "<i8")
+        held, n = np.frombuffer(row["held"], np.uint8), len(uid)
+        each = lambda w: np.bincount(doc, weights=w * times, minlength=n)
+        return pa.Table.from_arrays(
+            [
+                pa.array(uid), pa.array(np.frombuffer(row["ids"], "<i8")), pa.array(held == 1), pa.array(each(np.ones(len(doc))).astype(np.int64)),
+                pa.array(each(known[key]).astype(np.int64)), pa.array(each(base[key])), pa.array(each(log_p[key])),
+            ],
+            names=["uid", "id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    answers = totals.where("peer >= 0").groupBy("at")
+    return blocks.groupBy("range").cogroup(answers).applyInArrow(run, "uid long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -399,15 +504,14 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     hot = frequent_words(texts, ranges)
     merged = texts.mapInArrow(_send(ranges, hot), _SENT).groupBy("range").applyInArrow(_merge, _BLOCK)
     blocks = stash(merged, "tokens")
-    model = fit(blocks, hot)
-    with one_row_batches(spark):
-        parts = stash(
-            score_blocks(blocks, model).groupBy("uid").agg(
-                F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-                F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-            ),
-            "scores",
-        )
+    model, totals = fit(blocks, hot)
+    parts = stash(
+        score_blocks(blocks, model, totals).groupBy("uid").agg(
+            F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+            F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
+        ),
+        "scores",
+    )
     return parts.select(
         F.when(F.col("id") != -(2**63), F.col("id")).alias(id_column),
         "held_out",

@@ -171,6 +171,23 @@ def test_pitman_yor_probabilities_sum_to_one():
         assert p[cls == c].sum() + new * unknown == pytest.approx(1)
 
 
+def test_pitman_yor_contexts_do_not_share_a_restaurant(spark, monkeypatch):
+    """After each of 9,000 words always the same one comes: with restaurants of their own all of it is foreseen."""
+    follow = [f"a{i} b{i}" for i in range(9000)]
+    texts = [" ".join(random.Random(k).sample(follow, len(follow))) for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pitman_yor.score_texts(docs, F.col("doc_id") == 5).collect()}
+    # Half of the tokens are "b" words, near probability 1; the others follow any word, near the unigram.
+    assert out[5]["score"] / out[5]["base_score"] < 0.56
+    seen = []
+    monkeypatch.setattr(pitman_yor, "_shares", lambda contexts, groups, f=pitman_yor._shares: seen.append(contexts) or f(contexts, groups))
+    key, rest, _ = pitman_yor._tokens(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0])]))
+    row = {"range": 0, "keys": pitman_yor._planes(key), "rest": pitman_yor._planes(rest), "count": np.ones(len(key), "<i8").tobytes()}
+    first = pitman_yor.Totals(np.empty(0), np.empty(0), 1.0, 1.0, np.empty(0), np.empty(0))
+    asked = pa.Table.from_batches(pitman_yor._ask(3, pitman_yor.Model(np.empty(0, np.uint64), np.empty(0), 1, 1, 0.7, 0.6, [first]))([pa.RecordBatch.from_pylist([row])]))
+    assert len(seen[0]) == 18_001 and asked.num_rows == 3
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>one</p>", "<p>two é</p>" * 50, "<p>one</p>", None, "", "x" * 200_000, "<p>one</p>"]
     rows = [(i, f"http://a.example/{i} b\r\nX: y", h, "c") for i, h in enumerate(html)] + [(6, None, "<p>one</p>", None), (None, "u", "<p>null id</p>", None)]
