@@ -103,6 +103,22 @@ def test_pii_rows(spark):
     assert out[2]["redacted"] == "mail <EMAIL>, ip <IP> and 999.1.1.1" and out[0]["redacted"] == ""
 
 
+def test_pii_finds_forms_that_the_base_rules_do_not(spark):
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    card = lambda d: next(d + c for c in "0123456789" if pii.luhn(d + c))
+    texts = []
+    for i in range(1200):
+        ip = ".".join(str(rng.randint(1, 255)) for _ in range(4))
+        texts.append(f"mail user{i}@host{i % 9}.org, host {ip} , card {card('4' + number(14))} , phone +{number(rng.randint(9, 12))} , since {number(1)},{number(3)},{number(3)} times.")
+    good = ["mail jane.doe [at] example [dot] org today", "phone (415) 555-2671 , or", "card 4111.1111.1111.1111 , or", "host 10[.]20[.]30[.]40 , or"]
+    bad = ["card 4111.1111.1111.1112 , or", "host 10[.]20[.]30[.]940 , or", "since 2019-03-14 , or"]
+    out = {r["doc_id"]: r for r in pii.find_pii(documents(spark, [*texts, *good, *bad])).collect()}
+    assert all(out[1200 + i]["base_spans"] == "" for i in range(7))
+    assert [out[1200 + i]["redacted"] for i in range(4)] == ["mail <EMAIL> today", "phone <PHONE> , or", "card <CARD> , or", "host <IP> , or"]
+    assert [out[1204 + i]["redacted"] for i in range(3)] == bad
+
+
 def test_boosting_learns_and_does_not_depend_on_row_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
