@@ -277,6 +277,18 @@ def test_line_dedup(spark):
     assert len(out) == len(texts) + 1
 
 
+def test_line_stage_takes_long_boilerplate_out_of_short_pages(spark):
+    import corpus_pipeline
+
+    head = "a header that is much longer than the page under it " * 3
+    texts = [f"{head}\nown line {i}" for i in range(12)] + [head, f"{head}\n \n{head}", f"{head}\nthe last"]
+    rows = [(i, t, "en", f"s{i % 12}", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert [out[i] for i in range(12)] == [(f"own line {i}", len(f"own line {i}")) for i in range(12)]
+    assert [out[i][0] for i in (12, 13, 14)] == [texts[12], texts[13], "the last"]
+
+
 def test_mixing_reaches_the_weights(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 < 2, "big").when(F.col("id") % 300 == 2, None).otherwise("small").alias("source"))
     out = mixing.mix_sources(docs, weights={"big": 1.0, "small": 3.0}, rows=4000)
