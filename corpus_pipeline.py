@@ -39,16 +39,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id.
+    """One document of each group of near duplicates stays: that with the smallest id, a null id being the last.
 
-    Documents without words link with nothing and stay. Of rows that repeat an id with words, one
-    stays; null ids stay.
+    Rows are told apart by id and text. Documents without words link with nothing and stay; of rows with words
+    that repeat both id and text, one stays.
     """
-    groups = ngram_jaccard_join(docs)
-    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull(), F.lit(False))
-    return rest.where(worded).dropDuplicates(["doc_id"]).unionByName(rest.where(~worded)).select(COLUMNS)
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(key.alias("key"), "doc_id", "text")
+    groups = stash(ngram_jaccard_join(keyed, id_column="key").where("n_shingles > 0").select("key", "component_id").distinct(), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = groups.join(keyed.select("key", "doc_id"), "key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.key")
+    gone = groups.join(first, "key", "left_anti").select("key")
+    rest = docs.withColumn("key", key).join(gone, "key", "left_anti")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return rest.where(worded).dropDuplicates(["key"]).unionByName(rest.where(~worded)).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -343,3 +343,14 @@ def test_pipeline_stages(spark, tmp_path):
         assert docs.columns == corpus_pipeline.COLUMNS
     assert {r["doc_id"] for r in docs.collect()} == set(range(40))
     assert set(corpus_pipeline.run(spark, str(tmp_path)).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_near_duplicate_stage_tells_rows_apart_by_id_and_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(4))
+    rows = [(0, a), (1, a + " more"), (1, b), (2, c), (2, d), (2, d), (None, c), (None, b + " more"), (None, a[::-1]), (None, a[::-1]), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert out == collections.Counter([(0, a), (1, b), (2, c), (2, d), (None, a[::-1]), (3, ""), (3, "")])
