@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmeridian.llm import words as W
-from logmeridian.llm.storage import arrow_ready, one_row_batches, shuffle_width, stash, table
+from logmeridian.llm.storage import arrow_ready, few_rows_read, one_row_batches, shuffle_width, stash, table
 
 CLASSES = 1 << 12
 """A key holds the word and the low 12 bits of the hash of the preceding word; ``rest`` holds the other 52."""
@@ -504,14 +504,15 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
     hot = frequent_words(texts, ranges)
     merged = texts.mapInArrow(_send(ranges, hot), _SENT).groupBy("range").applyInArrow(_merge, _BLOCK)
     blocks = stash(merged, "tokens")
-    model, totals = fit(blocks, hot)
-    parts = stash(
-        score_blocks(blocks, model, totals).groupBy("uid").agg(
-            F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-            F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-        ),
-        "scores",
-    )
+    with few_rows_read(spark):
+        model, totals = fit(blocks, hot)
+        parts = stash(
+            score_blocks(blocks, model, totals).groupBy("uid").agg(
+                F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+                F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
+            ),
+            "scores",
+        )
     return parts.select(
         F.when(F.col("id") != -(2**63), F.col("id")).alias(id_column),
         "held_out",

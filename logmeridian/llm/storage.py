@@ -48,6 +48,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def few_rows_read(spark: SparkSession) -> Iterator[None]:
+    """While jobs run inside, Parquet readers hold 4 rows at a time instead of 4,096: for rows of several MB."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def one_row_batches(spark: SparkSession) -> Iterator[None]:
     """While jobs run inside, Python gets one row at a time: for rows that each hold a packed block."""
