@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logmeridian.llm.bpe import op10_byte_bpe
+from logmeridian.llm.coordinate_pruning import OP11_SQL, op11_hard_negatives
 from logmeridian.llm.cross_polytope import op7_cross_polytope
+from logmeridian.llm.dual_tree import OP13_SQL, op13_dual_tree_lloyd
 from logmeridian.llm.kd_sharding import op6_kd_sharding
 from logmeridian.llm.line_dedup import OP8_SQL, op8_line_dedup
 from logmeridian.llm.mixing import OP9_SQL, op9_mixing
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_dual_tree_lloyd": OP13_SQL}
