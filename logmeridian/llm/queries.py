@@ -11,6 +11,7 @@ from logmeridian.llm.coordinate_pruning import OP11_SQL, op11_hard_negatives
 from logmeridian.llm.cross_polytope import op7_cross_polytope
 from logmeridian.llm.dual_tree import OP13_SQL, op13_dual_tree_lloyd
 from logmeridian.llm.kd_sharding import op6_kd_sharding
+from logmeridian.llm.license_scan import OP12_SQL, op12_license_scan
 from logmeridian.llm.line_dedup import OP8_SQL, op8_line_dedup
 from logmeridian.llm.mixing import OP9_SQL, op9_mixing
 from logmeridian.llm.ngram_join import op1_ngram_jaccard_join
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_license_scan": op12_license_scan,
     "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_dual_tree_lloyd": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_license_scan": OP12_SQL, "op13_dual_tree_lloyd": OP13_SQL}
