@@ -50,10 +50,10 @@ class Tree:
 
 
 def grow(points: np.ndarray, leaf: int) -> Tree:
-    """Split runs at the middle of their widest dimension until ``leaf`` points are left in each."""
+    """Split runs at the middle of their widest dimension until at most ``leaf`` points are left in each."""
     n, width = points.shape
     depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
-    size = leaf << depth
+    size = -(-n // (1 << depth)) << depth
     rows = np.minimum(np.arange(size), n - 1)[None]
     real = (np.arange(size) < n)[None]
     for _ in range(depth):
