@@ -7,13 +7,14 @@ associative), which gives the state before every block and, in a second sweep, b
 point. A token starts where the table says so for that state and symbol.
 
 The distinct slices of a piece of text are then merged together, all of them at once, by rounds of
-array operations; a bounded cache keeps the ids of slices seen before. The vocabulary file is opened
+array operations, long ones by a heap each; a bounded cache keeps the ids of slices seen before. The vocabulary file is opened
 by the driver, which hands its tables to the tasks as a broadcast of fixed size.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,8 @@ from logmeridian.llm import words as W
 from logmeridian.llm.storage import arrow_ready, table
 
 CACHED_SLICES = 200_000
+LONG_SLICE = 256
+"""Bytes from which on a slice is merged by a heap of its own."""
 BLOCK = 64
 
 # White space as the pattern's \s takes it (the Unicode property White_Space).
@@ -138,7 +141,7 @@ def token_starts(marks: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """``ranks``: bytes to id; ``keys``/``ids``: mergeable pairs; ``flat``/``cuts``: the bytes of each id."""
+    """``ranks``: bytes to id; ``keys``/``ids`` and ``pairs``: mergeable pairs; ``flat``/``cuts``: the bytes of each id."""
 
     ranks: dict[bytes, int]
     bytes_to_id: np.ndarray
@@ -146,6 +149,7 @@ class Vocabulary:
     ids: np.ndarray
     flat: np.ndarray
     cuts: np.ndarray
+    pairs: dict[int, int]
     late: np.ndarray
     """Ids that are part of a pair of lower rank; such an id is made once per round, at the leftmost place."""
 
@@ -170,7 +174,7 @@ def load_vocabulary(path: str) -> Vocabulary:
         parts.append(names.get(i, b""))
         cuts[i + 1] = cuts[i] + len(parts[-1])
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    return Vocabulary(ranks, single, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), np.frombuffer(b"".join(parts), np.uint8), cuts, late)
+    return Vocabulary(ranks, single, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), np.frombuffer(b"".join(parts), np.uint8), cuts, pairs, late)
 
 
 _NONE = np.iinfo(np.int64).max
@@ -182,7 +186,9 @@ def merge_slices(slices: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     todo = []
     for i, one in enumerate(slices):
         rank = vocabulary.ranks.get(one)
-        if rank is None and one:
+        if rank is None and len(one) > LONG_SLICE:
+            out[i] = merge_long(one, vocabulary)
+        elif rank is None and one:
             todo.append(i)
         else:
             out[i] = b"" if rank is None else rank.to_bytes(4, "little")
@@ -222,6 +228,63 @@ def merge_slices(slices: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     return out
 
 
+def merge_long(one: bytes, vocabulary: Vocabulary) -> bytes:
+    """Ids of one long slice: a heap of pairs by rank and place over a linked list, so n log n steps."""
+    tokens = vocabulary.bytes_to_id[np.frombuffer(one, np.uint8)]
+    pair = (tokens[:-1] << 32) | tokens[1:]
+    at = np.minimum(np.searchsorted(vocabulary.keys, pair), len(vocabulary.keys) - 1)
+    fits = np.flatnonzero(vocabulary.keys[at] == pair)
+    heap = ((vocabulary.ids[at[fits]] << 32) | fits).tolist()
+    heapq.heapify(heap)
+    n, known = len(one), vocabulary.pairs
+    ids, after, before = tokens.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    while heap:
+        top = heapq.heappop(heap)
+        rank, i = top >> 32, top & 0xFFFFFFFF
+        j = after[i]
+        if ids[i] < 0 or j >= n or known.get((ids[i] << 32) | ids[j]) != rank:
+            continue
+        ids[i], ids[j] = rank, -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            fresh = known.get((rank << 32) | ids[k])
+            if fresh is not None:
+                heapq.heappush(heap, (fresh << 32) | i)
+        h = before[i]
+        if h >= 0:
+            fresh = known.get((ids[h] << 32) | rank)
+            if fresh is not None:
+                heapq.heappush(heap, (fresh << 32) | h)
+    return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
+
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each kind of slice, and the kind of every slice; equal hashes count only with equal bytes."""
+    hashes = W.slice_hashes(data, starts, ends)
+    _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+    lanes, cuts = W.slice_lanes(data, starts, ends)
+    size = np.diff(cuts)
+    like = one[back]
+    other = (ends - starts) != (ends - starts)[like]
+    same_size = ~other
+    owner = np.repeat(np.arange(len(starts)), np.where(same_size, size, 0))
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+    differs = lanes[cuts[owner] + place] != lanes[cuts[like[owner]] + place]
+    other[owner[differs]] = True
+    strange = np.flatnonzero(other)
+    if len(strange):
+        raw, kinds = data.tobytes(), {}
+        for i in strange.tolist():
+            kind = kinds.setdefault(raw[starts[i] : ends[i]], len(one) + len(kinds))
+            back[i] = kind
+        first = {}
+        for i in strange.tolist():
+            first.setdefault(int(back[i]), i)
+        one = np.concatenate([one, [first[k] for k in sorted(first)]])
+    return one, back
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.cache = vocabulary, {}
@@ -232,7 +295,7 @@ class Encoder:
         firsts = np.searchsorted(at, offs[:-1][np.diff(offs) > 0])
         starts = at[token_starts(symbols(points, firsts))]
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        _, one, back = np.unique(W.slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        one, back = distinct_slices(data, starts, ends)
         raw = data.tobytes()
         slices = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
         if len(self.cache) > CACHED_SLICES:

@@ -5,8 +5,7 @@ that far and are left out by an exact count; for the rest, HyperLogLog sketches
 hash are made in salted parts and merged by aggregation. Where the estimate is near the threshold, the sites are counted
 exactly, so the result is that of exact counting unless a sketch errs by more than ``MARGIN``. A text
 made of such lines alone is a copy of other texts rather than a page with boilerplate: it
-stays whole, for a near-duplicate step to judge. The registered query also keeps texts whole that consist
-mostly of such lines, as its SQL does.
+stays whole, for a near-duplicate step to judge.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmeridian.llm.storage import stash, table
+from logmeridian.llm.storage import free_names, stash, table
 
 SITES = 10
 SKETCH_BITS = 10
@@ -22,15 +21,13 @@ MARGIN = 0.2
 """Six standard errors of a sketch of 2^10 registers."""
 SALTS = 16
 """Tasks that the rows of one line are dealt over; each makes a sketch of its own part."""
-MOST = 0.5
-"""Share of a text's characters in boilerplate lines from which on the text stays whole in the registered query."""
 
 
 def _lines(docs: DataFrame, key: Column, site: str, text: str) -> DataFrame:
     return (
         docs.select(key.alias("key"), F.col(site).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
         .where(F.trim("line") != "")
-        .select("key", "site", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("chars"))
+        .select("key", "site", "pos", F.xxhash64("line").alias("h"))
     )
 
 
@@ -53,29 +50,25 @@ def widespread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return stash(clear.unionByName(counted.select("h")), "widespread")
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text", sites: int = SITES, most: float | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text", sites: int = SITES) -> DataFrame:
     """``docs`` with widespread lines taken out of its text, and ``n_lines``, ``n_removed`` added.
 
     Lines are the pieces between line feeds; those of spaces only never count. A null text stays null
-    and has no lines. A text without any other line stays whole; with ``most``, instead one with a
-    greater share of its characters in widespread lines. Rows equal in id and text are treated alike; null ids and null sites keep their
+    and has no lines. A text without any other line stays whole. Rows equal in id and text are treated alike; null ids and null sites keep their
     rows, and other columns stay as they are (an existing ``n_lines`` or ``n_removed`` is replaced).
     """
     docs = docs.drop("n_lines", "n_removed")
     key = F.xxhash64(id_column, text_column)
     lines = _lines(docs, key, site_column, text_column)
     wide = widespread_lines(lines, sites)
+    key_name, gone_name = free_names(docs.columns, "key", "gone")
     found = (
-        lines.join(wide, "h", "left_semi").select("key", "pos", "chars").distinct()
-        .groupBy("key").agg(F.collect_set("pos").alias("gone_"), F.sum("chars").alias("gone_chars_"))
-        .withColumnRenamed("key", "key_")
+        lines.join(wide, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
+        .select(F.col("key").alias(key_name), F.col("gone").alias(gone_name))
     )
-    joined = docs.join(found, key == F.col("key_"), "left")
-    kept = F.filter(F.split(text_column, "\n"), lambda _, i: ~F.array_contains("gone_", i))
-    able = F.exists(kept, lambda line: F.trim(line) != "")
-    if most is not None:
-        able = F.col("gone_chars_") <= (F.length(text_column) - F.size(F.split(text_column, "\n")) + 1) * most
-    gone = F.when(able, F.col("gone_"))
+    joined = docs.join(found, key == F.col(key_name), "left")
+    kept = F.filter(F.split(text_column, "\n"), lambda _, i: ~F.array_contains(gone_name, i))
+    gone = F.when(F.exists(kept, lambda line: F.trim(line) != ""), F.col(gone_name))
     return joined.select(
         *[F.when(gone.isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_column else F.col(c) for c in docs.columns],
         F.coalesce(F.size(F.split(text_column, "\n")), F.lit(0)).cast("long").alias("n_lines"),
@@ -84,7 +77,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", site_column: str = "
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"), most=MOST)
+    out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
@@ -99,7 +92,7 @@ WITH lines AS (
   FROM lines l LEFT JOIN wide w ON l.line = w.line
 ), per_doc AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone,
-         coalesce(sum(length(line)) FILTER (gone), 0) <= {MOST} * sum(length(line)) AS able,
+         bool_or(NOT gone AND trim(line) <> '') AS able,
          string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS rest
   FROM marked GROUP BY doc_id
 )

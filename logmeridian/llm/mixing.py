@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmeridian.llm.storage import table
+from logmeridian.llm.storage import free_names, table
 
 SEED = 17
 BROADCAST_SOURCES = 10_000
@@ -69,16 +69,17 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", source_column: str =
     stays empty. Existing columns named like the three added ones are replaced.
     """
     docs = docs.drop("n_copies", "copy", "mix_key")
-    rates = repetition_rates(docs, source_column, weights, rows).select(F.col("source_key").alias("source_key_"), F.col("cdf").alias("cdf_"))
+    source_key, cdf, salt, u_name = free_names([*docs.columns, "n_copies", "copy", "mix_key"], "source_key", "cdf", "salt", "u")
+    rates = repetition_rates(docs, source_column, weights, rows).select(F.col("source_key").alias(source_key), F.col("cdf").alias(cdf))
     if rates.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(rates), F.col(source_column).eqNullSafe(F.col("source_key_")))
+        joined = docs.join(F.broadcast(rates), F.col(source_column).eqNullSafe(F.col(source_key)))
     else:
-        salted = rates.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = docs.join(
-            salted, F.col(source_column).eqNullSafe(F.col("source_key_")) & (F.pmod(F.xxhash64(id_column), F.lit(SALTS)) == F.col("salt_"))
+            salted, F.col(source_column).eqNullSafe(F.col(source_key)) & (F.pmod(F.xxhash64(id_column), F.lit(SALTS)) == F.col(salt))
         )
     u = _uniform(F.lit(seed), _identity(id_column))
-    counted = joined.withColumn("u_", u).withColumn("n_copies", F.size(F.filter("cdf_", lambda c: c <= F.col("u_"))).cast("long"))
+    counted = joined.withColumn(u_name, u).withColumn("n_copies", F.size(F.filter(cdf, lambda c: c <= F.col(u_name))).cast("long"))
     copies = counted.where("n_copies > 0").select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit(seed), _identity(id_column), F.col("copy")))
     return copies.withColumn("mix_key", key).orderBy("mix_key")

@@ -29,6 +29,8 @@ KEEP_TRUSTED = 0.999
 """Least share of trusted documents that the threshold must keep."""
 GRID = 0.001
 """Scores are compared on a grid of this width when the threshold is chosen."""
+FILTER_BITS = 1 << 24
+"""Bits of the table that finds trusted documents before the join: at most 262,144 rows of 64."""
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Characters counted as symbols.
@@ -111,6 +113,20 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     return out.reshape(FOLDS, BUCKETS)
 
 
+def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``id`` is one of ``ids`` (distinct), whatever the sizes by the same plan.
+
+    A bit table of the ids' hashes, at most ``FILTER_BITS`` long and so a bounded broadcast, drops most other
+    rows where they lie; only what passes is shuffled for the exact join.
+    """
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (8 * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    marks = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("marks"))
+    marked = texts.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(marks), "word")
+    likely = marked.where(F.expr("shiftrightunsigned(marks, CAST(bit & 63 AS INT)) & 1L = 1L")).select(texts.columns)
+    return likely.hint("merge").join(ids.hint("merge"), "id", "left_semi")
+
+
 def log_ratios(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Per fold and bucket the log of trusted share over raw share in the other folds; 0 without trusted text."""
     trusted, raw = trusted.sum(axis=0) - trusted, raw.sum(axis=0) - raw
@@ -177,7 +193,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         .groupBy("id").agg((F.min((F.col("label") == 1).cast("int")) == 1).alias("good"))
     )
     raw = bucket_counts(texts)
-    trusted = bucket_counts(texts.join(known.where("good"), "id", "left_semi"))
+    trusted = bucket_counts(among(texts, known.where("good").select("id")))
     measured = stash(measure(texts, log_ratios(trusted, raw)), "quality")
     threshold = choose_threshold(measured.where(f"n_words >= {MIN_WORDS}").join(known, "id"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)

@@ -15,15 +15,12 @@ import pyarrow as pa
 
 PIECE_BYTES = 1 << 19
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = U64(0xD6E8FEB86659FD93)
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,14 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(max(n, PIECE_BYTES + 1), _BASE if kind == "up" else _INVERSE, dtype=U64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,12 +95,27 @@ def find_lines(data: np.ndarray, offs: np.ndarray) -> Words:
     return Words(starts, ends, np.concatenate([[0], np.cumsum(counts)]))
 
 
+def slice_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every slice as 8-byte numbers, the last one filled up with zeros; and the first number of each slice."""
+    size = (ends - starts).astype(np.int64)
+    cuts = np.concatenate([[0], np.cumsum((size + 7) >> 3)])
+    place = 8 * (np.arange(cuts[-1]) - np.repeat(cuts[:-1], np.diff(cuts)))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = np.repeat(size, np.diff(cuts)) - place
+    lanes = eight[np.repeat(starts, np.diff(cuts)) + place]
+    short = np.flatnonzero(left < 8)
+    lanes[short] &= (U64(1) << (8 * left[short]).astype(U64)) - U64(1)
+    return lanes, cuts
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every byte slice, from one running polynomial sum."""
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _power("up", len(data)), out=total[1:])
-    value = (total[ends] - total[starts]) * _power("down", len(data) + 1)[starts]
-    return mix(value + (ends - starts).astype(U64) * _STEP)
+    """A 64-bit hash of every byte slice: each 8-byte number is mixed, alone and then with its place, before they add up."""
+    lanes, cuts = slice_lanes(data, starts, ends)
+    place = (np.arange(len(lanes)) - np.repeat(cuts[:-1], np.diff(cuts))).astype(U64)
+    total = np.zeros(len(lanes) + 1, U64)
+    np.cumsum(mix(mix(lanes) + place * _STEP), out=total[1:])
+    return mix(total[cuts[1:]] - total[cuts[:-1]] + (ends - starts).astype(U64) * _STEP)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

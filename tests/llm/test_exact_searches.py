@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logmeridian.llm import coordinate_pruning, dual_tree, license_scan
+from logmeridian.llm import bpe, coordinate_pruning, dual_tree, license_scan, line_dedup, mixing, ngram_join, pitman_yor, quality
+from logmeridian.llm import words as W
 
 VECTORS = "vec_id long, embedding array<double>, label int, bucket string, block int, score string, v int, word string"
 
@@ -203,3 +204,75 @@ def test_license_scan_needs_no_python(spark):
     plan = license_scan.license_scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert docs.select(F.lit(1)).count() == 1
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_with_equal_polynomials_are_told_apart(spark, n):
+    a, b = thue_morse(n), thue_morse(n, True)
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    hashes = W.slice_hashes(raw, np.array([0, n]), np.array([n, 2 * n]))
+    assert hashes[0] != hashes[1]
+    docs = spark.createDataFrame([(0, a), (1, b), (2, f"{a}\n{b}"), (3, f"{a} {a}")], "doc_id long, text string")
+    joined = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert joined == {0: 0, 1: 1, 2: 2, 3: 3}
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality.quality_rules(docs, labels).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+    scored = pitman_yor.score_texts(docs, F.col("doc_id") == 1).collect()
+    assert {r["doc_id"]: r["n_known"] for r in scored} == {0: 2, 1: 2, 2: 3, 3: 3}
+    path = bpe.default_vocabulary()
+    back = bpe.bpe_decode(bpe.bpe_encode(docs, path), path).collect()
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in back} == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def test_slices_of_equal_hash_are_compared_by_bytes(monkeypatch):
+    monkeypatch.setattr(W, "slice_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    raw = np.frombuffer(b"abcdefghijabcdefghiXabcdefghijab", np.uint8)
+    starts, ends = np.array([0, 10, 20, 30]), np.array([10, 20, 30, 32])
+    one, back = bpe.distinct_slices(raw, starts, ends)
+    assert [bytes(raw[starts[one[k]] : ends[one[k]]]) for k in back] == [bytes(raw[a:b]) for a, b in zip(starts, ends, strict=True)]
+    assert back[0] == back[2]
+
+
+def test_long_slices_without_a_break_equal_the_library():
+    import time
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    path = bpe.default_vocabulary()
+    vocabulary = bpe.load_vocabulary(path)
+    library = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng = random.Random(6)
+    for text in ["".join(rng.choice("abcdefgh") for _ in range(3000)), "ab" * 700, "a" * 1000, "".join(rng.choice("eaé日t") for _ in range(2000))]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert bpe.Encoder(vocabulary)(raw, np.array([0, len(raw)]))[0].tolist() == library.encode_ordinary(text)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    raw = np.frombuffer(long.encode(), np.uint8)
+    began = time.time()
+    ids = bpe.Encoder(vocabulary)(raw, np.array([0, len(raw)]))[0]
+    assert time.time() - began < 30
+    assert bpe.decode_ids(ids, vocabulary).tobytes() == raw.tobytes()
+
+
+def test_trusted_documents_are_found_by_one_plan(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FILTER_BITS", 1 << 6)  # a crowded table lets others through to the join
+    texts = spark.createDataFrame([(i if i % 10 else None, 0, f"t{i}") for i in range(500)], "id long, fold int, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 500, 3)] + [(9999,)], "id long")
+    got = quality.among(texts, ids)
+    assert {r["id"] for r in got.collect()} == {i for i in range(0, 500, 3) if i % 10}
+    assert "SortMergeJoin" in got._jdf.queryExecution().toString()
+
+
+def test_helper_names_do_not_clash(spark):
+    schema = "doc_id long, text string, source string, key string, gone string, key_ string, gone_ int, u double, source_key string, cdf int, salt string, U_ int"
+    rows = [(i, f"same line\nown line {i}", f"s{i}", "k", "g", "k2", i, 0.5, "sk", 3, "z", -i) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    out = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [tuple(r)[:12] for r in out] == [(r[0], f"own line {r[0]}", *r[2:]) for r in rows]
+    mixed = mixing.mix_sources(docs).select(docs.columns).distinct().collect()
+    assert mixed
+    assert {tuple(r) for r in mixed} <= set(rows)
