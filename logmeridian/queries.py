@@ -301,18 +301,21 @@ def _silence(spark, folder):
     return alerts.silent_inventory(adapt.inventory(spark, folder), adapt.event_columns(spark, folder), NOW, 86400)
 
 
-_TRIGGERS = """tr AS (SELECT 'rule_' || (o_custkey % 50) AS rule_id, 'grp_' || (o_custkey % 4) AS owner_group, TIMESTAMP '2024-01-01' + (o_orderkey % 43200) * INTERVAL 1 MINUTE AS fired_at, o_orderkey::VARCHAR AS id FROM orders),
+_TRIGGERS = """tr AS (SELECT 'rule_' || (o_custkey % 50) AS rule_id, ' grp_' || (o_custkey % 4) || ',, grp_' || (o_custkey % 3) AS owner_group, TIMESTAMP '2024-01-01' + (o_orderkey % 43200) * INTERVAL 1 MINUTE AS fired_at, o_orderkey::VARCHAR AS id FROM orders),
 mw AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'rule_' || n_nationkey END AS rule_id, CASE WHEN n_nationkey % 2 = 1 THEN 'grp_' || (n_nationkey % 4) END AS owner_group,
   TIMESTAMP '2024-01-01' + n_nationkey * INTERVAL 1 DAY AS starts_at, TIMESTAMP '2024-01-01' + n_nationkey * INTERVAL 1 DAY + INTERVAL 4 HOUR AS ends_at FROM nation)"""
 
 
-@_query("alert_suppression", f"""WITH {_TRIGGERS}, p AS (SELECT *, lag(fired_at) OVER (PARTITION BY rule_id ORDER BY fired_at, id) AS before FROM tr)
-SELECT id, CASE WHEN EXISTS (SELECT 1 FROM mw WHERE starts_at <= fired_at AND fired_at < ends_at AND (mw.rule_id = p.rule_id OR (mw.rule_id IS NULL AND mw.owner_group = p.owner_group))) THEN 'maintenance'
-  WHEN fired_at - before < INTERVAL 10 MINUTE THEN 'repeat' ELSE '' END AS reason FROM p""")
+@_query("alert_suppression", f"""WITH RECURSIVE {_TRIGGERS}, h AS (SELECT DISTINCT id FROM tr JOIN mw ON starts_at <= fired_at AND fired_at < ends_at
+    AND (mw.rule_id = tr.rule_id OR (mw.rule_id IS NULL AND list_contains(list_transform(string_split(tr.owner_group, ','), lambda g: trim(g)), mw.owner_group)))),
+free AS (SELECT DISTINCT rule_id, fired_at FROM tr WHERE id NOT IN (SELECT id FROM h)),
+chain AS (SELECT rule_id, min(fired_at) AS fired_at FROM free GROUP BY rule_id UNION ALL
+  SELECT chain.rule_id, min(free.fired_at) FROM chain JOIN free ON free.rule_id = chain.rule_id AND free.fired_at >= chain.fired_at + INTERVAL 10 MINUTE GROUP BY chain.rule_id)
+SELECT id, CASE WHEN id IN (SELECT id FROM h) THEN 'maintenance' WHEN chain.fired_at IS NULL THEN 'repeat' ELSE '' END AS reason FROM tr LEFT JOIN chain USING (rule_id, fired_at)""")
 def _suppression(spark, folder):
     key, nation = F.col("o_custkey"), F.col("n_nationkey")
     triggers = adapt.table(spark, folder, "orders").select(
-        F.concat(F.lit("rule_"), key % 50).alias("rule_id"), F.concat(F.lit("grp_"), key % 4).alias("owner_group"),
+        F.concat(F.lit("rule_"), key % 50).alias("rule_id"), F.concat(F.lit(" grp_"), key % 4, F.lit(",, grp_"), key % 3).alias("owner_group"),
         F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, o_orderkey % 43200, 0)").alias("fired_at"), F.col("o_orderkey").cast("string").alias("id"),
     )
     windows = adapt.table(spark, folder, "nation").select(

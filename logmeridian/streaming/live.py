@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logmeridian.session import checkpoint_dir
 
@@ -26,6 +29,111 @@ def without_repeats(stream: DataFrame, key: Sequence[str], late: str = "1 hour",
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(list(key))
 
 
+_SILENCE = "source_id string, owner_group string, never_seen boolean, last_at timestamp, fired_at timestamp"
+_NOTHING = -(2**63)
+
+
+def _watch(silence: int):
+    """Of one source: each stretch of ``silence`` microseconds without an arrival, told once it is over or time has passed it.
+
+    The state is the owner group (null before the source is known), the creation, the last arrival, and whether its silence
+    was told.
+    """
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        owner, created, last, told = state.get if state.exists else (None, _NOTHING, _NOTHING, False)
+        found: list[tuple[bool, int]] = []
+        if not state.hasTimedOut:
+            # Two arrivals of one interval of that length leave no silence between them but at its ends.
+            first_of: dict[int, int] = {}
+            last_of: dict[int, int] = {}
+            for rows in chunks:
+                known = rows[rows["owner_group"].notna()]
+                if len(known):
+                    newest = known.sort_values(["updated", "owner_group"]).iloc[-1]
+                    owner, created = (newest["owner_group"] if newest["enabled"] else None), int(newest["micros"])
+                at = rows.loc[rows["owner_group"].isna(), "micros"].to_numpy(np.int64)
+                for part, values in pd.Series(at).groupby(at // silence):
+                    first_of[part] = min(first_of.get(part, values.min()), values.min())
+                    last_of[part] = max(last_of.get(part, values.max()), values.max())
+            for at in sorted({int(x) for x in (*first_of.values(), *last_of.values())}):
+                since = last if last != _NOTHING else created
+                if since != _NOTHING and at - since >= silence and not told:
+                    found.append((last == _NOTHING, since))
+                if at > last:
+                    last, told = at, False
+        since = last if last != _NOTHING else created
+        passed = state.getCurrentWatermarkMs() * 1000
+        if since != _NOTHING and not told and owner is not None and (state.hasTimedOut or since + silence < passed):
+            found.append((last == _NOTHING, since))
+            told = True
+        state.update((owner, created, last, told))
+        if since != _NOTHING and not told and owner is not None:
+            state.setTimeoutTimestamp(max((since + silence) // 1000, state.getCurrentWatermarkMs() + 1))
+        if found and owner is not None:
+            never, since_ = zip(*found, strict=True)
+            since_ = np.array(since_, np.int64)
+            yield pd.DataFrame({
+                "source_id": key[0], "owner_group": owner, "never_seen": never, "last_at": pd.to_datetime(np.where(never, pd.NaT.value, since_ * 1000), utc=True).tz_localize(None),
+                "fired_at": pd.to_datetime((since_ + silence) * 1000),
+            })
+
+    return run
+
+
+def silences(arrivals: DataFrame, inventory: DataFrame, silence_seconds: int, late: str = "1 hour", now: Column | None = None) -> DataFrame:
+    """``source_id, owner_group, never_seen, last_at, fired_at``: every silence of an enabled source, also while nothing arrives from it.
+
+    ``arrivals`` (``source_id, ingested_at``) and ``inventory`` (``source_id, owner_group, enabled, created_at``) are streams; the inventory's
+    newest row of a source counts. A source that never sent anything is silent since its creation. A silence is told when the
+    next arrival ends it, or by a timer when the newest ingest time is ``late`` past it; the state of a source is four values. An
+    ingest clock that is ahead of ``now`` (default: the time of processing) counts as now, so it silences no other source.
+    Unlisted and disabled sources, null sources and null times are left out.
+    """
+    clock = F.current_timestamp() if now is None else now.cast("timestamp")
+    none = F.lit(None)
+    came = arrivals.select("source_id", none.cast("string").alias("owner_group"), F.lit(True).alias("enabled"), F.least(F.col("ingested_at").cast("timestamp"), clock).alias("at"))
+    listed = inventory.select("source_id", F.coalesce("owner_group", F.lit("")).alias("owner_group"), F.coalesce("enabled", F.lit(False)).alias("enabled"), F.least(F.col("created_at").cast("timestamp"), clock).alias("at"))
+    both = came.unionByName(listed).filter("source_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
+    rows = both.withColumn("micros", F.unix_micros("at")).withColumn("updated", F.col("micros"))
+    return rows.groupBy("source_id").applyInPandasWithState(
+        _watch(silence_seconds * 1_000_000), _SILENCE, "owner_group string, created long, last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def _released(gap: int):
+    """Of one rule: its firings in order, the first that goes out, and the next that comes ``gap`` microseconds after it."""
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (last,) = state.get if state.exists else (_NOTHING,)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(chunks)).sort_values(["micros", "id"])
+        reasons = []
+        for at in rows["micros"].tolist():
+            out = last == _NOTHING or at - last >= gap or at == last
+            reasons.append("" if out else "repeat")
+            last = at if out else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": rows["id"], "rule_id": key[0], "reason": reasons})
+
+    return run
+
+
+def repeats(triggers: DataFrame, repeat_seconds: int, late: str = "1 hour") -> DataFrame:
+    """``id, rule_id, reason`` of arriving triggers (``id, rule_id, fired_at``) in the order of their batches: ``repeat`` when the rule's last one that went out is less than ``repeat_seconds`` before.
+
+    A rule's state is the instant of that one; it is dropped when the newest instant is an interval and ``late`` past it.
+    """
+    rows = triggers.select("id", "rule_id", F.col("fired_at").cast("timestamp").alias("at")).filter("rule_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
+    timed = rows.withColumn("micros", F.unix_micros("at"))
+    return timed.groupBy("rule_id").applyInPandasWithState(
+        _released(repeat_seconds * 1_000_000), "id string, rule_id string, reason string", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Process all there is to read, append to a table in the shared folder, and read that back.
 
