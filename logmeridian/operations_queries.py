@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from logmeridian.operators import templates
-from logmeridian.queries import _ev, _query
-from logmeridian.sources import adapt
+from logmeridian.operators import replay, templates
+from logmeridian.queries import SOME, _ev, _query
+from logmeridian.scope import AccessScope
+from logmeridian.session import checkpoint_dir
+from logmeridian.sources import adapt, archive, store
 from logmeridian.streaming import live
 
 _FIRST_TYPES = ("click", "error", "view")
@@ -73,3 +77,155 @@ def _live_silence(spark, folder):
     )
     found = live.drain(live.silences(arrivals, inventory, _SILENT, now=F.expr("TIMESTAMP_NTZ '2024-01-29 00:00:00'")), "silences")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_at", "fired_at")})
+
+
+def _new_folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _hurried(spark, folder):
+    """Events of a month in two and a half days, so that an hour's object holds more than a few."""
+    base = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    hurried = F.timestamp_micros(base + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - base) / 12).cast("long"))
+    return adapt.event_columns(spark, folder).withColumn("ts", hurried.cast("timestamp_ntz"))
+
+
+def _records(spark, folder):
+    """Events as raw records, observed before they were received."""
+    number = F.col("event_id").cast("long")
+    return _hurried(spark, folder).select(
+        "event_id", F.expr("ts + make_dt_interval(0, 0, 0, 2)").cast("timestamp").alias("received_at"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("host").alias("source_key"), "source_id",
+        F.when(number % 50 != 0, F.concat(F.lit("/net/"), F.col("owner_group"))).alias("owner_group"), F.struct(F.lit("udp").alias("proto"), F.col("src_ip").alias("peer")).alias("transport"),
+        F.lit("utf-8").alias("encoding_declared"), (number % 3).cast("int").alias("severity_number"), F.create_map(F.lit("k"), F.col("attrs")["k"]).alias("attrs"),
+        F.lit("network").alias("source_class"), F.encode("body", "UTF-8").alias("body"),
+    )
+
+
+def _archive(spark, folder):
+    root = _new_folder(spark, "archive")
+    return root, archive.commit(_records(spark, folder), root)
+
+
+_RAW = """raw AS (SELECT ev.* REPLACE (make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (epoch_us(ev.ts) - epoch_us(TIMESTAMP '2024-01-01')) // 12) AS ts), user_id, action || ' op_k' || k || ' user ' || user_id || ' value ' || value AS body,
+  CASE WHEN ev.event_id::BIGINT % 50 = 0 THEN '_unassigned' ELSE 'net/' || owner_group END AS grp FROM ev JOIN (SELECT event_id::VARCHAR AS event_id, user_id, value FROM events) e USING (event_id)),
+ob AS (SELECT grp, date_trunc('hour', ts) AS hour, count(*) AS n, min(ts) AS ts_from, max(ts) AS ts_to FROM raw GROUP BY ALL)"""
+
+
+@_query("archive_round_trip", _ev(f", {_RAW} SELECT event_id, CASE WHEN grp <> '_unassigned' THEN grp END AS owner_group, ts, 'network' AS source_class, k::VARCHAR AS k, length(body) AS chars FROM raw WHERE grp IN ('net/grp_1', 'net/grp_2') AND ts >= TIMESTAMP '2024-01-01 10:30:00' AND ts < TIMESTAMP '2024-01-03'"))
+def _round_trip(spark, folder):
+    """Records written as an archive, then read by a scope and a time range."""
+    root, _ = _archive(spark, folder)
+    rows = archive.read_records(spark, root, AccessScope.groups("net/grp_1", "net/grp_2"), start="2024-01-01T10:30:00", end="2024-01-03")
+    return rows.select(
+        "event_id", F.regexp_replace("owner_group", "^/", "").alias("owner_group"), F.col("observed_at").cast("timestamp_ntz").alias("ts"), "source_class", F.col("attrs")["k"].alias("k"),
+        F.length(F.decode("body", "UTF-8")).cast("long").alias("chars"),
+    )
+
+
+@_query("archive_manifest", _ev(f", {_RAW} SELECT grp AS owner_group, count(*) AS objects, sum(n)::BIGINT AS records, min(ts_from) AS ts_from, max(ts_to) AS ts_to FROM ob GROUP BY grp"))
+def _manifest(spark, folder):
+    _, objects = _archive(spark, folder)
+    ntz = lambda c: c.cast("timestamp_ntz")
+    return objects.groupBy("owner_group").agg(
+        F.count(F.lit(1)).alias("objects"), F.sum("event_count").alias("records"), ntz(F.min("ts_from")).alias("ts_from"), ntz(F.max("ts_to")).alias("ts_to")
+    )
+
+
+@_query("archive_scrub", _ev(f""", {_RAW} SELECT count(*) AS objects, 0 AS uploaded, count(*) FILTER (grp NOT IN ('net/grp_0', 'net/grp_1')) AS verified, count(*) FILTER (grp = 'net/grp_0') AS mismatched,
+  count(*) FILTER (grp = 'net/grp_1') AS missing, sum(n)::BIGINT AS records, false AS all_verified FROM ob"""))
+def _scrub(spark, folder):
+    """A manifest that names other bytes for one group's objects, and files that do not exist for another's."""
+    root, objects = _archive(spark, folder)
+    strange = objects.withColumn("sha256", F.when(F.col("owner_group") == "net/grp_0", F.lit("0")).otherwise(F.col("sha256")))
+    strange = strange.withColumn("object_key", F.when(F.col("owner_group") == "net/grp_1", F.concat("object_key", F.lit(".gone"))).otherwise(F.col("object_key")))
+    return archive.archive_states(archive.scrub(spark, root, strange, "2024-02-01", most=1_000_000))
+
+
+@_query("manifest_overlap", _ev(f""", {_RAW}, r AS (SELECT n_nationkey AS range_id, TIMESTAMP '2024-01-01' + n_nationkey * INTERVAL 2 HOUR AS a, TIMESTAMP '2024-01-01' + n_nationkey * INTERVAL 2 HOUR + (n_nationkey * n_nationkey * 7) * INTERVAL 1 MINUTE AS b FROM nation)
+SELECT range_id, grp AS owner_group, count(*) AS objects, sum(n)::BIGINT AS records FROM r JOIN ob ON ts_to >= a AND ts_from < b WHERE a < b GROUP BY ALL"""))
+def _overlap(spark, folder):
+    n = F.col("n_nationkey")
+    starts = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, n_nationkey * 2, 0, 0)")
+    ranges = adapt.table(spark, folder, "nation").select(n.alias("range_id"), starts.alias("starts_at")).withColumn("ends_at", F.expr("starts_at + make_dt_interval(0, 0, range_id * range_id * 7, 0)"))
+    _, objects = _archive(spark, folder)
+    return archive.overlapping(objects, ranges).groupBy("range_id", "owner_group").agg(F.count(F.lit(1)).alias("objects"), F.sum("event_count").alias("records"))
+
+
+@_query("raw_lookup", _ev(f", {_RAW} SELECT event_id, body FROM raw WHERE grp IN ('net/grp_1', 'net/grp_2')"))
+def _lookup(spark, folder):
+    """The raw line of every event, whose own time keeps milliseconds only, through the manifest."""
+    root, objects = _archive(spark, folder)
+    batch = objects.select("batch").first()[0]
+    owner = F.regexp_replace(F.coalesce("owner_group", F.lit("_unassigned")), "^/", "")
+    events = _records(spark, folder).select("event_id", F.date_trunc("millisecond", "observed_at").alias("ts"), archive.raw_ref(F.lit(batch), owner, F.col("observed_at"), F.col("source_class")).alias("raw_ref"))
+    found = archive.locate(spark, root, events, objects, AccessScope.groups("net/grp_1", "net/grp_2"))
+    return found.select("event_id", F.decode("body", "UTF-8").alias("body"))
+
+
+_REPLAYED = ("parse_status", "action", "user_name")
+_REPLAY = f"""{_RAW}, old AS (SELECT event_id, ts, parse_status, CASE WHEN parse_status = 'failed' THEN '' ELSE action END AS action, user_name, k FROM raw WHERE event_id::BIGINT % 11 <> 0),
+new AS (SELECT event_id, ts, 'ok' AS parse_status, action, 'user' || user_id AS user_name, k FROM raw WHERE ts >= TIMESTAMP '2024-01-01 12:00:00' AND ts < TIMESTAMP '2024-01-03 06:00:00' AND ts < TIMESTAMP '2024-01-03'),
+j AS (SELECT new.event_id, old.event_id IS NULL AS is_new, old.parse_status AS was, coalesce(old.parse_status <> new.parse_status, false) AS c1, coalesce(old.action <> new.action, false) AS c2,
+  coalesce(old.user_name <> new.user_name, false) AS c3, new.k % 4 = 0 AND old.event_id IS NOT NULL AS c4, new.k % 10 = 3 AND old.event_id IS NOT NULL AS c5 FROM new LEFT JOIN old USING (event_id))"""
+
+
+def _table_and_plan(spark, folder):
+    """A table that lost rows, kept failures and other attributes; and its archive, with the parser of today."""
+    number, k = F.col("event_id").cast("long"), F.col("attrs")["k"]
+    events = _hurried(spark, folder).filter(number % 11 != 0).select(
+        "event_id", "ts", "owner_group", "source_id", "parse_status", F.when(F.col("parse_status") == "failed", "").otherwise(F.col("action")).alias("action"), "user_name", F.create_map(F.lit("k"), k).alias("attrs")
+    )
+
+    def rebuild(records):
+        body, own = F.decode("body", "UTF-8"), F.col("attrs")["k"].cast("int")
+        extra = F.when(own % 4 == 0, F.create_map(F.lit("even"), F.lit("yes"))).otherwise(F.create_map().cast("map<string,string>"))
+        return records.select(
+            "event_id", F.col("observed_at").cast("timestamp_ntz").alias("ts"), "owner_group", "source_id", F.lit("ok").alias("parse_status"), F.regexp_extract(body, "^(\\w+) ", 1).alias("action"),
+            F.concat(F.lit("user"), F.regexp_extract(body, " user (\\d+) ", 1)).alias("user_name"), F.map_concat(F.when(own % 10 != 3, F.col("attrs")).otherwise(F.create_map().cast("map<string,string>")), extra).alias("attrs"),
+        )
+
+    root, objects = _archive(spark, folder)
+    return events, lambda table: replay.prepare(replay.ReplayPlan("2024-01-01T12:00:00", "2024-01-03T06:00:00"), root, objects, table, rebuild, now="2024-01-03T08:00:00", fields=_REPLAYED)
+
+
+@_query("replay_from_archive", _ev(f""", {_REPLAY} SELECT count(*) AS replayed, count(*) FILTER (is_new) AS added, count(*) FILTER (c1 OR c2 OR c3 OR c4 OR c5) AS changed, count(*) FILTER (NOT is_new AND NOT (c1 OR c2 OR c3 OR c4 OR c5)) AS unchanged,
+  count(*) FILTER (was = 'failed') AS failed_to_ok, 0 AS ok_to_failed, count(*) FILTER (c4) AS even_added, count(*) FILTER (c5) AS k_lost FROM j"""))
+def _from_archive(spark, folder):
+    """Records of three days, of which the last is still open, against the table: a dry run."""
+    events, prepare = _table_and_plan(spark, folder)
+    changed = prepare(events).changed
+    named = lambda field: F.count(F.when(F.exists("changes", lambda c: c["field"] == field), F.lit(1)))
+    attrs = changed.agg(named("attrs.even").alias("even_added"), named("attrs.k").alias("k_lost"))
+    return replay.report(changed).crossJoin(attrs)  # one row each
+
+
+@_query("replay_applied", _ev(f""", {_REPLAY} SELECT event_id, parse_status, action, user_name FROM new UNION ALL SELECT event_id, parse_status, action, user_name FROM old WHERE event_id NOT IN (SELECT event_id FROM new)"""))
+def _applied(spark, folder):
+    """The table written by day, replayed, its closed days replaced, and read again."""
+    events, prepare = _table_and_plan(spark, folder)
+    path = _new_folder(spark, "events")
+    dated = lambda df: df.withColumn("event_date", F.to_date("ts"))
+    dated(events).write.partitionBy("event_date").parquet(path)
+    table = spark.read.schema(dated(events).schema).parquet(path)
+    replay.replace_days(dated(prepare(table.drop("event_date")).merged), path)
+    return spark.read.schema(table.schema).parquet(path).select("event_id", "parse_status", "action", "user_name")
+
+
+@_query("event_store", _ev("SELECT owner_group, vendor, count(*) AS events, sum(severity_num)::BIGINT AS severity, count(*) FILTER (dst_ip = '') AS no_target FROM ev WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' AND owner_group IN ('grp_1', 'grp_2') GROUP BY ALL"))
+def _event_store(spark, folder):
+    """Events appended to the canonical table in two writes, then a scan of some days by its fixed schema."""
+    path, events = _new_folder(spark, "store"), adapt.event_columns(spark, folder)
+    first = F.col("vendor") == "Cisco"
+    store.append_events(events.filter(first), path)
+    store.append_events(events.filter(~first).drop("template_id"), path)
+    rows = store.scan_events(spark, path).filter("event_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'").filter(F.col("owner_group").isin(sorted(SOME.owner_groups)))
+    return rows.groupBy("owner_group", "vendor").agg(F.count(F.lit(1)).alias("events"), F.sum("severity_num").alias("severity"), F.count(F.when(F.col("dst_ip") == "", 1)).alias("no_target"))
+
+
+@_query("changes_written", """WITH c AS (SELECT 'grp_' || (o_custkey % 4) AS owner_group FROM orders)
+SELECT 'written' AS what, owner_group, count(*) AS n FROM c WHERE owner_group IN ('grp_1', 'grp_2') GROUP BY 2 UNION ALL SELECT 'refused', owner_group, count(*) FROM c WHERE owner_group NOT IN ('grp_1', 'grp_2') GROUP BY 2""")
+def _changes_written(spark, folder):
+    path = _new_folder(spark, "changes")
+    refused = store.write_changes(adapt.changes(spark, folder), path, SOME)
+    counts = lambda df, what: df.groupBy("owner_group").agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "owner_group", "n")
+    return counts(spark.read.parquet(path), "written").unionByName(counts(refused, "refused"))

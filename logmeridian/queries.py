@@ -353,7 +353,7 @@ def _replay_diff(spark, folder):
 
 @_query("replay_report", _ev(f""", {_REBUILT}, j AS (SELECT o.event_id IS NULL AS is_new, o.parse_status AS was, n.parse_status AS is_, {' OR '.join(f'coalesce(o.{f} <> n.{f}, false)' for f in _FIELDS)} AS changed FROM new n LEFT JOIN old o USING (event_id))
 SELECT count(*) AS replayed, count(*) FILTER (is_new) AS added, count(*) FILTER (NOT is_new AND changed) AS changed, count(*) FILTER (NOT is_new AND NOT changed) AS unchanged,
-  count(*) FILTER (was = 'failed' AND is_ = 'ok') AS failed_to_ok, count(*) FILTER (was = 'ok' AND is_ = 'failed') AS ok_to_failed FROM j"""))
+  count(*) FILTER (changed AND was = 'failed' AND is_ <> 'failed') AS failed_to_ok, count(*) FILTER (changed AND was <> 'failed' AND is_ = 'failed') AS ok_to_failed FROM j"""))
 def _replay_report(spark, folder):
     return replay.report(replay.diff(*_sides(spark, folder), _FIELDS))
 
