@@ -6,12 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from logmeridian.operators import replay, templates
-from logmeridian.queries import SOME, _ev, _query
+from logmeridian.functions import addresses
+from logmeridian.functions.exprs import TEXT_MAP
+from logmeridian.operators import fragments, replay, templates
+from logmeridian.parsing_queries import _PARSED, PARSERS, _lines
+from logmeridian.plans import evidence, triggers
+from logmeridian.queries import ALL, SOME, _ev, _query
 from logmeridian.scope import AccessScope
 from logmeridian.session import checkpoint_dir
-from logmeridian.sources import adapt, archive, store
-from logmeridian.streaming import live
+from logmeridian.sources import adapt, archive, inventory, store
+from logmeridian.streaming import ingest, live
 
 _FIRST_TYPES = ("click", "error", "view")
 
@@ -229,3 +233,185 @@ def _changes_written(spark, folder):
     refused = store.write_changes(adapt.changes(spark, folder), path, SOME)
     counts = lambda df, what: df.groupBy("owner_group").agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "owner_group", "n")
     return counts(spark.read.parquet(path), "written").unionByName(counts(refused, "refused"))
+
+
+def _csv(spark, folder, damaged):
+    """Customers as lines of a CSV text in several files, with comments, blank lines and, if wanted, errors."""
+    key = F.col("c_custkey")
+    part = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    row = part("src_", key, " , grp_", key % 4, ",10.1.0.", key % 250, ",", F.when(key % 3 == 0, " ").otherwise(part("dev", key)), ",", F.when(key % 2 == 0, "").otherwise("nginx.combined"), "\r")
+    if damaged:
+        row = (
+            F.when(key % 37 == 5, part("src_", key, ",grp_1")).when(key % 41 == 6, part(" ,grp_1,,,")).when(key % 43 == 7, part("src_", key - 1, ",grp_1,,,")).otherwise(row)
+        )
+    body = adapt.table(spark, folder, "customer").select((key * 3 + 1).alias("at"), row.alias("value"))
+    extra = body.filter("at % 10 = 1").select(F.col("at") + 1, F.when(F.col("at") % 20 == 1, "# a comment, with, commas").otherwise(""))
+    head = spark.createDataFrame([(-1, "# sources"), (0, "source_id,owner_group, peer_address ,hostname,parser_id")], "at long, value string")
+    path = _new_folder(spark, "csv")
+    head.unionByName(body).union(extra).repartitionByRange(4, "at").sortWithinPartitions("at").select("value").write.text(path)
+    return inventory.read_lines(spark, path)
+
+
+_LINES = """l AS (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) + 1 AS line, CASE WHEN c_custkey % 37 = 5 THEN 'cells' WHEN c_custkey % 41 = 6 THEN 'blank' END AS bad,
+  CASE WHEN c_custkey % 43 = 7 THEN c_custkey - 1 ELSE c_custkey END AS id, CASE WHEN c_custkey % 43 = 7 THEN 'grp_1' ELSE 'grp_' || (c_custkey % 4) END AS grp FROM customer),
+f AS (SELECT id, min(line) AS first FROM l WHERE bad IS NULL GROUP BY id),
+e AS (SELECT line, coalesce(bad, CASE WHEN line <> first THEN 'repeated' WHEN grp NOT IN ('grp_1', 'grp_2') THEN 'scope' END) AS problem,
+  CASE WHEN bad = 'cells' THEN '2 of 5' WHEN bad = 'blank' THEN '' WHEN line <> first THEN 'src_' || l.id || ' in line ' || first ELSE grp END AS detail FROM l LEFT JOIN f USING (id))"""
+
+
+@_query("inventory_errors", f"WITH {_LINES} SELECT * FROM e WHERE problem IS NOT NULL")
+def _inventory_errors(spark, folder):
+    """Every line of a damaged import that is refused, by a scope of two groups; no row comes through."""
+    found = inventory.check(_csv(spark, folder, True), SOME)
+    return found.errors.join(found.rows.select("source_id"), F.lit(False), "left").select("line", "problem", "detail")
+
+
+@_query("inventory_import", """WITH c AS (SELECT c_custkey AS key FROM customer)
+SELECT 'src_' || key AS source_id, 'grp_' || (key % 4) AS owner_group, '10.1.0.' || (key % 250) AS peer_address, CASE WHEN key % 3 <> 0 THEN 'dev' || key END AS hostname, CASE WHEN key % 2 = 1 THEN 'nginx.combined' END AS parser_id,
+  'auto' AS encoding, 'default' AS source_class, key % 5 = 0 OR key % 2 = 0 AS enabled, CASE WHEN key % 5 = 0 THEN 'created' ELSE 'updated' END AS change FROM c
+UNION ALL SELECT 'old_' || n_nationkey, 'grp_9', NULL, NULL, NULL, 'auto', 'default', true, NULL FROM nation""")
+def _inventory_import(spark, folder):
+    """A clean import merged into an inventory that lacks every fifth source and has some others."""
+    none = F.lit(None).cast("string")
+    schema = ["source_id", "owner_group", "peer_address", "hostname", "vendor", "product", "parser_id", "encoding", "source_class", "enabled", "created_at", "updated_at"]
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    plain = {c: none for c in schema} | {"encoding": F.lit("auto"), "source_class": F.lit("default"), "created_at": at, "updated_at": at}
+    key = F.col("c_custkey")
+    known = adapt.table(spark, folder, "customer").filter(key % 5 != 0).select(key).withColumns(plain | {"source_id": F.concat(F.lit("src_"), key), "owner_group": F.lit("grp_old"), "enabled": key % 2 == 0, "hostname": F.lit("old")})
+    others = adapt.table(spark, folder, "nation").withColumns(plain | {"source_id": F.concat(F.lit("old_"), F.col("n_nationkey")), "owner_group": F.lit("grp_9"), "enabled": F.lit(True)})
+    before = known.select(schema).unionByName(others.select(schema))
+    merged = inventory.upsert(before, inventory.check(_csv(spark, folder, False), ALL).rows, "2024-02-01")
+    return merged.select("source_id", "owner_group", "peer_address", "hostname", "parser_id", "encoding", "source_class", "enabled", "change")
+
+
+@_query("address_forms", """WITH e AS (SELECT event_id, user_id % 256 AS u, event_id % 8 AS kind, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) AS k FROM events)
+SELECT event_id, CASE kind WHEN 0 THEN '10.0.' || u || '.' || k WHEN 1 THEN '10.0.' || u || '.' || k WHEN 2 THEN '2001:db8::' || CASE WHEN k > 0 THEN lower(to_hex(k)) ELSE '' END WHEN 3 THEN 'fe80::' || lower(to_hex(k + 1))
+  WHEN 5 THEN '2001:db8::' || lower(to_hex(k + 1)) || ':1' END AS address, kind IN (0, 1) AND u < 16 AS inside FROM e""")
+def _address_forms(spark, folder):
+    """Addresses in eight spellings, three of which are none."""
+    kind, u = F.col("event_id") % 8, (F.col("user_id") % 256).cast("string")
+    k = F.get_json_object("props", "$.k").cast("int")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    form = (
+        F.when(kind == 0, text(" 10.0.", u, ".", k)).when(kind == 1, text("::FFFF:10.0.", u, ".", k)).when(kind == 2, text("2001:DB8:0:0:0:0:0:", F.hex(k))).when(kind == 3, text("fe80::", F.hex(k + 1), "%eth0"))
+        .when(kind == 4, "0:0:0:0:0:0:0:0").when(kind == 5, text("[2001:0db8::00", F.lpad(F.hex(k + 1), 2, "0"), ":0001]")).when(kind == 6, text("10.", k)).otherwise("2001:db8::1::2")
+    )
+    events = adapt.table(spark, folder, "events").select("event_id", form.alias("form"))
+    return events.select("event_id", addresses.canonical_address(F.col("form")).alias("address"), addresses.within(F.col("form"), "10.0.0.0/20").alias("inside"))
+
+
+@_query("uncaptured_fragments", _ev(""", f AS (SELECT vendor, unnest(['op_k' || k || ' user', 'value ' || value]) AS fragment FROM ev JOIN (SELECT event_id::VARCHAR AS event_id, value FROM events) USING (event_id)),
+c AS (SELECT vendor, fragment, count(*) AS lines FROM f GROUP BY vendor, fragment)
+SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY lines DESC, fragment)::INTEGER AS place FROM c QUALIFY place <= 25"""))
+def _fragments(spark, folder):
+    """Messages of which the type and the user are captured; one value of no line, and one that holds another, cover nothing."""
+    user = F.concat(F.lit(" "), F.regexp_extract("source_id", r"(\d+)", 1), F.lit(" "))
+    events = adapt.event_columns(spark, folder).withColumns({"user_": user, "all_": F.concat(F.lit("user"), user, F.lit("value")), "attrs": F.create_map(F.lit("none"), F.lit("nothing"))})
+    return fragments.top_fragments(events, ("action", "user_", "all_", "event_id"))
+
+
+def _findings(spark, folder):
+    """Orders as findings of the evidence providers."""
+    key = F.col("o_orderkey")
+    return adapt.table(spark, folder, "orders").select(
+        F.concat(F.lit("i"), key).alias("item_id"), F.element_at(F.array(F.lit("logs.propagation"), F.lit("logs.first-seen"), F.lit("other")), (key % 3 + 1).cast("int")).alias("provider_id"),
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, o_orderkey % 600, 0)").alias("ts"), F.floor("o_totalprice").cast("double").alias("weight"), (key % 500).cast("int").alias("order_in_slice"),
+    )
+
+
+_RANKED = """f AS (SELECT 'i' || o_orderkey AS item_id, ['logs.propagation', 'logs.first-seen', 'other'][o_orderkey % 3 + 1] AS provider_id, TIMESTAMP '2024-01-01' + (o_orderkey % 600) * INTERVAL 1 MINUTE AS ts, floor(o_totalprice)::DOUBLE AS weight, (o_orderkey % 500)::INTEGER AS slot FROM orders),
+s AS (SELECT *, {rank} + CASE WHEN max(weight) OVER (PARTITION BY provider_id) > 0 THEN weight / max(weight) OVER (PARTITION BY provider_id) ELSE 0 END AS score FROM f)"""
+
+
+def _rank_sql():
+    cases = " ".join(f"WHEN '{name}' THEN {value}" for name, value in evidence.CLASS_RANKS.items())
+    return "WITH " + _RANKED.format(rank=f"CASE provider_id {cases} ELSE {evidence.UNRANKED} END")
+
+
+@_query("ranked_positions", f"{_rank_sql()} SELECT item_id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, slot, item_id) AS position FROM s")
+def _positions(spark, folder):
+    """The place of every finding, without a budget."""
+    return evidence.rank(_findings(spark, folder)).select("item_id", F.round("score", 9).alias("score"), "position")
+
+
+@_query("finding_timeline", f"{_rank_sql()} SELECT item_id, ts, row_number() OVER (ORDER BY ts, score DESC, item_id) AS position FROM s")
+def _timeline(spark, folder):
+    return evidence.timeline(evidence.rank(_findings(spark, folder))).select("item_id", "ts", "position")
+
+
+_TRIGGERS = """tr AS (SELECT o_orderkey AS trigger_id, 'grp_' || (o_custkey % 4) AS owner_group, CASE WHEN o_orderkey % 50 <> 0 THEN 'src_' || (o_custkey % 150) END AS source_id, TIMESTAMP '2024-01-08' + (o_orderkey % 20000) * INTERVAL 1 MINUTE AS w0,
+  TIMESTAMP '2024-01-08' + (o_orderkey % 20000) * INTERVAL 1 MINUTE + (o_orderkey % 90) * INTERVAL 10 MINUTE AS w1 FROM orders WHERE o_orderkey % 25 = 0),
+m AS (SELECT trigger_id, sig, count(*) FILTER (ts >= w0) AS window_count, count(*) FILTER (ts < w0) AS baseline_count, min(ts) FILTER (ts >= w0) AS first_seen_at, any_value(epoch(w1) - epoch(w0)) AS span
+  FROM tr JOIN ev ON ts >= w0 - INTERVAL 7 DAY AND ts < w1 AND (ev.source_id = tr.source_id OR (tr.source_id IS NULL AND ev.owner_group = tr.owner_group)) WHERE w0 < w1 GROUP BY ALL HAVING count(*) FILTER (ts >= w0) > 0)"""
+
+
+def _alarms(spark, folder):
+    """Orders as triggers of a source or, without one, of a whole group; some windows are empty."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    start = F.expr("TIMESTAMP_NTZ '2024-01-08 00:00:00' + make_dt_interval(0, 0, o_orderkey % 20000, 0)")
+    return adapt.table(spark, folder, "orders").filter(key % 25 == 0).select(
+        key.alias("trigger_id"), F.concat(F.lit("grp_"), cust % 4).alias("owner_group"), F.when(key % 50 != 0, F.concat(F.lit("src_"), cust % 150)).alias("source_id"), start.alias("window_from"),
+        F.expr("TIMESTAMP_NTZ '2024-01-08 00:00:00' + make_dt_interval(0, 0, o_orderkey % 20000 + (o_orderkey % 90) * 10, 0)").alias("window_to"),
+    )
+
+
+@_query("trigger_signatures", _ev(f""", {_TRIGGERS} SELECT trigger_id, sig AS signature_text, window_count, baseline_count, first_seen_at, round(baseline_count * span / 604800.0::DOUBLE, 6) AS expected FROM m"""))
+def _trigger_signatures(spark, folder):
+    """What every trigger's window holds, against the week before it."""
+    out = triggers.signature_counts(_alarms(spark, folder), adapt.events(spark, folder), ALL)
+    return out.select("trigger_id", "signature_text", "window_count", "baseline_count", "first_seen_at", F.round("expected", 6).alias("expected"))
+
+
+@_query("trigger_evidence", _ev(f""", {_TRIGGERS}, p AS (SELECT trigger_id, unnest(['logs.first-seen', 'logs.volume']) AS provider_id FROM tr WHERE w0 < w1),
+n AS (SELECT trigger_id, 'logs.first-seen' AS provider_id, count(*) AS n FROM m WHERE baseline_count = 0 GROUP BY 1 UNION ALL
+  SELECT trigger_id, 'logs.volume', count(*) FROM m WHERE window_count >= 2 AND baseline_count > 0 AND (window_count - baseline_count * span / 604800.0::DOUBLE) / sqrt(baseline_count * span / 604800.0::DOUBLE) >= 2 GROUP BY 1)
+SELECT trigger_id, provider_id, CASE WHEN n > 0 THEN 'gathered' ELSE 'empty' END AS status, coalesce(n, 0) AS findings FROM p LEFT JOIN n USING (trigger_id, provider_id)"""))
+def _trigger_evidence(spark, folder):
+    alarms = _alarms(spark, folder)
+    return triggers.trigger_slices(alarms, triggers.trigger_findings(alarms, adapt.events(spark, folder), ALL, min_z=2.0, min_count=2))
+
+
+@_query("live_ingest", _ev(f""", {_PARSED} SELECT parser_id, parse_status, time_source, CAST(event_ts AS DATE) AS day, count(*) AS events, count(DISTINCT host) AS hosts, count(*) FILTER (tags <> '') AS tagged, sum(port)::BIGINT AS ports, max(src) AS last_source
+FROM (SELECT *, coalesce(parsed_at, CASE WHEN event_id::BIGINT % 3 > 0 THEN ts END, ingested_at) AS event_ts, CASE WHEN parsed_at IS NOT NULL THEN 'parsed' WHEN event_id::BIGINT % 3 > 0 THEN 'observed' ELSE 'received' END AS time_source,
+  CASE parser_id WHEN 'firewall' THEN 'fw' ELSE 'key ' || source_id END AS host, coalesce(dst_port::INTEGER, 0) AS port, CASE WHEN src_ip IS NULL THEN '' ELSE '::ffff:' || src_ip END AS src FROM pb) GROUP BY ALL"""))
+def _live_ingest(spark, folder):
+    """Device lines arrive as files of raw records; one streaming query makes the table of events, which is then scanned."""
+    inbox, path = _new_folder(spark, "inbox"), _new_folder(spark, "events")
+    rows = _lines(spark, folder).select(
+        "event_id", F.col("ingested_at").alias("received_at"), F.when(F.col("event_id").cast("long") % 3 > 0, F.col("ts")).alias("observed_at"), F.concat(F.lit("key "), "source_id").alias("source_key"), "source_id",
+        F.lit("grp").alias("owner_group"), F.encode("body", "UTF-8").alias("body"), F.create_map().cast(TEXT_MAP).alias("given"),
+    )
+    rows.write.parquet(inbox)
+    query = ingest.ingest(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(inbox), PARSERS, path, _new_folder(spark, "state"), availableNow=True)
+    query.awaitTermination()
+    events = store.scan_events(spark, path)
+    tagged = F.count(F.when(F.col("attrs")["logmeridian.tags"] != "", F.lit(1)))
+    return events.groupBy("parser_id", "parse_status", "time_source", F.col("event_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("host").alias("hosts"), tagged.alias("tagged"), F.sum("dst_port").alias("ports"), F.max("src_ip").alias("last_source")
+    )
+
+
+@_query("live_sample", _ev("SELECT DISTINCT sig AS signature_text FROM ev WHERE event_type_ <> 'view' AND (parse_status = 'failed' OR ('0x' || substr(md5(event_id), 1, 8))::BIGINT % 100 < 10)".replace("event_type_", "action")))
+def _live_sample(spark, folder):
+    """Signatures that the sampler passes on when the events arrive as a stream and those of views are known."""
+    known = adapt.events(spark, folder).filter("action = 'view'").select("signature_hash")
+    inbox = _new_folder(spark, "inbox")
+    adapt.events(spark, folder).select("event_id", "ingested_at", "parse_status", "signature_hash", "signature_text").write.parquet(inbox)
+    stream = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
+    return live.drain(ingest.sampled(stream, known, percent=10, late="40 days"), "sample").select("signature_text")
+
+
+@_query("replay_all_fields", _ev(f""", o AS (SELECT * FROM ev WHERE event_id::BIGINT % 9 <> 0), j AS (SELECT ev.*, o.event_id IS NULL AS is_new FROM ev LEFT JOIN o USING (event_id)),
+c AS (SELECT 'vendor' AS field, k % 4 = 0 AS c, is_new FROM j UNION ALL SELECT 'dst_port', k % 5 = 1, is_new FROM j UNION ALL SELECT 'ts', k % 6 = 2, is_new FROM j UNION ALL SELECT 'time_source', time_source = 'observed', is_new FROM j
+  UNION ALL SELECT 'attrs.new', k % 7 = 3, is_new FROM j UNION ALL SELECT 'attrs.k', k % 8 = 4, is_new FROM j UNION ALL SELECT 'parse_status', parse_status = 'partial', is_new FROM j)
+SELECT field, count(*) AS n FROM c WHERE c AND NOT is_new GROUP BY field"""))
+def _all_fields(spark, folder):
+    """Changes by field over all fields of an event and each key of its attributes."""
+    events, k = adapt.events(spark, folder), F.col("attrs")["k"].cast("int")
+    rebuilt = events.withColumns({
+        "vendor": F.when(k % 4 == 0, F.upper(F.concat("vendor", F.lit("x")))).otherwise(F.col("vendor")), "dst_port": F.when(k % 5 == 1, F.col("dst_port") + 1).otherwise(F.col("dst_port")),
+        "ts": F.when(k % 6 == 2, F.expr("ts + make_dt_interval(0, 0, 0, 1)")).otherwise(F.col("ts")), "time_source": F.lit("parsed"), "parse_status": F.when(F.col("parse_status") == "partial", "ok").otherwise(F.col("parse_status")),
+        "attrs": F.map_concat(F.when(k % 8 == 4, F.map_filter("attrs", lambda n, _: n != "k")).otherwise(F.col("attrs")), F.when(k % 7 == 3, F.create_map(F.lit("new"), F.lit("1"))).otherwise(F.create_map().cast(TEXT_MAP))),
+    })
+    changed = replay.diff(events.filter(F.col("event_id").cast("long") % 9 != 0), rebuilt, attrs="attrs")
+    return replay.changes_per_field(changed)

@@ -11,6 +11,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logmeridian.functions.addresses import mapped_text
 from logmeridian.functions.exprs import let, literal_map, nonblank
 from logmeridian.functions.steps import AT, Step, fields_of, parse_state
 
@@ -81,9 +82,8 @@ def parse_events(df: DataFrame, parsers: Sequence[Parser], body: str = "body", b
 
 
 def mapped_address(text: Column) -> Column:
-    """An IPv4 address in its IPv6-mapped form; NULL for anything else."""
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    return F.when(text.rlike(rf"^({octet}\.){{3}}{octet}$"), F.concat(F.lit("::ffff:"), text))
+    """An address in one spelling, IPv4 in its IPv6-mapped form; NULL for anything else."""
+    return mapped_text(text)
 
 
 def clamped(text: Column, most: int) -> Column:

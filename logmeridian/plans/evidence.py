@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from logmeridian.functions import scores
 from logmeridian.functions.exprs import decimal_text, ellipsis, text_map, utc_text
 from logmeridian.functions.signature import unsigned_text
+from logmeridian.operators.ordering import numbered
 from logmeridian.operators import correlate
 from logmeridian.operators.search import change_criteria, count_events_out_of_scope
 from logmeridian.schemas import LIFT_FIELDS
@@ -101,9 +102,10 @@ class Report:
 
 def _top(df: DataFrame, budget: int | None, *order: Column) -> DataFrame:
     """Rows with their position; with a budget the best ``budget + 1``, the extra row telling that more exist."""
-    if budget is not None:
-        df = df.orderBy(*order).limit(budget + 1)
-    return df.withColumn("order_in_slice", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    if budget is None:
+        return numbered(df, "order_in_slice", *order, start=0)
+    few = df.orderBy(*order).limit(budget + 1)
+    return few.withColumn("order_in_slice", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
 
 
 def _findings(
@@ -448,20 +450,18 @@ def class_rank(provider: Column) -> Column:
 
 def rank(findings: DataFrame) -> DataFrame:
     """Score = class rank + weight relative to the slice's heaviest item; position 1 is the best."""
-    slice_max = F.max("weight").over(Window.partitionBy("provider_id"))
-    scored = findings.withColumn("slice_max", slice_max).withColumn(
+    heaviest = findings.groupBy(F.col("provider_id").alias("provider_")).agg(F.max("weight").alias("slice_max"))
+    scored = findings.join(F.broadcast(heaviest), F.col("provider_id").eqNullSafe(F.col("provider_"))).drop("provider_").withColumn(
         "score",
         class_rank(F.col("provider_id"))
         + F.when(F.col("slice_max") > 0, F.col("weight") / F.col("slice_max")).otherwise(0.0),
     )
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "order_in_slice", "item_id")
-    return scored.withColumn("position", F.row_number().over(order)).drop("slice_max")
+    return numbered(scored.drop("slice_max"), "position", F.col("score").desc(), F.col("order_in_slice"), F.col("item_id"))
 
 
 def timeline(ranked: DataFrame) -> DataFrame:
     """The same findings in time order, better scores first within an instant."""
-    order = Window.partitionBy(F.lit(0)).orderBy("ts", F.col("score").desc(), "item_id")
-    return ranked.withColumn("position", F.row_number().over(order))
+    return numbered(ranked.drop("position"), "position", F.col("ts"), F.col("score").desc(), F.col("item_id"))
 
 
 def report_flags(slices: DataFrame) -> DataFrame:
