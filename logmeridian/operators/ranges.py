@@ -51,7 +51,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Col
 
     one, two = prepared(left, left_span, "a1_", "b1_"), prepared(right, right_span, "a2_", "b2_")
     first, second = _levels(one), _levels(two)
-    levels = {max(x, y) for x in first for y in second}
+    levels = {max(x, y) for x in first for y in second} or {0}
     one = _bucketed(one, levels, "a1_", "b1_", "s1_").withColumnRenamed("level_", "l1_")
     two = _bucketed(two, levels, "a2_", "b2_", "s2_").withColumnRenamed("level_", "l2_")
     two = two.withColumnsRenamed({c: f"{c}__" for c in on})

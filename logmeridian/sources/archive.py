@@ -184,19 +184,20 @@ def present(spark: SparkSession, root: str, objects: DataFrame) -> DataFrame:
 def scrub(spark: SparkSession, root: str, objects: DataFrame, now: Instant, most: int = SCRUB_OBJECTS) -> DataFrame:
     """The manifest after a check of the ``most`` objects that were checked longest ago, never checked ones first.
 
-    Objects already missing are passed over. A file that is gone makes its object ``Missing``, other bytes than those
-    written make it ``ChecksumMismatch``, equal ones ``Verified``. Only the chosen files are read.
+    Objects already missing are passed over. A file that is gone makes its object ``Missing``; one that holds other bytes than those
+    written, or that its storage cannot read, makes it ``ChecksumMismatch``, equal bytes make it ``Verified``. Only the chosen files are read.
     """
     chosen = objects.filter(F.col("state") != MISSING).orderBy(F.col("last_scrubbed_at").asc_nulls_first(), "object_key").limit(most).select("object_key")
-    found = [f"{root}/objects/{r['object_key']}" for r in present(spark, root, chosen).filter("exists").collect()]  # at most ``most``
-    checked = chosen.withColumn("chosen", F.lit(True))
+    checked = present(spark, root, chosen).collect()  # at most ``most``
+    found = [f"{root}/objects/{r['object_key']}" for r in checked if r["exists"]]
+    asked = spark.createDataFrame([(r["object_key"], r["exists"]) for r in checked], "object_key STRING, exists BOOLEAN")
     if found:
-        files = spark.read.format("binaryFile").load(found).select(object_key(F.col("path")).alias("object_key"), F.sha2("content", 256).alias("found"))
+        files = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(found).select(object_key(F.col("path")).alias("object_key"), F.sha2("content", 256).alias("found"))
     else:
         files = spark.createDataFrame([], "object_key STRING, found STRING")
-    state = F.when(F.col("chosen").isNull(), F.col("state")).when(F.col("found").isNull(), MISSING).when(F.col("found") != F.col("sha256"), MISMATCH).otherwise(VERIFIED)
-    joined = objects.join(checked, "object_key", "left").join(files, "object_key", "left")
-    last = F.when(F.col("chosen"), instant(now).cast("timestamp")).otherwise(F.col("last_scrubbed_at"))
+    state = F.when(F.col("exists").isNull(), F.col("state")).when(~F.col("exists"), MISSING).when(F.col("found") == F.col("sha256"), VERIFIED).otherwise(MISMATCH)
+    joined = objects.join(asked, "object_key", "left").join(files, "object_key", "left")
+    last = F.when(F.col("exists").isNotNull(), instant(now).cast("timestamp")).otherwise(F.col("last_scrubbed_at"))
     return joined.withColumn("state", state).withColumn("last_scrubbed_at", last).select(objects.columns)
 
 

@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 from logmeridian.schemas import EVENT_SCHEMA
 from logmeridian.scope import AccessScope, in_scope, out_of_scope
 
-COLUMNS = StructType.fromDDL(EVENT_SCHEMA).fieldNames()
 SORT = ["owner_group", "source_id", "ts"]
 
 
