@@ -1,488 +1,543 @@
 """Language-model scoring with a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Tokens are lower-cased words and one end per text. The model has two levels of Chinese restaurants: one
-restaurant for each preceding word, told by its 64-bit hash, all of them sharing the root restaurant as
-parent, whose own base is uniform over the vocabulary and one unknown word.
-
-One shuffle brings all tokens together by word: per batch of texts each (word, preceding word) travels once, with
-the texts that have it, packed into byte columns. A word that makes up more than a part of all tokens
-is dealt over the tasks by preceding word as well; its totals are added up on the driver. The
-merged blocks are written once. The totals of the restaurants are a second table, in groups by the hash of the preceding
-word: a block sends each group one row with its tables per restaurant, the group adds up the rows of all blocks and answers
-each block with the totals of the restaurants it has, so a frequent restaurant counts once per block. Every sweep reads the
-counts and these answers, seats all customers of a (word, preceding word) anew given the others, sums the tables into the
-parent, seats the parent, and reports the totals of the root. A block's seating is a function of its counts and of the totals of
-earlier sweeps (the random numbers come from a seed by block and sweep), so nothing else is kept and
-a lost executor changes nothing. Scores average the predictive probabilities of the last sweeps.
-
-A customer block of a frequent word (more than ``EXACT`` customers) is seated in steps of growing size
-with binomial draws; up to that number customers are seated one by one.
+Tokens are lower-cased words and one end per text. The model has two levels of Chinese restaurants: one restaurant for
+each preceding word, told by its 64-bit hash, all of them sharing the root restaurant as parent, whose own base is uniform
+over the vocabulary and one unknown word.
+
+Texts are packed once into batches of tokens. A batch sends its distinct pairs (preceding word, word), each once and with its
+count in training texts, to the block that holds the preceding word's restaurant; a restaurant of a frequent word is dealt over all
+blocks by the second word. A block merges what batches send into the customers of its restaurants, and keeps the tables of each dish from sweep to
+sweep as a written table. The root restaurant is dealt over groups by word: in each sweep a block tells every group how many tables its
+restaurants have per word, the group adds them up, seats the root, and answers. Totals of the restaurants of frequent words and of the root,
+whose number has a bound, are added up by Spark and pass through the driver.
+
+A sweep is one Gibbs step for the number of tables of every dish: the dish's own tables are taken out of its restaurant and of the
+root, and their new number is drawn from its distribution given all others, which the generalised Stirling numbers give in closed form. Blocks
+step at the same time, each given the root as it was at the start of the sweep, and the dishes of a block in two random halves, restaurants being counted anew in
+between. A dish of more than ``EXACT`` customers, for which there is no table of Stirling numbers, is seated customer by customer, later in growing steps.
+Scores average the predictive probabilities after the last sweeps.
+
+Random numbers come from a seed by block and sweep, and every state is a written table, so a lost executor changes nothing. Tables that a
+later one replaces are deleted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmeridian.llm import words as W
-from logmeridian.llm.storage import arrow_ready, few_rows_read, one_row_batches, shuffle_width, stash, table
+from logmeridian.llm.storage import arrow_ready, discard, few_rows_read, one_row_batches, shuffle_width, stash, stash_buckets, table
 
-CLASSES = 1 << 12
-"""A key holds the word and the low 12 bits of the hash of the preceding word; ``rest`` holds the other 52."""
-_CLASS_BITS = np.uint64(12)
 SWEEPS, BURN_IN = 4, 2
-EXACT = 64
+EXACT = 1024
+HALVES = 2
 STRENGTH = 1.0
 BATCH_TOKENS = 1_000_000
-RANGES_PER_PARTITION = 3
-"""Blocks for each shuffle partition; a task holds one block at a time."""
-PARTITIONS_PER_GROUP = 4
-"""Shuffle partitions for each group of restaurants."""
+BATCH_TEXTS = 60_000
+RANGE_TOKENS = 2_000_000
+"""Tokens for each block of restaurants, and again for each block of those of frequent words."""
+RANGES_PER_GROUP = 4
+"""Blocks for each group of the root's words."""
 SEED = 20_24
 
-_CLASS_MASK = np.uint64(CLASSES - 1)
 _START = np.uint64(0x5EED_0000_0001)
 _END = W.mix(np.array([0xE0D_0F_7E47], np.uint64))[0]
+_NO_ID = -(2**63)
 
-
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all tokens in order, the rest of the preceding word's hash, and the text; every text ends with an end."""
-    data = W.lower(data)
-    found = W.find_words(data, offs)
-    hashes = W.slice_hashes(data, found.starts, found.ends)
-    n = np.diff(found.bounds)
-    words = np.insert(hashes, found.bounds[1:], _END)
-    before = np.insert(hashes, found.bounds[:-1], _START)
-    # ``before`` has the start of each text first and its last word last: the token's predecessor.
-    before = W.mix(before)
-    return (words & ~_CLASS_MASK) | (before & _CLASS_MASK), before >> _CLASS_BITS, np.repeat(np.arange(len(n)), n + 1)
+_BATCH = "batch long, n long, data array<binary>"
+_MESSAGE = "kind int, at long, peer long, data array<binary>, value double"
+BLOCK, ASK, SEATS, REPLY, SUM, ROOT, TOTAL = range(7)
+"""What a row of a message table is, and whom it goes to: a block's customers, a batch's pairs in it, its tables, and a group's answer to it
+(all to the block ``at``; ``value`` of the latter two is the sweep); a block's tables per word and a group's seating (to the group ``at``); the total ``at``."""
+TOKENS, KNOWN, ONCE, TWICE, ROOT_ONCE, ROOT_TWICE, ROOT_CUSTOMERS, ROOT_TABLES, FIRST_HOT = range(9)
+"""Numbers of the totals; those of frequent words follow, customers first, then tables."""
 
 
-def _word(keys: np.ndarray) -> np.ndarray:
-    return keys & ~_CLASS_MASK
+def pack(values: np.ndarray) -> bytes:
+    """An array in its narrowest type, byte by byte of all values in turn, compressed."""
+    if values.dtype.kind == "f":
+        code, x = 9, values.astype("<f4")
+    else:
+        top = int(values.max(initial=0))
+        code = 8 if values.dtype == np.uint64 or values.min(initial=0) < 0 else 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+        x = values.astype(f"<u{code}")
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+    return bytes([code]) + zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def frequent_words(texts: DataFrame, ranges: int) -> np.ndarray:
-    """Words of at least one in ``4 * ranges`` tokens. A task reports only words twice as rare as that
-    among its own tokens, so both its report and the result have a bound that data do not move."""
+def unpack(data: bytes, signed: bool = True) -> np.ndarray:
+    size = 4 if data[0] == 9 else data[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    flat = np.ascontiguousarray(raw.reshape(size, -1).T).ravel()
+    if data[0] == 9:
+        return flat.view("<f4").astype(np.float64)
+    x = flat.view(f"<u{size}")
+    return x.astype(np.uint64).view(np.int64) if signed else x.astype(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, total = [], 0
-        for batch in batches:
-            for _, _, data, offs in W.pieces(batch.column(0)):
-                word, count = np.unique(_word(_tokens(data, offs)[0]), return_counts=True)
-                total += count.sum()
-                keep = count * 64 * ranges >= count.sum()
-                gathered.append((word[keep], count[keep]))
-        if gathered:
-            word, back = np.unique(np.concatenate([w for w, _ in gathered]), return_inverse=True)
-            count = np.bincount(back, weights=np.concatenate([c for _, c in gathered])).astype(np.int64)
-            keep = count * 8 * ranges >= total
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(word[keep].view(np.int64), 0)), pa.array(np.append(count[keep], total)), pa.array(np.append(np.zeros(keep.sum(), bool), True))], names=["word", "n", "all"])
 
-    counts = texts.select("text").mapInArrow(run, "word long, n long, all boolean").groupBy("word", "all").agg(F.sum("n").alias("n"))
-    rows = counts.collect()
-    total = sum(r["n"] for r in rows if r["all"])
-    return np.sort(np.array([r["word"] for r in rows if not r["all"] and r["n"] * 4 * ranges >= total], np.int64).view(np.uint64))
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    return pack(np.diff(hashes, prepend=np.uint64(0)))
 
 
-_SENT = "range int, base long, keys binary, rest binary, runs binary, idx binary, times binary, docs binary, ids binary, held binary"
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, signed=False), dtype=np.uint64)
 
 
-def _send(ranges: int, hot: np.ndarray):
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens in order, and the number of tokens of each text; every text ends with an end."""
+    data = W.lower(data)
+    found = W.find_words(data, offs)
+    hashes = W.slice_hashes(data, found.starts, found.ends)
+    return np.insert(hashes, found.bounds[1:], _END), np.diff(found.bounds) + 1
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts packed into batches: the sorted hashes of their words (and of the start), the words' places from the most frequent on, the
+    tokens as numbers in that order, lengths, ids, and which are held out."""
+    from pyspark import TaskContext
+
+    number, held, size, count = TaskContext.get().partitionId() << 33, [], 0, 0
+
+    def flush() -> pa.RecordBatch:
+        tokens, lengths, ids, out = (np.concatenate(x) for x in zip(*held, strict=True))
+        words, places = np.unique(np.append(tokens, _START), return_inverse=True)
+        often = np.argsort(-np.bincount(places), kind="stable")
+        number_of = np.empty_like(often)
+        number_of[often] = np.arange(len(often))
+        packed = [pack_sorted(words), *(pack(x) for x in (often, number_of[places[:-1]], lengths, ids, out))]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([packed], pa.list_(pa.binary()))], names=["batch", "n", "data"])
+
+    for batch in batches:
+        ids, out = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        for first, last, data, offs in W.pieces(batch.column(0)):
+            tokens, lengths = _tokens(data, offs)
+            held.append((tokens, lengths, ids[first:last].astype(np.int64), out[first:last].astype(np.uint8)))
+            size, count = size + len(tokens), count + last - first
+            if size >= BATCH_TOKENS or count >= BATCH_TEXTS:
+                yield flush()
+                number, held, size, count = number + 1, [], 0, 0
+    if held:
+        yield flush()
+
+
+class Batch:
+    """A batch opened: tokens, and its distinct pairs sorted by the hashes of both words."""
+
+    def __init__(self, data: list[bytes]):
+        self.words = unpack_sorted(data[0])
+        often, numbers, self.lengths, self.ids, self.held = (unpack(x) for x in data[1:])
+        self.tokens = often[numbers]
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.first] = np.searchsorted(self.words, _START)
+        self.before = before
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of both words of each pair, and the pair of every token."""
+        code, back = np.unique(self.before * len(self.words) + self.tokens, return_inverse=True)
+        return code // len(self.words), code % len(self.words), back
+
+    def training(self) -> np.ndarray:
+        return np.repeat(self.held == 0, self.lengths)
+
+
+def _lots(batch: Batch, before: np.ndarray, word: np.ndarray, hot: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs in order of the blocks they go to, and their blocks in that order."""
     width = (1 << 64) // ranges + 1
     edges = np.array([i * width for i in range(1, ranges)], np.uint64)
+    lot = np.searchsorted(edges, batch.words, "right")[before]
+    frequent = np.isin(batch.words, hot)[before]
+    lot[frequent] = ranges + (W.mix(batch.words[word[frequent]] ^ W.mix(batch.words[before[frequent]])) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(lot, kind="stable")
+    return order, lot[order]
 
-    def flush(base: int, keys: np.ndarray, rest: np.ndarray, doc: np.ndarray, ids: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
-        frequent = np.isin(_word(keys), hot)
-        lot = np.searchsorted(edges, keys, "right")
-        lot[frequent] = ranges + (W.mix(keys[frequent] ^ W.mix(rest[frequent])) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((rest, keys, lot))
-        keys, rest, doc, lot = keys[order], rest[order], doc[order], lot[order]
-        fresh = np.concatenate([[True], _changes(keys, rest) | (doc[1:] != doc[:-1])])
-        at = np.flatnonzero(fresh)
-        times = np.diff(np.append(at, len(keys)))
-        keys, rest, doc, lot = keys[at], rest[at], doc[at], lot[at]
-        cuts = np.concatenate([[0], np.flatnonzero(lot[1:] != lot[:-1]) + 1, [len(lot)]])
-        rows = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            heads = np.flatnonzero(np.concatenate([[True], _changes(keys[a:b], rest[a:b])]))
-            present, idx = np.unique(doc[a:b], return_inverse=True)
-            rows.append((
-                int(lot[a]), base, _planes(keys[a:b][heads]), _planes(rest[a:b][heads]), np.diff(np.append(heads, b - a)).astype("<i4").tobytes(), idx.astype("<u2").tobytes(),
-                times[a:b].astype("<i4").tobytes(), present.astype("<u2").tobytes(), ids[present].tobytes(), held[present].tobytes(),
-            ))
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
-        names = ["range", "base", "keys", "rest", "runs", "idx", "times", "docs", "ids", "held"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base, keys, rests, docs, ids, held, size, count = TaskContext.get().partitionId() << 36, [], [], [], [], [], 0, 0
-        for batch in batches:
-            for first, last, data, offs in W.pieces(batch.column(0)):
-                key, rest, doc = _tokens(data, offs)
-                keys.append(key)
-                rests.append(rest)
-                docs.append(doc + count)
-                ids.append(batch.column(1).slice(first, last - first).to_numpy(zero_copy_only=False).astype(np.int64))
-                held.append(batch.column(2).slice(first, last - first).to_numpy(zero_copy_only=False).astype(np.uint8))
-                size, count = size + len(key), count + last - first
-                if size >= BATCH_TOKENS or count >= 60_000:
-                    yield flush(base, *map(np.concatenate, (keys, rests, docs, ids, held)))
-                    base, keys, rests, docs, ids, held, size, count = base + count, [], [], [], [], [], 0, 0
-        if count:
-            yield flush(base, *map(np.concatenate, (keys, rests, docs, ids, held)))
 
-    return run
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.float64()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "at", "peer", "data", "value"])
 
 
-def _changes(keys: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    return (keys[1:] != keys[:-1]) | (rest[1:] != rest[:-1])
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_rows(rows)])
 
 
-def _planes(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _runs(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
 
 
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def frequent_words(batches: DataFrame, ranges: int) -> np.ndarray:
+    """Preceding words of at least one in ``4 * ranges`` tokens. A task reports only words twice as rare as that
+    among its own tokens, so both its report and the result have a bound that data do not move."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, total = [], 0
+        for batch in rows:
+            for data in batch.column("data").to_pylist():
+                one = Batch(data)
+                count = np.bincount(one.before, minlength=len(one.words))
+                keep = count * 64 * ranges >= count.sum()
+                gathered.append((one.words[keep], count[keep]))
+                total += int(count.sum())
+        if gathered:
+            words, back = np.unique(np.concatenate([w for w, _ in gathered]), return_inverse=True)
+            count = np.bincount(back, weights=np.concatenate([c for _, c in gathered])).astype(np.int64)
+            keep = count * 8 * ranges >= total
+            yield pa.RecordBatch.from_arrays([pa.array(words[keep].view(np.int64)), pa.array(count[keep])], names=["word", "n"])
+
+    total = batches.agg(F.sum("n")).first()[0] or 0
+    found = batches.select("data").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * 4 * ranges >= total)
+    return np.sort(np.array([r["word"] for r in found.select("word").collect()], np.int64).view(np.uint64))
+
+
+def _send(hot: np.ndarray, ranges: int):
+    """A batch's pairs for each block: preceding words, words, the length of the runs of the former, the places of the latter, counts."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in rows for r in b.to_pylist()):
+            batch = Batch(row["data"])
+            before, word, back = batch.pairs()
+            count = np.bincount(back[batch.training()], minlength=len(word))
+            order, lot = _lots(batch, before, word, hot, ranges)
+            before, word, count = before[order], word[order], count[order]
+            cuts = np.append(_runs(lot), len(lot))
+            out = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                heads = _runs(before[a:b])
+                some, place = np.unique(word[a:b], return_inverse=True)
+                hashes = (pack_sorted(batch.words[before[a:b][heads]]), pack_sorted(batch.words[some]))
+                out.append((BLOCK, int(lot[a]), row["batch"], [*hashes, *(pack(x) for x in (np.diff(np.append(heads, b - a)), place, count[a:b]))], None))
+            yield _rows(out)
 
-_BLOCK = "range int, keys binary, rest binary, count binary, runs binary, doc binary, times binary, uid binary, ids binary, held binary"
+    return run
 
 
-def _merge(group: pa.Table) -> pa.Table:
-    """One block per range: sorted keys with training counts, and the texts that have each."""
-    keys, rest, docs, times, uid, ids, held = [], [], [], [], [], [], []
-    rows = group.sort_by([("base", "ascending")]).to_pylist()
-    for row in rows:
-        present = np.frombuffer(row["docs"], "<u2")
-        runs = np.frombuffer(row["runs"], "<i4")
-        keys.append(np.repeat(_unplanes(row["keys"]), runs))
-        rest.append(np.repeat(_unplanes(row["rest"]), runs))
-        docs.append(np.frombuffer(row["idx"], "<u2").astype(np.int64) + sum(map(len, uid)))
-        times.append(np.frombuffer(row["times"], "<i4"))
-        uid.append(row["base"] + present.astype(np.int64))
-        ids.append(np.frombuffer(row["ids"], "<i8"))
-        held.append(np.frombuffer(row["held"], np.uint8))
-    keys, rest, docs, times, uid, ids, held = map(np.concatenate, (keys, rest, docs, times, uid, ids, held))
-    order = np.lexsort((rest, keys))
-    keys, rest, docs, times = keys[order], rest[order], docs[order], times[order]
-    heads = np.flatnonzero(np.concatenate([[True], _changes(keys, rest)]))
-    count = np.add.reduceat(np.where(held[docs] == 1, 0, times).astype(np.int64), heads)
-    blobs = [_planes(keys[heads]), _planes(rest[heads]), count.astype("<i8").tobytes(), np.diff(np.append(heads, len(keys))).astype("<i4").tobytes(), docs.astype("<i4").tobytes(), times.astype("<i4").tobytes(), uid.tobytes(), ids.tobytes(), held.tobytes()]
-    names = ["range", "keys", "rest", "count", "runs", "doc", "times", "uid", "ids", "held"]
-    return pa.Table.from_arrays([pa.array([rows[0]["range"]], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], names=names)
+def _merge(rows: pa.Table) -> pa.Table:
+    """A block's customers, and the places in it of the pairs of each batch."""
+    sent = sorted(rows.to_pylist(), key=lambda r: r["peer"])
+    before, word, count, sizes = [], [], [], []
+    for r in sent:
+        contexts, words = (unpack_sorted(x) for x in r["data"][:2])
+        runs, place, n = (unpack(x) for x in r["data"][2:])
+        before.append(np.repeat(contexts, runs))
+        word.append(words[place])
+        count.append(n)
+        sizes.append(len(n))
+    before, word, count = map(np.concatenate, (before, word, count))
+    order = np.lexsort((word, before))
+    before, word = before[order], word[order]
+    fresh = np.concatenate([[True], (before[1:] != before[:-1]) | (word[1:] != word[:-1])])
+    heads = np.flatnonzero(fresh)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    count = np.add.reduceat(count[order], heads)
+    before, word = before[heads], word[heads]
+    starts = _runs(before)
+    some, of = np.unique(word, return_inverse=True)
+    at = sent[0]["at"]
+    out = [(BLOCK, at, -1, [pack_sorted(before[starts]), pack_sorted(some), *(pack(x) for x in (np.diff(np.append(starts, len(before))), of, count))], None)]
+    # Both sides are sorted by the same hashes, so places only grow.
+    for r, mine in zip(sent, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
+        out.append((ASK, at, r["peer"], [pack(np.diff(mine, prepend=0))], None))
+    return _table(out)
 
 
 @dataclass
-class Totals:
-    """What the whole corpus adds up to after a sweep; the restaurants are only those of one block, empty on the driver."""
+class Model:
+    hot: np.ndarray
+    """Hashes of the frequent preceding words, sorted."""
+    totals: dict[int, float] = field(default_factory=dict)
+    discount: float = 0.5
+    root_discount: float = 0.5
 
-    customers: np.ndarray
-    """Training tokens per preceding word."""
-    tables: np.ndarray
-    root_customers: float
-    root_tables: float
-    hot_customers: np.ndarray
-    """Customers of frequent words in the root."""
-    hot_tables: np.ndarray
+    @property
+    def base(self) -> float:
+        return 1 / (self.totals.get(KNOWN, 0) + 1)
 
+    def root_chance(self, customers: np.ndarray, tables: np.ndarray, gone: np.ndarray | float = 0.0) -> np.ndarray:
+        """The root's probability of words with so many customers and tables, ``gone`` of their customers being taken out."""
+        left = np.maximum(customers - gone, 0)
+        fresh = (STRENGTH + self.root_discount * self.totals.get(ROOT_TABLES, 0)) * self.base
+        return (np.maximum(left - self.root_discount * np.minimum(tables, left), 0) + fresh) / (STRENGTH + self.totals.get(ROOT_CUSTOMERS, 0) - gone)
 
-@dataclass
-class Model:
-    hot: np.ndarray
-    hot_counts: np.ndarray
-    tokens: int
-    vocabulary: int
-    discount: float
-    root_discount: float
-    history: list[Totals]
+    def of_hot(self, offset: int) -> np.ndarray:
+        return np.array([self.totals.get(FIRST_HOT + offset * len(self.hot) + i, 0.0) for i in range(len(self.hot))])
 
 
-def _seat(count: np.ndarray, chance: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
-    """Tables taken by ``count`` customers of one dish each; ``chance`` is the weight of a new table."""
-    tables = np.minimum(count, 1).astype(np.float64)
-    live = np.flatnonzero(count > 1)
-    seated = 1
+_stirling: dict[float, np.ndarray] = {}
+
+
+def stirling(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: entry ``[c, t]`` for ``c`` customers at ``t`` tables, up to ``EXACT``."""
+    if discount not in _stirling:
+        _stirling.clear()
+        out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        out[1, 1] = 0.0
+        t = np.arange(1, EXACT + 1)
+        with np.errstate(divide="ignore"):
+            for c in range(1, EXACT):
+                out[c + 1, 1:] = np.logaddexp(out[c, :-1], out[c, 1:] + np.log(np.maximum(c - discount * t, 0)))
+        _stirling[discount] = out
+    return _stirling[discount]
+
+
+def _one_by_one(count: np.ndarray, chance: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Tables taken by ``count`` customers that come after each other; ``chance`` is the weight of a new table."""
+    tables, live, seated = np.ones(len(count)), np.arange(len(count)), 1
     while len(live):
         step = 1 if seated < EXACT else seated // 16
         take = np.minimum(step, count[live] - seated)
-        p = chance[live] / (chance[live] + seated - discount * tables[live])
-        tables[live] += random.binomial(take, p)
+        tables[live] += random.binomial(take, chance[live] / (chance[live] + seated - discount * tables[live]))
         seated += step
         live = live[count[live] > seated]
     return tables
 
 
+_SIZES = np.array([1, *range(2, 17), *(x for k in range(4, 10) for x in (3 << (k - 1), 2 << k))])
+"""Customers up to which dishes are drawn together."""
+
+
+def draw_tables(count: np.ndarray, others: np.ndarray, chance: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """New numbers of tables: of ``count`` customers of a dish that the parent serves with probability ``chance``, in a restaurant with ``others`` tables besides."""
+    tables = np.minimum(count, 1).astype(np.float64)
+    many = count > EXACT
+    if many.any():
+        tables[many] = _one_by_one(count[many], (STRENGTH + discount * others[many]) * chance[many], discount, random)
+    size = np.searchsorted(_SIZES, count)
+    for i in np.unique(size[(count > 1) & ~many]).tolist():
+        top = int(_SIZES[i])
+        at = np.flatnonzero((size == i) & (count > 1) & ~many)
+        for few in np.array_split(at, -(-len(at) * top // 1_000_000)):
+            more = np.cumsum(np.log(STRENGTH + discount * (others[few, None] + np.arange(top))), axis=1) + np.arange(1, top + 1) * np.log(chance[few, None])
+            weight = stirling(discount)[count[few], 1 : top + 1] + more
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            tables[few] = 1 + (weight < random.random((len(few), 1)) * weight[:, -1:]).sum(axis=1)
+    return tables
+
+
 class Block:
-    """The seating of one block, replayed from the totals of earlier sweeps."""
-
-    def __init__(self, row: dict, model: Model):
-        self.model, self.range = model, row["range"]
-        self.keys, self.count = _unplanes(row["keys"]), np.frombuffer(row["count"], "<i8")
-        words = _word(self.keys)
-        heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, np.int64)
-        self.words = words[heads]
-        self.of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(words))))
-        if row.get("rest") is None:
-            self.contexts, self.cls = np.arange(CLASSES, dtype=np.uint64), (self.keys & _CLASS_MASK).astype(np.int64)
-        else:
-            self.contexts, self.cls = np.unique((_unplanes(row["rest"]) << _CLASS_BITS) | (self.keys & _CLASS_MASK), return_inverse=True)
-        self.is_hot = np.isin(self.words, model.hot)
-        self.hot_at = np.searchsorted(model.hot, self.words[self.is_hot])
-        self.word_count = self._by_word(self.count)
-        self.word_count[self.is_hot] = model.hot_counts[self.hot_at]
-        self.tables = np.minimum(self.count, 1).astype(np.float64)
-        self._root(0)
-
-    def _by_word(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, weights=values, minlength=len(self.words)) if len(self.of) else np.zeros(len(self.words))
+    """Restaurants of some preceding words, or the share of those of frequent ones that falls on some words."""
+
+    def __init__(self, data: list[bytes], model: Model):
+        self.model = model
+        self.contexts, self.words = (unpack_sorted(x) for x in data[:2])
+        runs, self.word, self.count = (unpack(x) for x in data[2:])
+        self.of = np.repeat(np.arange(len(self.contexts)), runs)
+        self.hot = np.flatnonzero(np.isin(self.contexts, model.hot))
+        self.hot_at = np.searchsorted(model.hot, self.contexts[self.hot])
+        self.customers = self.by_context(self.count)
+        self.customers[self.hot] = model.of_hot(0)[self.hot_at]
 
     def by_context(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cls, weights=values, minlength=len(self.contexts))
-
-    def _random(self, sweep: int, level: int) -> np.random.Generator:
-        return np.random.Generator(np.random.PCG64([SEED, sweep, level, self.range]))
-
-    def _root(self, sweep: int) -> None:
-        self.root_customers = self._by_word(self.tables)
-        if sweep == 0:
-            self.root_tables = np.minimum(self.root_customers, 1)
-        else:
-            before = self.model.history[sweep - 1]
-            chance = np.full(len(self.words), _new_root_table(self.model, before))
-            self.root_tables = _seat(self.root_customers.astype(np.int64), chance, self.model.root_discount, self._random(sweep, 1))
-
-    def root_probability(self, totals: Totals) -> np.ndarray:
-        m = self.model
-        customers, tables = self.root_customers.copy(), self.root_tables.copy()
-        customers[self.is_hot], tables[self.is_hot] = totals.hot_customers[self.hot_at], totals.hot_tables[self.hot_at]
-        fresh = (STRENGTH + m.root_discount * totals.root_tables) / (m.vocabulary + 1)
-        return (np.maximum(customers - m.root_discount * tables, 0) + fresh) / (STRENGTH + totals.root_customers)
-
-    def sweep(self, sweep: int) -> None:
-        """Seat every customer given the totals of the sweep before, then the parent's."""
-        m, before = self.model, self.model.history[sweep - 1]
-        chance = (STRENGTH + m.discount * before.tables[self.cls]) * self.root_probability(before)[self.of]
-        self.tables = _seat(self.count, chance, m.discount, self._random(sweep, 0))
-        self._root(sweep)
-
-    def report(self) -> dict[str, np.ndarray]:
-        cold = ~self.is_hot
-        hot = np.zeros(len(self.model.hot))
-        np.add.at(hot, self.hot_at, self.root_customers[self.is_hot])
-        return {
-            "tables": self.by_context(self.tables),
-            "root": np.array([self.tables.sum(), self.root_tables[cold].sum()]),
-            "hot": hot,
-        }
-
-    def probability(self, totals: Totals) -> np.ndarray:
-        m = self.model
-        own = np.maximum(self.count - m.discount * self.tables, 0)
-        parent = (STRENGTH + m.discount * totals.tables[self.cls]) * self.root_probability(totals)[self.of]
-        return (own + parent) / (STRENGTH + totals.customers[self.cls])
-
-
-def _new_root_table(model: Model, totals: Totals) -> float:
-    return (STRENGTH + model.root_discount * totals.root_tables) / (model.vocabulary + 1)
-
-
-def _summed(blocks: DataFrame, run, columns: tuple[str, ...]) -> dict[tuple[str, int], float]:
-    """Sums over all blocks of named vectors of fixed length, added up in each task; zeros are not sent."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                for name, vector in run(row).items():
-                    total[name] = total[name] + vector if name in total else vector.astype(np.float64)
-        for name, vector in total.items():
-            full = np.flatnonzero(vector)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full), pa.array(vector[full])], names=["name", "at", "value"])
-
-    with one_row_batches(blocks.sparkSession):
-        rows = blocks.select("range", *columns).mapInArrow(each, "name string, at long, value double").groupBy("name", "at").agg(F.sum("value").alias("value")).collect()
-    return {(r["name"], r["at"]): r["value"] for r in rows}
-
-
-def _vector(sums: dict, name: str, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    for (n, at), value in sums.items():
-        if n == name:
-            out[at] = value
+        return np.bincount(self.of, weights=values, minlength=len(self.contexts))
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, weights=values, minlength=len(self.words))
+
+    def all_tables(self, tables: np.ndarray) -> np.ndarray:
+        total = self.by_context(tables)
+        total[self.hot] = self.model.of_hot(1)[self.hot_at]
+        return total
+
+    def sweep(self, tables: np.ndarray, customers: np.ndarray, seats: np.ndarray, random: np.random.Generator) -> np.ndarray:
+        """Every dish's tables drawn anew; ``customers`` and ``seats`` are the root's customers and tables per word."""
+        tables, total = tables.astype(np.float64), self.all_tables(tables)
+        half = random.integers(0, HALVES, len(tables))
+        for h in range(HALVES):
+            at = np.flatnonzero((half == h) & (self.count > 0))
+            own, word, of = tables[at], self.word[at], self.of[at]
+            chance = self.model.root_chance(customers[word], seats[word], own)
+            tables[at] = draw_tables(self.count[at], total[of] - own, chance, self.model.discount, random)
+            total += np.bincount(of, weights=tables[at] - own, minlength=len(total))
+        return tables
+
+    def probability(self, tables: np.ndarray, customers: np.ndarray, seats: np.ndarray) -> np.ndarray:
+        """Predictive probability of every pair."""
+        d, parent = self.model.discount, self.model.root_chance(customers, seats)[self.word]
+        own = np.maximum(self.count - d * tables, 0)
+        return (own + (STRENGTH + d * self.all_tables(tables)[self.of]) * parent) / (STRENGTH + self.customers[self.of])
+
+    def sums(self, at: int, groups: int, *per_word: np.ndarray, hashes: bool = False) -> list[tuple]:
+        """What each group is told of its words, their hashes first if wanted."""
+        width = (1 << 64) // groups + 1
+        cuts = [0, *np.searchsorted(self.words, np.array([i * width for i in range(1, groups)], np.uint64)).tolist(), len(self.words)]
+        shares = [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        return [(SUM, g, at, [*([pack_sorted(self.words[a:b])] if hashes else []), *(pack(x[a:b]) for x in per_word)], None) for g, a, b in shares]
+
+    def hot_totals(self, offset: int, values: np.ndarray) -> list[tuple]:
+        found, first = self.by_context(values)[self.hot], FIRST_HOT + offset * len(self.model.hot)
+        return [(TOTAL, first + i, -1, None, float(v)) for i, v in zip(self.hot_at.tolist(), found.tolist(), strict=True) if v]
+
+
+def _totals(**values: float) -> list[tuple]:
+    return [(TOTAL, globals()[name], -1, None, float(v)) for name, v in values.items()]
+
+
+def _opened(rows: pa.Table) -> dict[int, list[dict]]:
+    """Rows of one group by kind, ordered by peer."""
+    out: dict[int, list[dict]] = {}
+    for r in sorted(rows.to_pylist(), key=lambda r: (r["kind"], r["peer"])):
+        out.setdefault(r["kind"], []).append(r)
     return out
 
 
-_MESSAGE = "at int, peer int, values binary, more binary"
-"""To a group: the numbers of a block ``peer`` for the restaurants they share, in order of the hash. To a block: the totals of
-those restaurants, one array for customers and one for tables after each sweep. With ``peer`` -1: what a group keeps. With
-``at`` -1: sums of the root."""
+def _ask(model: Model, groups: int):
+    """A block's first seating, one table for each dish, told to the groups; and its totals."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in rows for r in b.to_pylist()):
+            block = Block(row["data"], model)
+            first = np.minimum(block.count, 1)
+            out = block.sums(row["at"], groups, block.by_word(first).astype(np.int64), block.by_word(block.count).astype(np.int64), hashes=True)
+            out.append((SEATS, row["at"], -1, [pack(first)], 0.0))
+            out += block.hot_totals(0, block.count) + block.hot_totals(1, first) + _totals(TOKENS=block.count.sum(), ONCE=(block.count == 1).sum(), TWICE=(block.count == 2).sum())
+            yield _rows(out)
 
-def _messages(at: list, peer: list, values: list, more: list) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(at, pa.int32()), pa.array(peer, pa.int32()), pa.array(values, pa.binary()), pa.array(more, pa.binary())], names=["at", "peer", "values", "more"])
+    return run
 
 
-def _shares(contexts: np.ndarray, groups: int) -> list[tuple[int, int, int]]:
-    """``(group, first, last)`` of the sorted hashes; groups have none in common."""
-    width = (1 << 64) // groups + 1
-    cuts = [0, *np.searchsorted(contexts, np.array([i * width for i in range(1, groups)], np.uint64)).tolist(), len(contexts)]
-    return [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+def _replies(sweep: int, group: int, peers: np.ndarray, sizes: np.ndarray, index: np.ndarray, *per_word: np.ndarray) -> list[tuple]:
+    return [(REPLY, int(p), group, [pack(x[i]) for x in per_word], float(sweep)) for p, i in zip(peers.tolist(), np.split(index, np.cumsum(sizes)[:-1]), strict=True)]
 
 
-def _ask(groups: int, model: Model):
-    """A block tells each group its restaurants, with their customers and first tables."""
+def _number(rows: pa.Table) -> pa.Table:
+    """A group's words get numbers; their customers (tables of all blocks) and tokens are added up, and the root's first seating is one table for each."""
+    asked = _opened(rows)[SUM]
+    hashes = [unpack_sorted(r["data"][0]) for r in asked]
+    words, index = np.unique(np.concatenate(hashes), return_inverse=True)
+    customers, tokens = (np.bincount(index, weights=np.concatenate([unpack(r["data"][k]) for r in asked]), minlength=len(words)).astype(np.int64) for k in (1, 2))
+    peers, sizes = np.array([r["peer"] for r in asked]), np.array([len(h) for h in hashes])
+    seats, at = np.minimum(customers, 1), asked[0]["at"]
+    out = [(ROOT, at, -1, [pack(x) for x in (peers, sizes, index, tokens)], None), (SEATS, at, -1, [pack(seats)], None)]
+    out += _replies(0, at, peers, sizes, index, customers, seats, tokens)
+    out += _totals(KNOWN=(tokens > 0).sum(), ROOT_ONCE=(customers == 1).sum(), ROOT_TWICE=(customers == 2).sum(), ROOT_CUSTOMERS=customers.sum(), ROOT_TABLES=seats.sum())
+    return _table(out)
+
+
+def _add(model: Model, sweep: int):
+    """The tables of a sweep are the root's customers; the root is seated, each word given the others."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        found = _opened(rows)
+        at = found[ROOT][0]["at"]
+        peers, sizes, index, tokens = (unpack(x) for x in found[ROOT][0]["data"])
+        customers = np.bincount(index, weights=np.concatenate([unpack(r["data"][0]) for r in found[SUM]]), minlength=len(tokens)).astype(np.int64)
+        before = unpack(found[SEATS][0]["data"][0])
+        random = np.random.Generator(np.random.PCG64([SEED, sweep, 1, at]))
+        others = np.maximum(model.totals[ROOT_TABLES] - before, 0)
+        seats = draw_tables(customers, others, np.full(len(tokens), model.base), model.root_discount, random).astype(np.int64)
+        out = [(SEATS, at, -1, [pack(seats)], None), *_replies(sweep, at, peers, sizes, index, customers, seats)]
+        return _table(out + _totals(ROOT_CUSTOMERS=customers.sum(), ROOT_TABLES=seats.sum()))
+
+    return run
+
+
+def _state(found: dict[int, list[dict]], sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's tables after a sweep, and the root's customers and tables of its words."""
+    seats = next(r for r in found[SEATS] if r["value"] == sweep)
+    replies = [r for r in found[REPLY] if r["value"] == sweep]
+    return unpack(seats["data"][0]), *(np.concatenate([unpack(r["data"][k]) for r in replies]) for k in (0, 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row, model)
-                numbers = np.stack([block.by_context(block.count), block.by_context(block.tables)]).astype("<i8")
-                shares = _shares(block.contexts, groups)
-                at, values, more = [g for g, _, _ in shares], [_planes(block.contexts[a:b]) for _, a, b in shares], [numbers[:, a:b].tobytes() for _, a, b in shares]
-                yield from _messages(at, [row["range"]] * len(at), values, more).to_batches()
+
+def _turn(model: Model, sweep: int, groups: int):
+    """One sweep of a block."""
+
+    def run(customers: pa.Table, state: pa.Table) -> pa.Table:
+        row, found = _opened(customers)[BLOCK][0], _opened(state)
+        block, at = Block(row["data"], model), row["at"]
+        tables = block.sweep(*_state(found, sweep - 1), np.random.Generator(np.random.PCG64([SEED, sweep, 0, at]))).astype(np.int64)
+        return _table([(SEATS, at, -1, [pack(tables)], float(sweep)), *block.sums(at, groups, block.by_word(tables).astype(np.int64)), *block.hot_totals(1, tables)])
 
     return run
 
 
-def _answer(group: int, peers: list[int], sizes: list[int], index: np.ndarray, history: np.ndarray) -> pa.Table:
-    cuts = np.cumsum([0, *sizes])
-    replies = [history[:, index[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return _messages([group, *peers], [-1] + [group] * len(peers), [index.astype("<i4").tobytes(), *replies], [history.tobytes()] + [None] * len(peers))
+def _answer(models: dict[int, Model]):
+    """To every batch the logarithms of its pairs' probabilities, averaged over sweeps, and the training tokens of their words."""
 
+    def run(customers: pa.Table, state: pa.Table) -> pa.Table:
+        held, found = _opened(customers), _opened(state)
+        chances = [Block(held[BLOCK][0]["data"], model).probability(*_state(found, sweep)) for sweep, model in models.items()]
+        chance = np.log10(np.mean(chances, axis=0))
+        word = unpack(held[BLOCK][0]["data"][3])
+        tokens = np.concatenate([unpack(r["data"][2]) for r in found[REPLY] if r["value"] == 0])
+        out = []
+        for r in held[ASK]:
+            place = np.cumsum(unpack(r["data"][0]))
+            out.append((ASK, r["peer"], r["at"], [pack(chance[place]), pack(tokens[word[place]])], None))
+        return _table(out)
 
-def _number(rows: pa.Table) -> pa.Table:
-    """Each distinct restaurant of a group gets a number; its customers and first tables are added up."""
-    rows = rows.sort_by("peer").to_pylist()
-    asked = [_unplanes(r["values"]) for r in rows]
-    contexts, index = np.unique(np.concatenate(asked), return_inverse=True)
-    numbers = np.concatenate([np.frombuffer(r["more"], "<i8").reshape(2, -1) for r in rows], axis=1)
-    history = np.stack([np.bincount(index, weights=n, minlength=len(contexts)) for n in numbers]).astype("<i8")
-    return _answer(rows[0]["at"], [r["peer"] for r in rows], [len(a) for a in asked], index, history)
-
-
-def _add(rows: pa.Table) -> pa.Table:
-    """The tables of a sweep are added up; ``-1`` sorts what the group keeps to the front."""
-    kept, *rows = rows.sort_by("peer").to_pylist()
-    index = np.frombuffer(kept["values"], "<i4")
-    history = np.frombuffer(kept["more"], "<i8")
-    tables = [np.frombuffer(r["values"], "<i4") for r in rows]
-    n = int(index.max()) + 1
-    now = np.bincount(index, weights=np.concatenate(tables), minlength=n).astype("<i8")
-    return _answer(kept["at"], [r["peer"] for r in rows], [len(t) for t in tables], index, np.concatenate([history, now]).reshape(-1, n))
-
-
-def _seated(row: dict, model: Model, answers: pa.Table) -> Block:
-    """A block that knows the totals of its restaurants after each sweep."""
-    totals = [np.frombuffer(r["values"], "<i8").reshape(len(model.history) + 1, -1) for r in answers.sort_by("peer").to_pylist()]
-    customers, *tables = np.concatenate(totals, axis=1).astype(np.float64)
-    return Block(row, replace(model, history=[replace(h, customers=customers, tables=t) for h, t in zip(model.history, tables, strict=True)]))
-
-
-def fit(blocks: DataFrame, hot: np.ndarray) -> tuple[Model, DataFrame]:
-    """Counts, discounts from the numbers of pairs seen once and twice, and ``SWEEPS`` sweeps; the totals of the restaurants
-    as a table."""
-
-    def count(row: dict) -> dict[str, np.ndarray]:
-        keys, counts = _unplanes(row["keys"]), np.frombuffer(row["count"], "<i8")
-        words = _word(keys)
-        heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.empty(0, np.int64)
-        by_word = np.add.reduceat(counts, heads) if len(heads) else np.empty(0, np.int64)
-        contexts = np.add.reduceat((counts > 0).astype(np.int64), heads) if len(heads) else np.empty(0, np.int64)
-        frequent = np.isin(words[heads], hot)
-        of_hot = np.zeros(len(hot))
-        np.add.at(of_hot, np.searchsorted(hot, words[heads][frequent]), by_word[frequent])
-        dishes = np.zeros(len(hot))
-        np.add.at(dishes, np.searchsorted(hot, words[heads][frequent]), contexts[frequent])
-        return {
-            "hot": of_hot,
-            "hot_root": dishes,
-            "known": np.array([
-                (by_word[~frequent] > 0).sum(), (counts == 1).sum(), (counts == 2).sum(), (contexts[~frequent] == 1).sum(), (contexts[~frequent] == 2).sum(),
-                counts.sum(), (counts > 0).sum(),
-            ]),
-        }
-
-    sums = _summed(blocks, count, ("keys", "count"))
-    known, hot_counts, hot_root = _vector(sums, "known", 7), _vector(sums, "hot", len(hot)), _vector(sums, "hot_root", len(hot))
-    discount = lambda once, twice: float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
-    vocabulary, none = int(known[0] + (hot_counts > 0).sum()), np.empty(0)
-    first = Totals(none, none, known[6], float(vocabulary), hot_root, np.minimum(hot_root, 1))
-    model = Model(hot, hot_counts, int(known[5]), vocabulary, discount(known[1], known[2]), discount(known[3], known[4]), [first])
-    counted = blocks.select("range", "keys", "rest", "count")
-    groups = max(1, shuffle_width(blocks.sparkSession) // PARTITIONS_PER_GROUP)
-    with one_row_batches(blocks.sparkSession):
-        asked = stash(counted.mapInArrow(_ask(groups, model), _MESSAGE), "asked")
-    totals = stash(asked.groupBy("at").applyInArrow(_number, _MESSAGE), "totals")
-    for sweep in range(1, SWEEPS + 1):
+    return run
+
+
+def _score(model: Model, ranges: int):
+    def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        one = Batch(batch.column("data")[0].as_py())
+        before, word, back = one.pairs()
+        order, _ = _lots(one, before, word, model.hot, ranges)
+        replies = sorted(answers.to_pylist(), key=lambda r: r["peer"])
+        chance, tokens = np.empty(len(word)), np.empty(len(word), np.int64)
+        chance[order], tokens[order] = (np.concatenate([unpack(r["data"][k]) for r in replies]) for k in (0, 1))
+        base = np.log10((tokens + 1) / (model.totals.get(TOKENS, 0) + model.totals.get(KNOWN, 0) + 1))
+        each = lambda values: np.add.reduceat(values[back], one.first)
+        columns = [pa.array(one.ids), pa.array(one.held == 1), pa.array(one.lengths), pa.array(each((tokens > 0).astype(np.int64))), pa.array(each(base)), pa.array(each(chance))]
+        return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def _of(messages: DataFrame, *kinds: int) -> DataFrame:
+    return messages.where(F.col("kind").isin(list(kinds)))
 
-        def turn(group: pa.Table, answers: pa.Table) -> pa.Table:
-            row = group.to_pylist()[0]
-            block = _seated(row, model, answers)
-            for s in range(1, len(model.history) + 1):
-                block.sweep(s)
-            report, shares = block.report(), _shares(block.contexts, groups)
-            tables, root = report["tables"].astype("<i4"), np.concatenate([report["root"], report["hot"]])
-            full = np.flatnonzero(root)
-            return _messages(
-                [-1, *[g for g, _, _ in shares]], [row["range"]] * (1 + len(shares)),
-                [root[full].tobytes(), *[tables[a:b].tobytes() for _, a, b in shares]], [full.astype("<i8").tobytes()] + [None] * len(shares),
-            )
-
-        def root_sums(row: dict) -> dict[str, np.ndarray]:
-            root = np.zeros(2 + len(hot))
-            root[np.frombuffer(row["more"], "<i8")] = np.frombuffer(row["values"], "<f8")
-            return {"root": root}
-
-        answers = totals.where("peer >= 0").groupBy("at")
-        sent = stash(counted.groupBy("range").cogroup(answers).applyInArrow(turn, _MESSAGE), "sweep")
-        totals = stash(totals.where("peer = -1").unionByName(sent.where("at >= 0")).groupBy("at").applyInArrow(_add, _MESSAGE), "totals")
-        root = _vector(_summed(sent.where("at = -1").withColumnRenamed("peer", "range"), root_sums, ("values", "more")), "root", 2 + len(hot))
-        random = np.random.Generator(np.random.PCG64([SEED, sweep, 2]))
-        before, hot_customers = model.history[-1], root[2:]
-        hot_tables = _seat(hot_customers.astype(np.int64), np.full(len(hot), _new_root_table(model, before)), model.root_discount, random)
-        # A new model: functions of earlier sweeps keep the history they were made with.
-        model = replace(model, history=[*model.history, Totals(none, none, root[0], root[1] + hot_tables.sum(), hot_customers, hot_tables)])
-    return model, totals
-
-
-def score_blocks(blocks: DataFrame, model: Model, totals: DataFrame) -> DataFrame:
-    """Per text and block: tokens, known tokens and the two sums of log probabilities."""
-
-    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        row = group.to_pylist()[0]
-        block, chances = _seated(row, model, answers), []
-        for s in range(1, SWEEPS + 1):
-            block.sweep(s)
-            if s > BURN_IN:
-                chances.append(block.probability(block.model.history[s]))
-        log_p = np.log10(np.mean(chances, axis=0))
-        base = np.log10((block.word_count + 1) / (model.tokens + model.vocabulary + 1))[block.of]
-        known = (block.word_count > 0)[block.of]
-        runs, doc, times = np.frombuffer(row["runs"], "<i4"), np.frombuffer(row["doc"], "<i4"), np.frombuffer(row["times"], "<i4")
-        key = np.repeat(np.arange(len(runs)), runs)
-        uid = np.frombuffer(row["uid"], "<i8")
-        held, n = np.frombuffer(row["held"], np.uint8), len(uid)
-        each = lambda w: np.bincount(doc, weights=w * times, minlength=n)
-        return pa.Table.from_arrays(
-            [
-                pa.array(uid), pa.array(np.frombuffer(row["ids"], "<i8")), pa.array(held == 1), pa.array(each(np.ones(len(doc))).astype(np.int64)),
-                pa.array(each(known[key]).astype(np.int64)), pa.array(each(base[key])), pa.array(each(log_p[key])),
-            ],
-            names=["uid", "id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-        )
-
-    answers = totals.where("peer >= 0").groupBy("at")
-    return blocks.groupBy("range").cogroup(answers).applyInArrow(run, "uid long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+def _read_totals(model: Model, *messages: DataFrame) -> None:
+    """The totals that ``messages`` report, each the sum over all tasks, replace those the model has."""
+    for m in messages:
+        for r in _of(m, TOTAL).groupBy("at").agg(F.sum("value").alias("value")).collect():  # as many as there are frequent words, and eight
+            model.totals[r["at"]] = r["value"]
+
+
+def _discount(once: float, twice: float) -> float:
+    return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
+
+
+def fit(batches: DataFrame, hot: np.ndarray, ranges: int) -> tuple[Model, DataFrame]:
+    """The model after ``SWEEPS`` sweeps, and the answers to all batches."""
+    model, groups = Model(hot), max(1, ranges // RANGES_PER_GROUP)
+    with one_row_batches(batches.sparkSession):
+        merged = batches.mapInArrow(_send(hot, ranges), _MESSAGE).groupBy("at").applyInArrow(_merge, _MESSAGE)
+        # Bucketed by block: what the sweeps bring to the customers is shuffled, the customers are not.
+        pairs = stash_buckets(merged, "pairs", "at", 2 * ranges)
+        first = stash(_of(pairs, BLOCK).mapInArrow(_ask(model, groups), _MESSAGE), "asked")
+    roots = stash(_of(first, SUM).groupBy("at").applyInArrow(_number, _MESSAGE), "roots")
+    _read_totals(model, first, roots)
+    model.discount, model.root_discount = (_discount(model.totals.get(a, 0), model.totals.get(b, 0)) for a, b in ((ONCE, TWICE), (ROOT_ONCE, ROOT_TWICE)))
+    seats, replies, kept = first, roots, {}
+    for sweep in range(1, SWEEPS + 1):
+        state = _of(seats, SEATS).unionByName(_of(replies, REPLY))
+        turned = stash(_of(pairs, BLOCK).groupBy("at").cogroup(state.groupBy("at")).applyInArrow(_turn(model, sweep, groups), _MESSAGE), "seats")
+        seated = _of(roots, ROOT).unionByName(_of(turned, SUM)).unionByName(_of(replies, SEATS))
+        replied = stash(seated.groupBy("at").applyInArrow(_add(model, sweep), _MESSAGE), "roots")
+        # What later jobs are given must stay as it is: a new model for each sweep.
+        model = replace(model, totals={k: v for k, v in model.totals.items() if k < FIRST_HOT + len(hot)})
+        _read_totals(model, turned, replied)
+        if sweep <= BURN_IN + 1:
+            discard(seats, *([replies] if replies is not roots else []))
+        seats, replies = turned, replied
+        if sweep > BURN_IN:
+            kept[sweep] = (model, turned, replied)
+    state = _of(roots, REPLY)
+    for _, turned, replied in kept.values():
+        state = state.unionByName(_of(turned, SEATS)).unionByName(_of(replied, REPLY))
+    answer = _answer({sweep: m for sweep, (m, _, _) in kept.items()})
+    return model, pairs.groupBy("at").cogroup(state.groupBy("at")).applyInArrow(answer, _MESSAGE)
 
 
 def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -491,38 +546,31 @@ def score_texts(docs: DataFrame, held_out, id_column: str = "doc_id", text_colum
 
     ``held_out`` is a column expression; where it is null the text is learned from. Null and empty texts
     hold only the end token. Ids are integers; a null id comes back as null. Repeated rows are separate
-    texts. Without any training text every token has the probability of an unknown word.
+    texts. Without any training text every token has the probability of an unknown word. Very long texts are whole
+    in one batch. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_ready(spark)
-    ranges = RANGES_PER_PARTITION * shuffle_width(spark)
     texts = docs.select(
         F.col(text_column).cast("string").alias("text"),
-        F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"),
+        F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID).cast("long")).alias("id"),
         F.coalesce(held_out, F.lit(False)).alias("held"),
     )
-    hot = frequent_words(texts, ranges)
-    merged = texts.mapInArrow(_send(ranges, hot), _SENT).groupBy("range").applyInArrow(_merge, _BLOCK)
-    blocks = stash(merged, "tokens")
+    batches = stash_buckets(texts.mapInArrow(_batches, _BATCH), "batches", "batch", shuffle_width(spark))
     with few_rows_read(spark):
-        model, totals = fit(blocks, hot)
-        parts = stash(
-            score_blocks(blocks, model, totals).groupBy("uid").agg(
-                F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-                F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-            ),
-            "scores",
-        )
+        tokens = batches.agg(F.sum("n")).first()[0] or 0
+        ranges = max(shuffle_width(spark), -(-tokens // RANGE_TOKENS))
+        with one_row_batches(spark):
+            hot = frequent_words(batches, ranges)
+        model, answers = fit(batches, hot, ranges)
+        scored = batches.groupBy("batch").cogroup(answers.withColumnRenamed("at", "batch").groupBy("batch")).applyInArrow(
+            _score(model, ranges), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        )
+        parts = stash(scored, "scores")
     return parts.select(
-        F.when(F.col("id") != -(2**63), F.col("id")).alias(id_column),
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        "base_score",
-        "score",
+        F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_column), "held_out", "n_tokens", "n_known", F.lit(int(model.totals.get(TOKENS, 0))).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
-    )
+    )
 
 
 def op4_pitman_yor(spark, sf_dir: str) -> DataFrame:

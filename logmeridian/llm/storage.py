@@ -35,6 +35,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stash_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like :func:`stash`, in ``buckets`` by ``key``: joins and groups on it need not shuffle the table again."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    as_table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(as_table)
+    return spark.table(as_table)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more; only folders below the scratch folder are touched."""
+    for df in tables:
+        spark = df.sparkSession
+        root = f"{scratch(spark)}/llm/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if f"/{root.split('://')[-1].strip('/')}/" in f"{folder}/":
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_ready(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(ARROW_ROWS):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -164,30 +164,58 @@ def test_pitman_yor_counts_and_probabilities(spark):
     assert sum(out[i]["score"] for i in held) > sum(out[i]["base_score"] for i in held)
 
 
-def test_pitman_yor_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    words = np.sort(rng.integers(1, 2**40, 12).astype(np.uint64) << np.uint64(12))
-    keys = np.sort(np.concatenate([words | np.uint64(c) for c in range(3)]))
-    row = {"range": 0, "keys": pitman_yor._planes(keys), "count": rng.integers(1, 200, len(keys)).astype("<i8").tobytes()}
-    counts = np.frombuffer(row["count"], "<i8")
-    cls = (keys & np.uint64(pitman_yor.CLASSES - 1)).astype(int)
-    customers = np.bincount(cls, weights=counts, minlength=pitman_yor.CLASSES)
-    tables = np.bincount(cls, minlength=pitman_yor.CLASSES).astype(float)
-    none = np.empty(0)
-    first = pitman_yor.Totals(customers, tables, tables.sum(), 12.0, none, none)
-    model = pitman_yor.Model(np.empty(0, np.uint64), none, int(counts.sum()), 12, 0.7, 0.6, [first])
-    block = pitman_yor.Block(row, model)
-    block.sweep(1)
-    report = block.report()
-    now = pitman_yor.Totals(customers, report["tables"], report["root"][0], report["root"][1], none, none)
-    p = block.probability(now)
-    unknown = (pitman_yor.STRENGTH + 0.6 * now.root_tables) / 13 / (pitman_yor.STRENGTH + now.root_customers)
+def restaurants(seed=2, contexts=3, words=12, most=200, hot=()):
+    """One block in which every context is followed by every word, and what the root knows of it."""
+    rng = np.random.default_rng(seed)
+    context, word = (np.sort(rng.integers(1, 2**63, n).astype(np.uint64)) for n in (contexts, words))
+    count = rng.integers(1, most, contexts * words)
+    data = [pitman_yor.pack_sorted(context), pitman_yor.pack_sorted(word), *(pitman_yor.pack(x) for x in (np.full(contexts, words), np.tile(np.arange(words), contexts), count))]
+    model = pitman_yor.Model(context[list(hot)], discount=0.7, root_discount=0.6)
+    model.totals = {pitman_yor.KNOWN: words, pitman_yor.TOKENS: int(count.sum()), pitman_yor.ROOT_CUSTOMERS: contexts * words, pitman_yor.ROOT_TABLES: words}
+    return pitman_yor.Block(data, model), model, np.full(words, contexts), np.ones(words)
+
+
+@pytest.mark.parametrize("hot", [(), (1,)])
+def test_pitman_yor_probabilities_sum_to_one(hot):
+    block, model, customers, seats = restaurants(hot=hot)
+    of_hot = [sum(block.count[block.of == i]) for i in hot]
+    model.totals |= {pitman_yor.FIRST_HOT + i: n for i, n in enumerate(of_hot)} | {pitman_yor.FIRST_HOT + len(hot) + i: 12.0 for i in range(len(hot))}
+    block = pitman_yor.Block([pitman_yor.pack_sorted(block.contexts), pitman_yor.pack_sorted(block.words), *(pitman_yor.pack(x) for x in (np.full(3, 12), block.word, block.count))], model)
+    tables = block.sweep(np.ones(len(block.count)), customers, seats, np.random.default_rng(1))
+    assert (tables >= 1).all() and (tables <= block.count).all()
+    customers = block.by_word(tables)
+    model.totals |= {pitman_yor.ROOT_CUSTOMERS: customers.sum()} | {pitman_yor.FIRST_HOT + len(hot) + i: tables[block.of == c].sum() for i, c in enumerate(hot)}
+    p = block.probability(tables, customers, seats)
+    unknown = model.root_chance(np.zeros(1), np.zeros(1))[0]
+    total = block.all_tables(tables)
     for c in range(3):
-        new = (pitman_yor.STRENGTH + 0.7 * now.tables[c]) / (pitman_yor.STRENGTH + customers[c])
-        assert p[cls == c].sum() + new * unknown == pytest.approx(1)
+        new = (pitman_yor.STRENGTH + 0.7 * total[c]) / (pitman_yor.STRENGTH + block.customers[c])
+        assert p[block.of == c].sum() + new * unknown == pytest.approx(1)
 
 
-def test_pitman_yor_contexts_do_not_share_a_restaurant(spark, monkeypatch):
+@pytest.mark.parametrize("customers", [2, 5, 40])
+def test_tables_are_drawn_from_their_conditional_distribution(customers):
+    """Against the frequencies of explicit seatings that end with all customers at one dish."""
+    d, chance, others = 0.6, 0.3, 4.0
+    weight = {1: 1.0}
+    for c in range(1, customers):  # unnormalised weights of t tables after c + 1 customers, one by one
+        after = {}
+        for t, w in weight.items():
+            after[t] = after.get(t, 0) + w * (c - d * t)
+            after[t + 1] = after.get(t + 1, 0) + w * (pitman_yor.STRENGTH + d * (others + t)) * chance
+        weight = {t: w / sum(after.values()) for t, w in after.items()}
+    drawn = pitman_yor.draw_tables(np.full(20_000, customers), np.full(20_000, others), np.full(20_000, chance), d, np.random.default_rng(3))
+    total = sum(weight.values())
+    assert drawn.mean() == pytest.approx(sum(t * w for t, w in weight.items()) / total, rel=0.03)
+
+
+def test_a_dish_of_300_customers_is_drawn_and_one_of_many_more_is_seated():
+    tables = pitman_yor.draw_tables(np.array([0, 1, 300, 1024, 50_000]), np.full(5, 10.0), np.full(5, 0.01), 0.7, np.random.default_rng(5))
+    assert tables[:2].tolist() == [0, 1]
+    assert 1 <= tables[2] < 30 and 1 <= tables[3] <= tables[4] < 2000
+
+
+def test_pitman_yor_contexts_do_not_share_a_restaurant(spark):
     """After each of 9,000 words always the same one comes: with restaurants of their own all of it is foreseen."""
     follow = [f"a{i} b{i}" for i in range(9000)]
     texts = [" ".join(random.Random(k).sample(follow, len(follow))) for k in range(6)]
@@ -195,13 +223,29 @@ def test_pitman_yor_contexts_do_not_share_a_restaurant(spark, monkeypatch):
     out = {r["doc_id"]: r for r in pitman_yor.score_texts(docs, F.col("doc_id") == 5).collect()}
     # Half of the tokens are "b" words, near probability 1; the others follow any word, near the unigram.
     assert out[5]["score"] / out[5]["base_score"] < 0.56
-    seen = []
-    monkeypatch.setattr(pitman_yor, "_shares", lambda contexts, groups, f=pitman_yor._shares: seen.append(contexts) or f(contexts, groups))
-    key, rest, _ = pitman_yor._tokens(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0])]))
-    row = {"range": 0, "keys": pitman_yor._planes(key), "rest": pitman_yor._planes(rest), "count": np.ones(len(key), "<i8").tobytes()}
-    first = pitman_yor.Totals(np.empty(0), np.empty(0), 1.0, 1.0, np.empty(0), np.empty(0))
-    asked = pa.Table.from_batches(pitman_yor._ask(3, pitman_yor.Model(np.empty(0, np.uint64), np.empty(0), 1, 1, 0.7, 0.6, [first]))([pa.RecordBatch.from_pylist([row])]))
-    assert len(seen[0]) == 18_001 and asked.num_rows == 3
+
+
+def test_pitman_yor_batches_come_back_whole(spark):
+    texts = ["A b a", "", "b  c" * 3, "x"]
+    rows = pa.record_batch([pa.array(texts), pa.array([3, 1, 2, 9]), pa.array([False, True, False, False])], names=["text", "id", "held"])
+    from unittest import mock
+
+    with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda: 2)):
+        (out,) = pitman_yor._batches(iter([rows]))
+    one = pitman_yor.Batch(out.column("data")[0].as_py())
+    assert (out.column("batch")[0].as_py(), one.lengths.tolist(), one.ids.tolist(), one.held.tolist()) == (2 << 33, [4, 1, 5, 2], [3, 1, 2, 9], [0, 1, 0, 0])
+    before, word, back = one.pairs()
+    assert (before[back] == one.before).all() and (word[back] == one.tokens).all()
+    order, lot = pitman_yor._lots(one, before, word, one.words[:1], 5)
+    assert sorted(order.tolist()) == list(range(len(word))) and (np.diff(lot) >= 0).all() and lot.max() < 10
+    for x in (np.array([], np.int64), np.array([5, 0, 2**40]), np.array([2**63 + 5], np.uint64), np.array([-(2**63), 7])):
+        assert pitman_yor.unpack(pitman_yor.pack(x), signed=x.dtype != np.uint64).tolist() == x.tolist()
+
+
+def test_pitman_yor_of_nothing(spark):
+    assert pitman_yor.score_texts(documents(spark, []).where("doc_id = 1"), F.lit(False)).count() == 0
+    alone = pitman_yor.score_texts(documents(spark, ["a b", None]).where("doc_id is not null"), F.lit(True)).collect()
+    assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) for r in alone} == {(0, 3, 0, 0, 0.0), (1, 1, 0, 0, 0.0)}
 
 
 def test_warc_round_trip(spark, tmp_path):
