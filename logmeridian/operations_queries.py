@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 from logmeridian.functions import addresses
 from logmeridian.functions.exprs import TEXT_MAP
-from logmeridian.operators import fragments, replay, templates
+from logmeridian.functions.signature import unsigned_text
+from logmeridian.operators import alerts, correlate, detect, fragments, preview, replay, search, templates, views
 from logmeridian.parsing_queries import _PARSED, PARSERS, _lines
 from logmeridian.plans import evidence, triggers
-from logmeridian.queries import ALL, SOME, _ev, _query
-from logmeridian.scope import AccessScope
+from logmeridian.queries import ALL, MONTH, SOME, WINDOW, _ev, _query
+from logmeridian.scope import AccessScope, all_groups_readable
 from logmeridian.session import checkpoint_dir
 from logmeridian.sources import adapt, archive, inventory, store
 from logmeridian.streaming import ingest, live
+from logmeridian.windows import EventQuery
 
 _FIRST_TYPES = ("click", "error", "view")
 
@@ -415,3 +417,121 @@ def _all_fields(spark, folder):
     })
     changed = replay.diff(events.filter(F.col("event_id").cast("long") % 9 != 0), rebuilt, attrs="attrs")
     return replay.changes_per_field(changed)
+
+
+_NOW = "2024-01-29 06:30:00"
+_RATIO = alerts.Rule("errors-rise", "ratio", 3 * 3600, 1.2, ">=", (" grp_1", "grp_3"), "action = 'error'")
+
+
+@_query("alert_preview", _ev(f""", g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-27 06:00:00', TIMESTAMP '{_NOW}' - INTERVAL 1 SECOND, INTERVAL 3 HOUR)) AS bucket_start),
+c AS (SELECT time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket_start, count(*) AS n FROM ev WHERE action = 'error' AND owner_group = 'grp_1' AND ts >= TIMESTAMP '2024-01-27 06:30:00' AND ts < TIMESTAMP '{_NOW}' GROUP BY 1),
+d AS (SELECT bucket_start, coalesce(n, 0) AS event_count, lag(coalesce(n, 0)) OVER (ORDER BY bucket_start) AS before FROM g LEFT JOIN c USING (bucket_start))
+SELECT bucket_start, event_count, round(event_count / greatest(before, 1)::DOUBLE, 6) AS value, event_count / greatest(before, 1)::DOUBLE >= 1.2 AS fires FROM d WHERE before IS NOT NULL"""))
+def _preview(spark, folder):
+    """A ratio rule of two groups, one of which the reader may not see, over two days."""
+    rows = preview.preview_counting(adapt.event_columns(spark, folder), _RATIO, SOME, _NOW, 2 * 86_400).rows
+    return rows.withColumn("value", F.round("value", 6))
+
+
+_GAPS = f"""inv AS (SELECT 'src_' || c_custkey AS source_id, 'grp_' || (c_custkey % 4) AS owner_group, TIMESTAMP '2024-01-22' + (c_custkey % 9) * INTERVAL 1 DAY AS created FROM customer WHERE c_acctbal > 0 AND c_custkey % 4 IN (1, 2)),
+s AS (SELECT source_id, owner_group, greatest(created, TIMESTAMP '2024-01-22 06:30:00') AS start FROM inv ORDER BY source_id LIMIT 100),
+b AS (SELECT DISTINCT s.source_id, start, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS at_ FROM s JOIN ev ON ev.source_id = s.source_id AND ev.owner_group IN ('grp_1', 'grp_2') AND ts >= TIMESTAMP '2024-01-22 06:30:00' AND ts < TIMESTAMP '{_NOW}'),
+w AS (SELECT source_id, at_ AS until, greatest(start, coalesce(lag(at_) OVER (PARTITION BY source_id ORDER BY at_) + INTERVAL 1 HOUR, start)) AS since FROM b
+  UNION ALL SELECT source_id, TIMESTAMP '{_NOW}', greatest(start, coalesce((SELECT max(at_) FROM b WHERE b.source_id = s.source_id) + INTERVAL 1 HOUR, start)) FROM s),
+p AS (SELECT source_id, owner_group, (SELECT max(at_) FROM b WHERE b.source_id = s.source_id) AS last_seen, (SELECT count(*) FROM w WHERE w.source_id = s.source_id AND until > since) AS gaps,
+  coalesce((SELECT round(max(epoch(until) - epoch(since)), 3) FROM w WHERE w.source_id = s.source_id AND until > since), 0) AS longest, (SELECT count(*) FROM w WHERE w.source_id = s.source_id AND until > since AND epoch(until) - epoch(since) >= 43200) AS firings FROM s)"""
+
+
+def _silence_preview(spark, folder):
+    inventory_ = adapt.inventory(spark, folder).withColumn("created_at", F.expr("TIMESTAMP_NTZ '2024-01-22 00:00:00' + make_dt_interval(CAST(substring(source_id, 5) AS INT) % 9, 0, 0, 0)"))
+    return preview.preview_silence(adapt.event_columns(spark, folder), inventory_, 43_200, SOME, _NOW, 30 * 86_400, most=100)
+
+
+@_query("silence_preview", _ev(f", {_GAPS} SELECT * FROM p"))
+def _silent_sources(spark, folder):
+    """A week is the most that a preview looks back; the first hundred sources of a scope are shown."""
+    longest = F.round(F.coalesce(F.array_max("gaps"), F.lit(0.0)), 3)
+    return _silence_preview(spark, folder).rows.select("source_id", "owner_group", "last_seen", F.size("gaps").cast("long").alias("gaps"), longest.alias("longest"), "firings")
+
+
+@_query("silence_preview_total", _ev(f", {_GAPS} SELECT (SELECT sum(firings) FROM p)::BIGINT AS firings, (SELECT count(*) FROM p) AS shown, (SELECT count(*) FROM inv) - (SELECT count(*) FROM p) AS left_out"))
+def _silent_total(spark, folder):
+    return _silence_preview(spark, folder).summary
+
+
+_HITS = (
+    alerts.Rule("many", "threshold", 6 * 3600, 3.0, ">=", ("grp_0", "grp_1"), "action = 'error'"), alerts.Rule("never", "threshold", 3600, 1e9, ">"), alerts.Rule("gone", "silence", 86_400, 0, ">=", ("grp_2",)),
+)
+
+
+@_query("alert_hits", _ev(f""", inv AS (SELECT 'src_' || c_custkey AS source_id FROM customer WHERE c_acctbal > 0 AND c_custkey % 4 = 2), act AS (SELECT source_id, max(ingested_at) AS last_at FROM ev WHERE ts < TIMESTAMP '{_NOW}' GROUP BY 1),
+q AS (SELECT source_id, last_at IS NULL AS never, floor(greatest(0, epoch(TIMESTAMP '{_NOW}') - epoch(coalesce(last_at, TIMESTAMP '2024-01-01'))))::BIGINT AS s FROM inv LEFT JOIN act USING (source_id)),
+m AS (SELECT count(*) AS n FROM ev WHERE action = 'error' AND owner_group IN ('grp_0', 'grp_1') AND ts >= TIMESTAMP '{_NOW}' - INTERVAL 6 HOUR AND ts < TIMESTAMP '{_NOW}')
+SELECT 'many' AS rule_id, CASE WHEN n >= 3 THEN 'fired' ELSE 'quiet' END AS state, CASE WHEN n >= 3 THEN '' END AS source_id, CASE WHEN n >= 3 THEN n::DOUBLE END AS value, CASE WHEN n >= 3 THEN TIMESTAMP '{_NOW}' - INTERVAL 6 HOUR END AS window_from FROM m
+UNION ALL SELECT 'never', 'quiet', NULL, NULL, NULL UNION ALL SELECT 'gone', 'fired', source_id, s::DOUBLE, TIMESTAMP '{_NOW}' - least(s, 86400) * INTERVAL 1 SECOND FROM q WHERE s >= 86400"""))
+def _hits(spark, folder):
+    found = alerts.hits(adapt.event_columns(spark, folder), adapt.inventory(spark, folder), _HITS, _NOW)
+    return found.select("rule_id", "state", "source_id", "value", "window_from")
+
+
+@_query("full_text_search", _ev("SELECT event_id, ts FROM ev JOIN (SELECT event_id::VARCHAR AS event_id, user_id FROM events) USING (event_id) WHERE owner_group IN ('grp_1', 'grp_2') AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' AND contains(action || ' op_k' || k || ' user ' || user_id, '_k7 user 1')"))
+def _full_text(spark, folder):
+    """All events of a scope whose message holds a text."""
+    query = EventQuery(MONTH.start, MONTH.end, full_text="_k7 user 1")
+    return adapt.event_columns(spark, folder).filter(search.matching(adapt.event_columns(spark, folder), query, SOME)).select("event_id", "ts")
+
+
+@_query("event_by_id", _ev("SELECT event_id, ts, action, owner_group FROM ev WHERE event_id = '42' AND owner_group IN ('grp_0', 'grp_1', 'grp_2', 'grp_3')"))
+def _by_id(spark, folder):
+    return search.find_event(adapt.event_columns(spark, folder), "42", ALL).select("event_id", "ts", "action", "owner_group")
+
+
+@_query("event_view_pairs", _ev("""SELECT event_id AS record_id, unnest(['uid', 'severity_id', 'src_endpoint_ip', 'src_endpoint_port']) AS name, unnest([event_id, severity_num::VARCHAR, src_ip, src_port::VARCHAR]) AS value FROM ev WHERE action = 'error'"""))
+def _pairs(spark, folder):
+    """Four fields of the OCSF view of every error as names and values."""
+    shown = views.view_pairs(views.ocsf_view(adapt.event_columns(spark, folder).filter("action = 'error'")), "uid")
+    return shown.filter(F.col("name").isin("uid", "severity_id", "src_endpoint_ip", "src_endpoint_port")).select("record_id", "name", "value")
+
+
+@_query("readable_bundles", """WITH b AS (SELECT o_orderkey AS bundle, o_orderkey % 7 = 0 AS by_system, list_distinct(['grp_' || (o_custkey % 4), 'grp_' || (o_custkey % 3)]) AS groups FROM orders)
+SELECT bundle FROM b WHERE NOT by_system AND len(list_filter(groups, lambda g: g NOT IN ('grp_1', 'grp_2'))) = 0""")
+def _bundles(spark, folder):
+    """Bundles that a reader of two groups may open: all their groups are allowed, and the system did not gather them."""
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    groups = F.array_distinct(F.array(F.concat(F.lit("grp_"), cust % 4), F.concat(F.lit("grp_"), cust % 3)))
+    return adapt.table(spark, folder, "orders").filter(all_groups_readable(SOME, groups, key % 7 == 0)).select(key.alias("bundle"))
+
+
+@_query("lift_top_values", _ev("""SELECT field, value, window_count, baseline_count FROM (SELECT field, value, count(*) FILTER (ts >= TIMESTAMP '2024-01-29') AS window_count, count(*) FILTER (ts < TIMESTAMP '2024-01-29') AS baseline_count
+  FROM (SELECT 'source_id' AS field, source_id AS value, ts FROM ev UNION ALL SELECT 'action', action, ts FROM ev) u WHERE ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-30' GROUP BY ALL)
+WHERE window_count > 0 QUALIFY row_number() OVER (PARTITION BY field ORDER BY window_count DESC, value) <= 3"""))
+def _top_values(spark, folder):
+    """The three most frequent values of each field in a window."""
+    counts = correlate.attribute_counts(adapt.event_columns(spark, folder), WINDOW, ALL, ("source_id", "action"))
+    return correlate.top_per_field(counts, 3).select("field", "value", "window_count", "baseline_count")
+
+
+@_query("detection_expectations", _ev("""SELECT 'ssh-or-winbox' AS rule_id, true AS expected, count(*) AS hits, count(*) > 0 AS passed FROM ev WHERE dst_port IN (22, 8291)
+UNION ALL SELECT 'internal-peer', false, count(*), (count(*) > 0) = false FROM ev WHERE src_ip LIKE '10.0.1.%' UNION ALL SELECT 'no-such-rule', true, 0, false"""))
+def _expectations(spark, folder):
+    expected = spark.createDataFrame([("ssh-or-winbox", True), ("internal-peer", False), ("no-such-rule", True)], "rule_id string, expected boolean")
+    return detect.expectations(detect.detections(adapt.event_columns(spark, folder), detect.example_rules()), expected)
+
+
+@_query("drilldown_events", _ev("""SELECT event_id FROM ev WHERE ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-30' AND sig NOT IN (SELECT sig FROM ev WHERE ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-29')"""))
+def _drilldown(spark, folder):
+    """The events behind the findings of first-seen signatures, through the signature that each finding carries."""
+    events = adapt.events(spark, folder)
+    new = correlate.first_seen(events, WINDOW, ALL, ["signature_hash", "signature_text"])
+    findings = new.select(F.create_map(F.lit("signature_hash"), unsigned_text(F.col("signature_hash"))).alias("payload"))
+    return evidence.drilldown_events(events, findings, WINDOW, ALL).select("event_id")
+
+
+@_query("report_flags", """WITH s AS (SELECT ['gathered', 'empty', 'failed', 'never_fed', 'unavailable'][o_orderkey % 5 + 1] AS status, o_custkey % 3 AS hidden, o_orderkey % 2 = 0 AS truncated FROM orders)
+SELECT sum(hidden)::BIGINT AS out_of_scope_count, bool_or(status IN ('failed', 'unavailable') OR truncated) AS is_partial, count(*) FILTER (status NOT IN ('gathered', 'empty')) AS not_consulted FROM s""")
+def _flags(spark, folder):
+    kinds = F.array(*[F.lit(x) for x in ("gathered", "empty", "failed", "never_fed", "unavailable")])
+    slices = adapt.table(spark, folder, "orders").select(
+        F.element_at(kinds, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("status"), (F.col("o_custkey") % 3).alias("out_of_scope_count"), (F.col("o_orderkey") % 2 == 0).alias("truncated")
+    )
+    return evidence.report_flags(slices)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import timedelta
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,40 @@ def silent_inventory(inventory: DataFrame, events: DataFrame, now: Instant, sile
     ).filter(F.col("silent_seconds") >= silence_seconds)
 
 
+def hits(events: DataFrame, inventory: DataFrame, rules: Sequence[Rule], now: Instant, silence_lookback: int = 86_400) -> DataFrame:
+    """``rule_id, state, owner_group, source_id, value, threshold, window_from, window_to, summary``: what ``rules`` find at ``now``.
+
+    A counting rule that fires is one hit of all its groups; one of kind ``silence`` is a hit for each source that has sent nothing for its
+    ``window_seconds``, from when it was last heard or ``silence_lookback`` ago. A rule without hits has one row in the state ``quiet``.
+    """
+    at = to_instant(now)
+    counting, silent = [r for r in rules if r.kind != "silence"], [r for r in rules if r.kind == "silence"]
+    found = []
+    if counting:
+        known = F.create_map(*[x for r in counting for x in (F.lit(r.id), F.struct(F.lit(",".join(r.owner_groups)).alias("groups"), F.lit(float(r.threshold)).alias("threshold"), F.lit(r.window_seconds).alias("span"), F.lit(r.comparison).alias("sign")))])
+        rule = known[F.col("rule_id")]
+        found.append(evaluate(events, counting, now).filter("fired").select(
+            "rule_id", rule["groups"].alias("owner_group"), F.lit("").alias("source_id"), "value", rule["threshold"].alias("threshold"),
+            (instant(at) - F.make_dt_interval(secs=rule["span"])).alias("window_from"),
+            F.concat(F.round("value", 2).cast("string"), F.lit(" in "), rule["span"], F.lit(" s, limit "), rule["sign"], F.lit(" "), rule["threshold"]).alias("summary"),
+        ))
+    for r in silent:
+        mine = inventory.filter(F.col("owner_group").isin(list(r.owner_groups))) if r.owner_groups else inventory
+        seconds = F.col("silent_seconds")
+        found.append(silent_inventory(mine, events, now, r.window_seconds).select(
+            F.lit(r.id).alias("rule_id"), "owner_group", "source_id", seconds.cast("double").alias("value"), F.lit(float(r.window_seconds)).alias("threshold"),
+            (instant(at) - F.make_dt_interval(secs=F.least(seconds, F.lit(silence_lookback)))).alias("window_from"),
+            F.concat(F.col("source_id"), F.when(F.col("never_seen"), " never sent anything in ").otherwise(" silent for "), seconds, F.lit(" s, limit "), F.lit(r.window_seconds), F.lit(" s")).alias("summary"),
+        ))
+    fired = reduce(DataFrame.unionByName, found)
+    named = events.sparkSession.createDataFrame([(r.id,) for r in rules], "rule_id string")
+    joined = named.join(fired, "rule_id", "left")
+    return joined.select(
+        "rule_id", F.when(F.col("value").isNull(), "quiet").otherwise("fired").alias("state"), "owner_group", "source_id", "value", "threshold", "window_from",
+        F.when(F.col("value").isNotNull(), instant(at)).alias("window_to"), "summary",
+    )
+
+
 def groups_of(owner_group: Column) -> Column:
     """The owner groups of a comma-separated list, blanks left out."""
     return F.filter(F.transform(F.split(F.coalesce(owner_group, F.lit("")), ","), lambda g: F.trim(g)), lambda g: g != "")
