@@ -2,7 +2,8 @@ r"""Mask dictionary (fixed values).
 
 Each entry is ``(name, regex, quick)``. Masks run in this order and replace every match by
 ``<NAME>``; regexes run with Unicode character classes. ``quick`` lists alternatives, each a set of
-``(literal, count)`` that a body must hold for the regex to be able to match; it only saves work.
+``(literal, count)`` that a body must hold for the regex to be able to match (with count 0, a cheap regex); it
+only saves work.
 
 The regexes are written for the JVM engine: a leading boundary is tested after the first characters
 (a look-behind at every position is what costs most), and repeated groups are possessive or bounded,
@@ -43,7 +44,7 @@ MASKS = (
         "HOSTNAME",
         r"[0-9A-Za-z](?<!\w.)(?=[0-9A-Za-z-]*+\.)(?:[0-9A-Za-z-]{0,61}[0-9A-Za-z])?\."
         r"(?:[0-9A-Za-z](?:[0-9A-Za-z-]{0,61}[0-9A-Za-z])?\.){0,400}[A-Za-z]{2,}\b",
-        (((".", 1),),),
+        (((r"\.[A-Za-z]{2}", 0),),),
     ),
     ("BASE16NUM", r"0(?<![\w.].)[xX][0-9A-Fa-f]++(?![\w.])", ((("0x", 1),), (("0X", 1),))),
     ("NUMBER", r"[+\-\d](?<![\w.].)(?:(?<=\d)|\d)\d*+(?:\.\d++)?+(?![\w.])", ()),

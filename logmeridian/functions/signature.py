@@ -16,6 +16,8 @@ Mask = tuple[str, str, Sequence[Sequence[tuple[str, int]]]]
 
 
 def _holds(text: Column, literal: str, count: int) -> Column:
+    if count == 0:
+        return text.rlike(literal)
     if count == 1:
         return text.contains(literal)
     return F.substring_index(text, literal, count) != text
@@ -69,7 +71,12 @@ def with_signature(
     masks=MASKS,
     max_chars: int | None = None,
 ) -> DataFrame:
-    return df.withColumn(text, masked(F.col(body), masks, max_chars)).withColumn(hash_column, hash_of(F.col(text)))
+    """``df`` with the masked text of ``body`` and its hash; a null body has the empty text and hash 0.
+
+    Neither is ever null, so joins on them need no test for nulls, which would mask every row once more.
+    """
+    signed = df.withColumn(text, F.coalesce(masked(F.col(body), masks, max_chars), F.lit("")))
+    return signed.withColumn(hash_column, F.coalesce(hash_of(F.col(text)), F.lit(0).cast("bigint")))
 
 
 def unsigned_text(column: Column) -> Column:

@@ -44,6 +44,17 @@ def _keys(signature: str | Sequence[str]) -> list[str]:
     return [signature] if isinstance(signature, str) else list(signature)
 
 
+def _signed() -> Column:
+    """Aggregated beside groups of signatures, for :func:`signed_only`."""
+    return F.max("signature_hash").alias("signed_")
+
+
+def signed_only(grouped: DataFrame) -> DataFrame:
+    """Groups whose signature is one (hash 0 means none), told after the aggregation: a filter on the hash itself would
+    be pushed below the masks and evaluate them once more for every row."""
+    return grouped.filter(F.col("signed_") != 0).drop("signed_")
+
+
 def first_seen(
     events: DataFrame,
     window: CorrelationWindow,
@@ -56,14 +67,12 @@ def first_seen(
     distinct signatures. Hash 0 means "no signature" and never takes part.
     """
     keys = _keys(signature)
-    signed = F.col("signature_hash") != 0
-    per_source = (
+    per_source = signed_only(
         window_rows(events, window, scope)
-        .filter(signed)
         .groupBy(*keys, "source_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), _signed())
     )
-    seen_before = baseline_rows(events, window, scope).filter(signed).select(*keys).distinct()
+    seen_before = baseline_rows(events, window, scope).select(*keys).distinct()
     return (
         per_source.groupBy(*keys)
         .agg(
@@ -83,14 +92,14 @@ def signature_volume(
 ) -> DataFrame:
     """Window and baseline counts per signature in one pass, for signatures the window holds."""
     keys = _keys(signature)
-    return (
+    return signed_only(
         both_rows(events, window, scope)
-        .filter(F.col("signature_hash") != 0)
         .groupBy(*keys)
         .agg(
             count_true(window.in_window()).alias("window_count"),
             count_true(window.in_baseline()).alias("baseline_count"),
             F.min(F.when(window.in_window(), F.col("ts"))).alias("first_seen_at"),
+            _signed(),
         )
         .filter(F.col("window_count") > 0)
     )

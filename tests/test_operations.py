@@ -382,3 +382,14 @@ def test_store_fills_what_is_missing_and_refuses_foreign_changes(spark, tmp_path
     refused = store.write_changes(changes, f"{tmp_path}/c", AccessScope.groups("a"))
     assert sorted(str(r["owner_group"]) for r in refused.collect()) == ["None", "b"]
     assert spark.read.parquet(f"{tmp_path}/c").count() == 1
+
+
+def test_masks_and_parsers_stand_once_in_each_scan(spark):
+    import __spark_entry__ as contract
+
+    def copies(name, mark):
+        return contract.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count(mark)
+
+    assert {n: copies(n, "<UUID>") for n in ("masked_signatures", "signature_volume", "signature_volume_zscore")} == {"masked_signatures": 1, "signature_volume": 1, "signature_volume_zscore": 1}
+    assert copies("first_seen_signatures", "<UUID>") == 2  # the window and the baseline
+    assert copies("parser_wins", "%ASA-") == copies("parse_events", "%ASA-")
