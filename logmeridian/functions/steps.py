@@ -17,28 +17,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logmeridian.functions.exprs import TEXT_MAP, let
+from logmeridian.functions.grok_library import PATTERNS, field_name, rewritten
 
-# Names and meanings of the usual grok patterns, written for the JVM engine.
-PATTERNS = {
-    "WORD": r"\b\w+\b",
-    "NOTSPACE": r"\S+",
-    "SPACE": r"\s*",
-    "DATA": r".*?",
-    "GREEDYDATA": r".*",
-    "INT": r"[+-]?[0-9]+",
-    "POSINT": r"\b[1-9][0-9]*\b",
-    "NUMBER": r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)",
-    "USER": r"[a-zA-Z0-9._-]+",
-    "IPV4": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})",
-    "HOSTNAME": r"\b[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62})*+\.?",
-    "IPORHOST": r"(?:%{IPV4}|%{HOSTNAME})",
-    "HTTPDATE": r"[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}",
-    "SYSLOGTIMESTAMP": r"[A-Z][a-z]{2} +[0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2}",
-}
 TYPES = {"int": "int", "long": "bigint", "double": "double", "float": "double", "bool": "boolean"}
 ZONES = sorted(z for z in available_timezones() if re.match(r"(Africa|America|Asia|Atlantic|Australia|Europe|Indian|Pacific)/", z)) + ["UTC"]
 AT = "@timestamp"
-_REFERENCE = re.compile(r"%\{(\w+)(?::([\w.@]+))?(?::(\w+))?\}")
+_REFERENCE = re.compile(r"%\{(\w+)(?::([\w.@\[\]-]+))?(?::(\w+))?\}")
+_NAMED = re.compile(r"\(\?<(?![=!])([^>]+)>")
 _CUT, _HIT = "\u0001", "\u0002"
 
 
@@ -46,6 +31,11 @@ def expand(pattern: str, definitions: Mapping[str, str]) -> tuple[str, list[tupl
     """One JVM regex for a grok pattern, and ``(group, field, type)`` of its captures in order."""
     named: list[tuple[str, str | None]] = []
 
+    def mark(target: str, kind: str | None) -> str:
+        # The JVM's group names take no underscores or dots, so groups are numbered.
+        named.append((field_name(target), kind))
+        return f"(?<f{len(named) - 1}>"
+
     def fill(text: str, open_: tuple[str, ...]) -> str:
         def one(m: re.Match) -> str:
             name, target, kind = m.groups()
@@ -55,13 +45,16 @@ def expand(pattern: str, definitions: Mapping[str, str]) -> tuple[str, list[tupl
                 raise ValueError(f"unknown pattern {name}")
             if target is None:
                 return f"(?:{fill(definitions[name], (*open_, name))})"
-            named.append((target, kind))
-            mark = len(named) - 1
-            return f"(?<f{mark}>{fill(definitions[name], (*open_, name))})"
+            return f"{mark(target, kind)}{fill(definitions[name], (*open_, name))})"
 
-        return _REFERENCE.sub(one, text)
+        own = lambda part: _NAMED.sub(lambda m: mark(m[1], None), part)
+        out, at = [], 0
+        for m in _REFERENCE.finditer(text):  # marks are numbered in the order of the text
+            out += [own(text[at : m.start()]), one(m)]
+            at = m.end()
+        return "".join([*out, own(text[at:])])
 
-    regex, groups, count, i, inside = fill(pattern, ()), [], 0, 0, False
+    regex, groups, count, i, inside = fill(rewritten(pattern), ()), [], 0, 0, False
     while i < len(regex):
         c = regex[i]
         if c == "\\":
@@ -72,10 +65,8 @@ def expand(pattern: str, definitions: Mapping[str, str]) -> tuple[str, list[tupl
             label = re.match(r"\(\?<([A-Za-z]\w*)>", regex[i:])
             if label or regex[i + 1 : i + 2] != "?":
                 count += 1
-            if label and re.fullmatch(r"f\d+", label[1]):
+            if label:
                 groups.append((count, *named[int(label[1][1:])]))
-            elif label:
-                groups.append((count, label[1], None))
         i += 1
     return regex, groups
 
@@ -190,9 +181,10 @@ class KeyValue(Step):
 
 @dataclass(frozen=True, kw_only=True)
 class Json(Step):
-    """An object with dotted keys down to ``depth`` levels (deeper ones stay text); arrays stay text, nulls go."""
+    """An object with dotted keys of all its levels; arrays stay text, nulls go.
 
-    depth: int = 6
+    Levels are opened one after another while a value is an object; a text has at most as many as opening braces.
+    """
 
     def read(self, text: Column) -> Column:
         as_map = lambda t: F.from_json(t, "map<string,string>")
@@ -204,10 +196,11 @@ class Json(Step):
 
             return F.flatten(F.transform(entries, open_))
 
-        entries = F.map_entries(as_map(text))
-        for _ in range(self.depth - 1):
-            entries = let(entries, deeper)
-        return F.when(F.ltrim(text).startswith("{"), F.map_filter(F.map_from_entries(entries), lambda _, v: v.isNotNull()))
+        closed = lambda entries: F.exists(entries, lambda e: e["value"].startswith("{"))
+        levels = F.greatest(F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))), F.lit(1))
+        entries = F.aggregate(F.sequence(F.lit(1), levels), F.map_entries(as_map(text)), lambda found, _: F.when(closed(found), deeper(found)).otherwise(found))
+        flat = F.map_filter(F.map_from_entries(entries), lambda _, v: v.isNotNull())
+        return F.when(F.ltrim(text).startswith("{"), flat)
 
 
 @dataclass(frozen=True, kw_only=True)

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from logmeridian.functions import addresses
+from logmeridian.functions import addresses, grok_library, steps
 from logmeridian.operators import alerts, fragments, ordering, ranges, replay, templates
 from logmeridian.plans import triggers
 from logmeridian.scope import AccessScope
@@ -393,3 +393,46 @@ def test_masks_and_parsers_stand_once_in_each_scan(spark):
     assert {n: copies(n, "<UUID>") for n in ("masked_signatures", "signature_volume", "signature_volume_zscore")} == {"masked_signatures": 1, "signature_volume": 1, "signature_volume_zscore": 1}
     assert copies("first_seen_signatures", "<UUID>") == 2  # the window and the baseline
     assert copies("parser_wins", "%ASA-") == copies("parse_events", "%ASA-")
+
+
+def test_json_opens_every_level(spark):
+    import json
+
+    deep = "x"
+    for i in reversed(range(12)):
+        deep = {f"k{i}": deep, "n": None, "a": [1, {"b": 2}]}
+    rows = [(json.dumps(deep),), ('{"a": {}, "b": "{no json", "c": "{\\"d\\": {\\"e\\": 1}}"}',), ("[1]",), ("{broken",)]
+    got = [r["f"] for r in spark.createDataFrame(rows, "t string").select(steps.Json().read(F.col("t")).alias("f")).collect()]
+    assert got[0][".".join(f"k{i}" for i in range(12))] == "x"
+    assert got[0]["k0.k1.k2.k3.k4.k5.k6.k7.k8.a"] == '[1,{"b":2}]'
+    assert (got[1]["b"], got[1]["c.d.e"], got[2]) == ("{no json", "1", None)
+
+
+def test_grok_syntax_is_rewritten_and_files_are_loaded(spark, tmp_path):
+    assert grok_library.rewritten(r"\h+ [[:alpha:]_&[]+ []x]+ (?<[a][b]>y) (?P<c>z) %{DATA:[d][e]}") == r"[0-9a-fA-F]+ [\p{Alpha}_\&\[]+ [\]x]+ (?<a.b>y) (?<c>z) %{DATA:[d][e]}"
+    (tmp_path / "one").write_text("# comment\nHEX \\h+\nTHING [[:digit:]]+(?<[own][part]>[a-z]*)\n\n")
+    (tmp_path / "two").write_text("HEX \\h+\n")
+    (tmp_path / "LICENSE").write_text("not a pattern")
+    (tmp_path / "over").mkdir()
+    (tmp_path / "over" / "x").write_text("WORD [A-Z]+\n")
+    loaded = grok_library.load_patterns(str(tmp_path))
+    assert (loaded["HEX"], loaded["WORD"]) == ("[0-9a-fA-F]+", "[A-Z]+")  # the overlay lies below the folder here
+    assert grok_library.load_patterns(str(tmp_path / "over"), str(tmp_path / "nowhere"))["INT"] == grok_library.PATTERNS["INT"]
+    with pytest.raises(ValueError, match="two patterns"):
+        grok_library.parse_patterns([("a", "X 1"), ("b", "X 2")])
+    step = steps.Grok(patterns=(r"^%{HEX:id} %{THING:[a][thing]} (?<rest_of_it>.*)$",), definitions=loaded)
+    got = spark.createDataFrame([("00ff 12ab the rest",), ("zz",)], "t string").select(step.read(F.col("t")).alias("f")).collect()
+    assert got[0]["f"] == {"id": "00ff", "a.thing": "12ab", "own.part": "ab", "rest_of_it": "the rest"}
+    assert got[1]["f"] is None
+
+
+def test_every_library_pattern_compiles_and_takes_an_example(spark):
+    examples = {
+        "EMAILADDRESS": "a.b+c@example.org", "QS": '"a \\" b"', "UUID": "123e4567-e89b-12d3-a456-426614174000", "MAC": "00:1a:2B:3c:4d:5e", "IP": "2001:db8::1", "HOSTPORT": "h.example:80", "UNIXPATH": "/a/b.c",
+        "WINPATH": "C:\\a\\b", "URI": "http://u@example.org:80/p/q?x=1", "DATESTAMP": "01/02/2024 10:11:12", "TIMESTAMP_ISO8601": "2024-01-02T03:04:05.678+03:00", "DATESTAMP_RFC2822": "Mon, 01 Jan 2024 10:11:12 +0000",
+        "SYSLOGBASE": "Jan  1 10:11:12 host sshd[42]:", "LOGLEVEL": "WARN", "TTY": "/dev/pts/3", "URN": "urn:isbn:12", "DATESTAMP_EVENTLOG": "20240102030405",
+        "COMBINEDAPACHELOG": '192.0.2.1 - bob [10/Oct/2000:13:55:36 -0700] "GET /a HTTP/1.0" 200 2326 "http://x/" "Mozilla/4.08"',
+    }
+    regexes = {name: steps.expand(f"^%{{{name}}}$", grok_library.PATTERNS)[0] for name in grok_library.PATTERNS}
+    row = spark.range(1).select(*[F.lit(examples.get(n, "x")).rlike(r).alias(n) for n, r in regexes.items()]).first()
+    assert [n for n in examples if not row[n]] == []
