@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from logmeridian.functions import addresses
-from logmeridian.functions.exprs import TEXT_MAP
+from logmeridian.functions.exprs import TEXT_MAP, attr
 from logmeridian.functions.signature import unsigned_text
-from logmeridian.operators import alerts, correlate, detect, fragments, preview, replay, search, templates, views
+from logmeridian.functions import steps as S
+from logmeridian.operators import alerts, correlate, detect, fragments, health, parse, preview, replay, search, templates, views
 from logmeridian.parsing_queries import _PARSED, PARSERS, _lines
 from logmeridian.plans import evidence, triggers
 from logmeridian.queries import ALL, MONTH, SOME, WINDOW, _ev, _query
@@ -387,7 +388,7 @@ def _live_ingest(spark, folder):
     query = ingest.ingest(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(inbox), PARSERS, path, _new_folder(spark, "state"), availableNow=True)
     query.awaitTermination()
     events = store.scan_events(spark, path)
-    tagged = F.count(F.when(F.col("attrs")["logmeridian.tags"] != "", F.lit(1)))
+    tagged = F.count(F.when(attr("logmeridian.tags") != "", F.lit(1)))
     return events.groupBy("parser_id", "parse_status", "time_source", F.col("event_date").alias("day")).agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("host").alias("hosts"), tagged.alias("tagged"), F.sum("dst_port").alias("ports"), F.max("src_ip").alias("last_source")
     )
@@ -535,3 +536,31 @@ def _flags(spark, folder):
         F.element_at(kinds, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("status"), (F.col("o_custkey") % 3).alias("out_of_scope_count"), (F.col("o_orderkey") % 2 == 0).alias("truncated")
     )
     return evidence.report_flags(slices)
+
+
+_FIVE = (
+    *PARSERS[:1],
+    parse.Parser("any-web", (S.Grok(patterns=(r"^%{COMMONAPACHELOG} %{GREEDYDATA:rest}$",)),), ('"GET',), 45, ocsf={"http.method": "{{ verb }}", "status": parse.Lookup("response", {"200": "Success"}, "Failure")}, otel={"url.path": "{{request}}"}),
+    *PARSERS[1:],
+)
+
+
+@_query("dispatch_tiers", _ev("""SELECT CASE WHEN event_id::BIGINT % 20 = 0 THEN 'unmatched' WHEN vendor = 'NGINX' AND event_id::BIGINT % 3 = 1 THEN 'bound' ELSE 'candidate' END AS tier, count(*) AS messages,
+sum(CASE WHEN event_id::BIGINT % 20 = 0 THEN 0 ELSE 1 END)::BIGINT AS attempts FROM ev GROUP BY 1"""))
+def _tiers(spark, folder):
+    """Device lines, a third of them from sources bound to a parser that only takes web lines."""
+    bound = F.when(F.col("event_id").cast("long") % 3 == 1, "any-web").alias("bound")
+    parsed = parse.parse_events(_lines(spark, folder).select("event_id", "body", bound), _FIVE, bound="bound")
+    return health.dispatch_tiers(parsed)
+
+
+@_query("attribute_maps", _ev("""SELECT event_id, 'GET' AS method, CASE WHEN action = 'error' THEN 'Failure' ELSE 'Success' END AS status, '/p/' || k AS path, 'forced' AS tier, src_ip AS clientip
+FROM ev WHERE vendor = 'NGINX' AND event_id::BIGINT % 20 <> 0"""))
+def _attribute_maps(spark, folder):
+    """Web lines by one forced parser: fields of the grok library, values for both views, and the engine's own keys."""
+    lines = _lines(spark, folder).select("event_id", "body", "source_id", "ingested_at", "ts")
+    out = parse.normalize(parse.parse_events(lines, _FIVE, forced="any-web"), "ts", "ingested_at", "source_id").filter("parse_status = 'ok'")
+    at = lambda key: F.col("attributes")[key]
+    return out.select(
+        "event_id", at("ocsf.http.method").alias("method"), at("ocsf.status").alias("status"), at("otel.url.path").alias("path"), at("logmeridian.dispatch_tier").alias("tier"), at("clientip").alias("clientip")
+    )

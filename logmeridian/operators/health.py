@@ -44,6 +44,11 @@ def dispatch_health(parsed: DataFrame, bound: str, target: float = 0.95) -> Data
     }).withColumn("on_target", F.col("bound_ratio") >= target)
 
 
+def dispatch_tiers(parsed: DataFrame) -> DataFrame:
+    """``tier, messages, attempts``: how messages found their parsers, and how many parsers were tried for them."""
+    return parsed.groupBy("tier").agg(F.count(F.lit(1)).alias("messages"), F.sum("attempts").alias("attempts"))
+
+
 def empty_columns(coverage: DataFrame) -> DataFrame:
     """``field, vendor`` of columns no event fills: vendor is NULL where that holds for all vendors.
 

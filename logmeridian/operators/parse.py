@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logmeridian.functions.addresses import mapped_text
 from logmeridian.functions.exprs import let, literal_map, nonblank
-from logmeridian.functions.steps import AT, Step, fields_of, parse_state
+from logmeridian.functions.steps import AT, Step, fields_of, merged, parse_state
 
 UNASSIGNED = "_unassigned"
 UNKNOWN = "_unknown"
@@ -37,6 +37,13 @@ class Parser:
     contains: Sequence[str] = ()
     specificity: int = 0
     core: Mapping[str, str | Lookup] = field(default_factory=dict)
+    ocsf: Mapping[str, str | Lookup] = field(default_factory=dict)
+    otel: Mapping[str, str | Lookup] = field(default_factory=dict)
+
+
+#: How a message found its parser.
+FORCED, BOUND, CANDIDATE, UNMATCHED = "forced", "bound", "candidate", "unmatched"
+MAPS = ("core", "ocsf", "otel")
 
 
 def rendered(value: str | Lookup, fields: Column) -> Column:
@@ -48,37 +55,58 @@ def rendered(value: str | Lookup, fields: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def parse_events(df: DataFrame, parsers: Sequence[Parser], body: str = "body", bound: str | None = None) -> DataFrame:
-    """``df`` with ``parser_id``, ``parse_status``, ``tags``, ``fields``, ``core`` and ``parsed_at`` added.
+def parse_events(df: DataFrame, parsers: Sequence[Parser], body: str = "body", bound: str | None = None, forced: str | None = None) -> DataFrame:
+    """``df`` with ``parser_id``, ``parse_status``, ``tags``, ``fields``, ``core``, ``ocsf``, ``otel``, ``tier``, ``attempts`` and ``parsed_at`` added.
 
-    Parsers go in the order of specificity (highest first), then id, the one named in the column
-    ``bound`` before all others. The first whose result is ok wins, else the first partial one; a message
-    no parser takes is ``failed`` with an empty id and empty maps. A parser only sees messages that hold
-    one of its literals, and the message bound to it.
+    The parser named in the column ``bound`` takes a message that it does not fail on (tier ``bound``). Else parsers go in the order of
+    specificity (highest first), then id, those that have a literal only on messages that hold one of theirs; the first whose result
+    is ok wins, else the first partial one (``candidate``). A message no parser takes is ``unmatched``, failed, with an empty
+    id and empty maps. ``attempts`` counts the parsers tried for the result: one for a bound one, candidates up to the first
+    that is ok, else all. With ``forced`` only that parser is tried, whatever the message holds; naming none of ``parsers`` is an error.
     """
     ordered = sorted(parsers, key=lambda p: (-p.specificity, p.id))
-    tied = F.col(bound) if bound else F.lit(None).cast("string")
+    if forced is not None:
+        ordered = [p for p in ordered if p.id == forced]
+        if not ordered:
+            raise ValueError(f"no parser is named {forced!r}")
+    tied = F.col(bound) if bound and forced is None else F.lit(None).cast("string")
 
     def attempt(parser: Parser, text: Column) -> Column:
+        could = F.lit(True) if forced is not None or not parser.contains else reduce(or_, [text.contains(x) for x in parser.contains])
+        could, own = F.coalesce(could, F.lit(False)), F.coalesce(tied == parser.id, F.lit(False))
+
         def result(state: Column) -> Column:
-            core = fields_of({name: rendered(value, state["fields"]) for name, value in parser.core.items()})
-            return F.when(state["status"] != "failed", F.struct(
-                F.lit(parser.id).alias("parser_id"), state["status"].alias("parse_status"), state["tags"].alias("tags"),
-                F.map_filter(state["fields"], lambda k, _: k != "message").alias("fields"), core.alias("core"),
-            ))
+            maps = [fields_of({name: rendered(value, state["fields"]) for name, value in getattr(parser, m).items()}).alias(m) for m in MAPS]
+            return F.struct(
+                F.lit(parser.id).alias("parser_id"), state["status"].alias("parse_status"), state["tags"].alias("tags"), F.map_filter(state["fields"], lambda k, _: k != "message").alias("fields"), *maps,
+                could.alias("could"), own.alias("own"),
+            )
 
-        could = reduce(or_, [text.contains(x) for x in parser.contains]) if parser.contains else F.lit(True)
-        return F.when(could | F.coalesce(tied == parser.id, F.lit(False)), let(parse_state(text, parser.steps), result))
+        return F.when(could | own, let(parse_state(text, parser.steps), result))
 
-    def choose(results: Column) -> Column:
-        first = lambda status, own: F.get(F.filter(results, lambda r: (r["parse_status"] == status) & (F.coalesce(r["parser_id"] == tied, F.lit(False)) if own else F.lit(True))), F.lit(0))
-        none = F.struct(F.lit("").alias("parser_id"), F.lit("failed").alias("parse_status"), F.array().cast("array<string>").alias("tags"), fields_of({}).alias("fields"), fields_of({}).alias("core"))
-        return F.coalesce(first("ok", True), first("ok", False), first("partial", True), first("partial", False), none)
+    none = F.struct(
+        F.lit("").alias("parser_id"), F.lit("failed").alias("parse_status"), F.array().cast("array<string>").alias("tags"), fields_of({}).alias("fields"), *[fields_of({}).alias(m) for m in MAPS],
+        F.lit(False).alias("could"), F.lit(False).alias("own"),
+    )
 
-    best = let(F.col(body), lambda text: let(F.array_compact(F.array(*[attempt(p, text) for p in ordered])), choose))
-    parsed = df.withColumn("parsed_", best)
-    at = F.try_element_at(F.col("parsed_.fields"), F.lit(AT)).try_cast("timestamp_ntz")
-    return parsed.select(*df.columns, "parsed_.parser_id", "parsed_.parse_status", "parsed_.tags", "parsed_.fields", "parsed_.core", at.alias("parsed_at"))
+    def choose(tries: Column) -> Column:
+        candidates = lambda: F.filter(tries, lambda t: t["could"])
+        first = lambda rows, fits: F.get(F.filter(rows, fits), F.lit(0))
+        mine = first(tries, lambda t: t["own"] & (t["parse_status"] != "failed"))
+        whole = first(tries, lambda t: t["could"] & (t["parse_status"] == "ok"))
+        part = first(tries, lambda t: t["could"] & (t["parse_status"] == "partial"))
+        best = F.coalesce(mine, whole, part, none)
+        until = F.array_position(F.transform(candidates(), lambda t: t["parse_status"]), "ok")
+        tier = F.lit(FORCED) if forced is not None else F.when(mine.isNotNull(), BOUND).when(whole.isNotNull() | part.isNotNull(), CANDIDATE).otherwise(UNMATCHED)
+        attempts = F.when(mine.isNotNull(), F.lit(1)).when(until > 0, until.cast("int")).otherwise(F.size(candidates()))
+        return F.struct(best.alias("best"), tier.alias("tier"), attempts.alias("attempts"))
+
+    found = let(F.col(body), lambda text: let(F.array_compact(F.array(*[attempt(p, text) for p in ordered])), choose))
+    parsed = df.withColumn("parsed_", found)
+    best = F.col("parsed_.best")
+    at = F.try_element_at(best["fields"], F.lit(AT)).try_cast("timestamp_ntz")
+    names = ("parser_id", "parse_status", "tags", "fields", *MAPS)
+    return parsed.select(*df.columns, *[best[n].alias(n) for n in names], "parsed_.tier", "parsed_.attempts", at.alias("parsed_at"))
 
 
 def mapped_address(text: Column) -> Column:
@@ -95,8 +123,13 @@ def normalize(parsed: DataFrame, observed: str, received: str, source_key: str)
     """Canonical columns of parsed events, added to the given ones.
 
     The time is that of the message, else when it was observed, else when it was received, and
-    ``time_source`` says which. The host falls back to the source key.
+    ``time_source`` says which. The host falls back to the source key. ``attributes`` holds the parser's fields, its ``ocsf.`` and
+    ``otel.`` values, how the message found its parser, its tags, and the source key where ``is_known`` says that no source has it.
     """
+    nonempty = lambda m: F.map_filter(m, lambda _, v: v != "")
+    prefixed = lambda m: nonempty(F.transform_keys(m, lambda k, _: F.concat(F.lit(f"{m}."), k)))
+    stranger = F.when(~F.col("is_known"), F.col(source_key)) if "is_known" in parsed.columns else F.lit(None).cast("string")
+    engine = fields_of({"logmeridian.dispatch_tier": F.col("tier"), "logmeridian.tags": F.array_join("tags", ","), "logmeridian.unassigned_source_key": stranger})
     core = lambda name: F.try_element_at(F.col("core"), F.lit(name))
     at, seen = F.col("parsed_at"), F.col(observed)
     return parsed.withColumns({
@@ -105,7 +138,7 @@ def normalize(parsed: DataFrame, observed: str, received: str, source_key: str)
         "event_host": F.coalesce(nonblank(core("host")), F.col(source_key)),
         "src_address": mapped_address(core("src_ip")),
         "dst_port_number": clamped(core("dst_port"), 65535),
-        "attributes": F.map_filter("fields", lambda _, v: v != ""),
+        "attributes": reduce(merged, [nonempty("fields"), prefixed("ocsf"), prefixed("otel"), engine]),
     })
 
 

@@ -25,14 +25,14 @@ def pipeline(records: DataFrame, parsers: Sequence[parse.Parser], inventory: Dat
     bound = None
     if inventory is not None:
         resolved = parse.resolve_sources(text, inventory, "source_key")
-        text = resolved.drop("source_id", "owner_group").withColumnsRenamed({"resolved_source": "source_id", "resolved_group": "owner_group"}).drop("is_known")
+        text = resolved.drop("source_id", "owner_group").withColumnsRenamed({"resolved_source": "source_id", "resolved_group": "owner_group"})
     parsed = parse.normalize(parse.parse_events(text, parsers, bound=bound), "observed_at", "received_at", "source_key")
     core = lambda name: F.coalesce(F.try_element_at("core", F.lit(name)), F.lit(""))
     shaped = parsed.withColumns({
         "ts": F.col("event_ts").cast("timestamp"), "ingested_at": F.col("received_at").cast("timestamp"), "host": F.col("event_host"), "encoding_detected": F.col("encoding"),
         "src_ip": F.coalesce("src_address", F.lit("")), "dst_ip": F.coalesce(parse.mapped_address(core("dst_ip")), F.lit("")), "src_port": parse.clamped(core("src_port"), 65535), "dst_port": F.col("dst_port_number"),
         "proto": core("proto"), "action": core("action"), "outcome": core("outcome"), "user_name": core("user_name"), "vendor": core("vendor"), "product": core("product"),
-        "parse_generation": F.lit(1), "attrs": F.map_concat(F.coalesce("attributes", empty_map()), F.create_map(F.lit("logmeridian.tags"), F.array_join("tags", ","))),
+        "parse_generation": F.lit(1), "attrs": F.coalesce("attributes", empty_map()),
     })
     return with_signature(shaped).drop("signature_text")
 
