@@ -3,9 +3,12 @@
 A node that is to become ``s`` shards is cut along its widest dimension so that ``floor(s / 2)`` of its
 ``s`` parts of bytes fall left; all nodes of a level are cut together. A cut position is found by
 histograms: sums of bytes per interval of the key come from Spark, the interval with the wanted sum is
-divided again until what is left in it does not matter. The dimensions depend on the text alone and ties are
+divided again until what is left in it does not matter. The dimensions are the size of the text, its bytes per
+character (which tells scripts apart), its number of lines and the length of its words, each on a logarithmic scale; the widest is that
+which spans the greatest part of its range over all rows. They depend on the text alone and ties are
 ordered by its checksum, so equal texts stay together, except where a cut has to go through a group
-of equal texts too heavy for that; there it goes by a hash of the row.
+of equal texts too heavy for that; there it goes by a hash of the row. Language and source are no dimensions: copies of
+a text may differ in them.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ BIN_BITS = 13
 TOLERANCE = 0.0005
 """Share of a shard's bytes that may stay on either side of a cut."""
 KEY_BITS = 62
-DIMENSIONS = 3
+DIMENSIONS = 4
 
 
 def _scaled(column: Column, bits: int = 30) -> Column:
@@ -34,10 +37,13 @@ def _points(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     size = F.octet_length(text).cast("long")
     crc = F.crc32(F.encode(text, "UTF-8"))
     per_char = F.coalesce(F.try_divide(F.octet_length(text) * 1000, F.length(text)), F.lit(0)).cast("long")
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    per_word = (F.length(text) * 1000 / (lines + spaces + 1)).cast("long")
     mixed = F.shiftrightunsigned(F.xxhash64(id_column), 33).cast("long")
     return docs.select(
         F.col(id_column).alias("id"), (size + OVERHEAD).alias("size"), crc.alias("crc"), _scaled(size).alias("d0"), _scaled(per_char).alias("d1"),
-        F.shiftright(crc, 2).alias("d2"), mixed.alias("mixed"), F.monotonically_increasing_id().alias("row"),
+        _scaled(lines).alias("d2"), _scaled(per_word).alias("d3"), mixed.alias("mixed"), F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -113,14 +119,17 @@ def kd_shards(docs: DataFrame, shards: int = 40, id_column: str = "doc_id", text
     spans = {0: (0, shards)}
     total = float(now.agg(F.sum("size")).first()[0] or 0)
     slack = TOLERANCE * total / shards
+    whole: list[int] = []
     while any(b - a > 1 for a, b in spans.values()):
         stats = now.groupBy("node").agg(F.sum("size").alias("w"), *[F.min(f"d{j}").alias(f"a{j}") for j in range(DIMENSIONS)], *[F.max(f"d{j}").alias(f"b{j}") for j in range(DIMENSIONS)])
         at = {r["node"]: r for r in stats.collect()}
+        wide = lambda r, j: (r[f"b{j}"] or 0) - (r[f"a{j}"] or 0)
+        whole = whole or [max(1, wide(at[0], j)) for j in range(DIMENSIONS)] if 0 in at or whole else [1] * DIMENSIONS
         wanted = {}
         for node, (a, b) in spans.items():
             if b - a > 1 and node in at:
                 r = at[node]
-                widest = max(range(DIMENSIONS), key=lambda j: (r[f"b{j}"] - r[f"a{j}"], -j))
+                widest = max(range(DIMENSIONS), key=lambda j: (wide(r, j) / whole[j], -j))
                 wanted[node] = (widest, r["w"] * ((b - a) // 2) / (b - a))
         first = _cuts(now, wanted, slack, tie=False)
         heavy = {n: c for n, c in first.items() if c[2] > slack}

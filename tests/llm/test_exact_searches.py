@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logmeridian.llm import bpe, coordinate_pruning, dual_tree, license_scan, line_dedup, mixing, ngram_join, pitman_yor, quality
+from logmeridian.llm import bpe, coordinate_pruning, dual_tree, kd_sharding, license_scan, line_dedup, mixing, ngram_join, pii, pitman_yor, quality
 from logmeridian.llm import words as W
 
 VECTORS = "vec_id long, embedding array<double>, label int, bucket string, block int, score string, v int, word string"
@@ -276,3 +276,58 @@ def test_helper_names_do_not_clash(spark):
     mixed = mixing.mix_sources(docs).select(docs.columns).distinct().collect()
     assert mixed
     assert {tuple(r) for r in mixed} <= set(rows)
+
+
+def brute_shards(texts, shards):
+    """Every node cut along its widest dimension, the keys in order, at the wanted bytes."""
+    import math
+    import zlib
+
+    def scaled(x):
+        return min(math.floor(math.log2(x + 1) * (2.0**30 / 40)), 2**30 - 1)
+
+    points = []
+    for i, t in enumerate(texts):
+        raw, lines, spaces = (t or "").encode(), (t or "").count("\n"), (t or "").count(" ")
+        n = len(t or "")
+        dims = [scaled(len(raw)), scaled(len(raw) * 1000 // n if n else 0), scaled(lines), scaled(int(n * 1000 / (lines + spaces + 1)))]
+        points.append((i, len(raw) + kd_sharding.OVERHEAD, dims, zlib.crc32(raw)))
+    spread = lambda some, j: max(p[2][j] for p in some) - min(p[2][j] for p in some)
+    whole = [max(1, spread(points, j)) for j in range(4)]
+    out, todo = {}, [(points, 0, shards)]
+    while todo:
+        some, a, b = todo.pop()
+        if b - a == 1:
+            out |= {p[0]: a for p in some}
+            continue
+        j = max(range(4), key=lambda j: (spread(some, j) / whole[j], -j))
+        some = sorted(some, key=lambda p: (p[2][j], p[3]))
+        want, left, best = sum(p[1] for p in some) * ((b - a) // 2) / (b - a), 0, 0
+        for k, p in enumerate(some):
+            if abs(left + p[1] - want) >= abs(left - want):
+                break
+            left, best = left + p[1], k + 1
+        todo += [(some[:best], a, a + (b - a) // 2), (some[best:], a + (b - a) // 2, b)]
+    return out
+
+
+def test_shards_are_cut_along_the_widest_dimension(spark, monkeypatch):
+    """Against a tree that sorts; with distinct texts, cuts differ by no more than the row they go through."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcñ日 \n") for _ in range(rng.randint(5, 400))) + str(i) for i in range(300)]
+    monkeypatch.setattr(kd_sharding, "TOLERANCE", 0.0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["shard"] for r in kd_sharding.kd_shards(docs, 4).collect()}
+    expected = brute_shards(texts, 4)
+    assert sum(got[i] != expected[i] for i in got) <= 6
+
+
+def test_a_sample_of_many_examples_is_that_of_all(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 40)
+    seen = []
+    monkeypatch.setattr(pii.boosting, "fit", lambda x, y, fit=pii.boosting.fit: seen.append((x.tolist(), y.tolist())) or fit(x, y))
+    texts = spark.createDataFrame([(f"write to user{i}@example{i}.org or call +1 202 555 {1000 + i}",) for i in range(300)], "text string")
+    pii.fit_selector(texts)
+    monkeypatch.setattr(pii.F, "conv", lambda *_: pii.F.lit(2**40))  # nothing passes: all are ordered
+    pii.fit_selector(texts)
+    assert seen[0] == seen[1] and len(seen[0][0]) > 5
