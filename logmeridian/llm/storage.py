@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handed to Python at once; a text column is cut further by bytes inside the tasks.
 ARROW_ROWS = 1024
+ARROW_BYTES = "8m"
+"""Bytes handed to Python at once, as far as single rows allow; held by the executor and by its worker."""
 
 
 def scratch(spark: SparkSession) -> str:
@@ -55,8 +57,9 @@ def discard(*tables: DataFrame) -> None:
 
 
 def arrow_ready(spark: SparkSession) -> None:
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(ARROW_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, value in (("maxRecordsPerBatch", str(ARROW_ROWS)), ("maxBytesPerBatch", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) != value:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 def shuffle_width(spark: SparkSession) -> int:
