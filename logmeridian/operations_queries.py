@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -13,12 +14,13 @@ from logmeridian.functions import steps as S
 from logmeridian.operators import alerts, correlate, detect, fragments, health, parse, preview, replay, search, templates, views
 from logmeridian.parsing_queries import _PARSED, PARSERS, _lines
 from logmeridian.plans import evidence, triggers
-from logmeridian.queries import ALL, MONTH, SOME, WINDOW, _ev, _query
+from logmeridian.queries import _CHANGES, ALL, MONTH, SOME, WINDOW, _ev, _inputs, _query
+from logmeridian.schemas import LIFT_FIELDS
 from logmeridian.scope import AccessScope, all_groups_readable
 from logmeridian.session import checkpoint_dir
 from logmeridian.sources import adapt, archive, inventory, store
 from logmeridian.streaming import ingest, live
-from logmeridian.windows import EventQuery
+from logmeridian.windows import CorrelationWindow, EventQuery
 
 _FIRST_TYPES = ("click", "error", "view")
 
@@ -108,9 +110,17 @@ def _records(spark, folder):
     )
 
 
+_ARCHIVES: dict[tuple[str, str], str] = {}
+
+
 def _archive(spark, folder):
-    root = _new_folder(spark, "archive")
-    return root, archive.commit(_records(spark, folder), root)
+    """The archive of a folder's events and its manifest, written once for an application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _ARCHIVES:
+        root = _new_folder(spark, "archive")
+        archive.commit(_records(spark, folder), root)
+        _ARCHIVES[key] = root
+    return _ARCHIVES[key], archive.manifest(spark, _ARCHIVES[key])
 
 
 _RAW = """raw AS (SELECT ev.* REPLACE (make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (epoch_us(ev.ts) - epoch_us(TIMESTAMP '2024-01-01')) // 12) AS ts), user_id, action || ' op_k' || k || ' user ' || user_id || ' value ' || value AS body,
@@ -564,3 +574,46 @@ def _attribute_maps(spark, folder):
     return out.select(
         "event_id", at("ocsf.http.method").alias("method"), at("ocsf.status").alias("status"), at("otel.url.path").alias("path"), at("logmeridian.dispatch_tier").alias("tier"), at("clientip").alias("clientip")
     )
+
+
+_IN_WINDOW, _IN_BASELINE = ("ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-30'", "ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-29'")
+_LIFTED = " UNION ALL ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS value, ts FROM ev" for f in LIFT_FIELDS)
+
+
+def _found(provider: str, sql: str, window: CorrelationWindow = WINDOW) -> None:
+    """A query of all findings of one evidence provider, without a budget, in their order."""
+
+    def run(spark, folder):
+        only = [p for p in evidence.PROVIDERS if p.id == provider]
+        found = evidence.gather(replace(_inputs(spark, folder, None), window=window, now=window.end), only).findings
+        return found.select("item_id", "ts", F.round("weight", 6).alias("weight"), "order_in_slice", "summary")
+
+    _query("evidence_" + provider.replace("logs.", "").replace(".", "_").replace("-", "_"), sql)(run)
+
+
+_found("logs.first-seen", _ev(f""", n AS (SELECT sig, count(*) AS n, min(ts) AS ts, count(DISTINCT source_id) AS sources, min_by(body, (ts, event_id)) AS body FROM (SELECT ev.*, action || ' op_k' || k || ' user ' || user_id || ' value ' || value AS body
+  FROM ev JOIN (SELECT event_id::VARCHAR AS event_id, user_id, value FROM events) USING (event_id)) WHERE {_IN_WINDOW} AND sig NOT IN (SELECT sig FROM ev WHERE {_IN_BASELINE}) GROUP BY sig)
+SELECT 'first-seen:' || sig AS item_id, ts, sources::DOUBLE AS weight, (row_number() OVER (ORDER BY n DESC, sig) - 1)::INTEGER AS order_in_slice, 'first seen · ' || sources || ' sources · ' || n || ' events · ' || body AS summary FROM n"""))
+_found("logs.propagation", _ev(f""", d AS (SELECT owner_group, source_id, min(ts) AS ts, count(*) AS n, count(*) FILTER (time_source <> 'parsed') AS late FROM ev WHERE {_IN_WINDOW} AND (parse_status = 'failed' OR severity_num >= 4) GROUP BY ALL),
+l AS (SELECT *, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM d)) / 1e6 AS lag FROM d)
+SELECT 'propagation:' || source_id AS item_id, ts, round(1.0 / (1.0 + lag), 6) AS weight, (row_number() OVER (ORDER BY ts, source_id, owner_group) - 1)::INTEGER AS order_in_slice,
+  source_id || ' · first degraded +' || round(lag)::BIGINT || 's · ' || n || ' events' || CASE WHEN late > 0 THEN ' · ' || late || ' events with unreliable time' ELSE '' END AS summary FROM l"""))
+_found("logs.silence", _ev(f""", s AS (SELECT owner_group, source_id, max(ingested_at) AS ts, count(*) / 7.0::DOUBLE AS expected FROM ev WHERE {_IN_BASELINE} AND source_id NOT IN (SELECT source_id FROM ev WHERE {_IN_WINDOW}) GROUP BY ALL HAVING count(*) >= 7)
+SELECT 'silence:' || source_id AS item_id, ts, round(expected, 6) AS weight, (row_number() OVER (ORDER BY expected DESC, source_id, owner_group) - 1)::INTEGER AS order_in_slice,
+  source_id || ' fell silent · about ' || regexp_replace(round(expected, 1)::DECIMAL(18, 1)::VARCHAR, '\\.0$', '') || ' events expected · last heard ' || strftime(ts, '%Y-%m-%d %H:%M') AS summary FROM s"""))
+_found("logs.window", _ev(f"""SELECT event_id AS item_id, ts, CASE WHEN parse_status = 'failed' THEN 1.0 ELSE 0.5 END::DOUBLE AS weight, (row_number() OVER (ORDER BY ts, event_id) - 1)::INTEGER AS order_in_slice,
+  source_id || ' · ' || parse_status || ' · ' || action || ' op_k' || k || ' user ' || user_id || ' value ' || value AS summary
+FROM ev JOIN (SELECT event_id::VARCHAR AS event_id, user_id, value FROM events) USING (event_id) WHERE {_IN_WINDOW} AND parse_status IN ('failed', 'partial')"""))
+_found("logs.attribute-lift", _ev(f""", u AS ({_LIFTED}), c AS (SELECT field, value, count(*) FILTER ({_IN_WINDOW}) AS w, count(*) FILTER ({_IN_BASELINE}) AS b FROM u WHERE value <> '' GROUP BY ALL HAVING count(*) FILTER ({_IN_WINDOW}) > 0),
+t AS (SELECT *, sum(w) OVER (PARTITION BY field) AS tw, sum(b) OVER (PARTITION BY field) AS tb FROM c), l AS (SELECT *, (w::DOUBLE / tw) / (b::DOUBLE / tb) AS lift FROM t WHERE b > 0)
+SELECT 'lift:' || field || '=' || value AS item_id, TIMESTAMP '2024-01-29' AS ts, round(lift, 6) AS weight, (row_number() OVER (ORDER BY lift DESC, field, value) - 1)::INTEGER AS order_in_slice,
+  field || '=' || value || ' · lift ' || regexp_replace(round(lift, 1)::DECIMAL(18, 1)::VARCHAR, '\\.0$', '') || '× · ' || w || ' events (baseline ' || b || ')' AS summary FROM l WHERE lift >= 1"""))
+_found("logs.volume", _ev(f""", v AS (SELECT sig, count(*) FILTER ({_IN_WINDOW}) AS w, count(*) FILTER ({_IN_BASELINE}) AS b FROM ev GROUP BY sig HAVING count(*) FILTER ({_IN_WINDOW}) > 0),
+z AS (SELECT *, b / 7.0::DOUBLE AS e, (w - b / 7.0::DOUBLE) / sqrt(b / 7.0::DOUBLE) AS z, (SELECT min_by(body, (ts, event_id)) FROM (SELECT ev.*, action || ' op_k' || k || ' user ' || user_id || ' value ' || value AS body
+  FROM ev JOIN (SELECT event_id::VARCHAR AS event_id, user_id, value FROM events) USING (event_id)) m WHERE m.sig = v.sig AND {_IN_WINDOW}) AS body FROM v WHERE b > 0)
+SELECT 'volume:' || sig AS item_id, TIMESTAMP '2024-01-29' AS ts, round(z, 6) AS weight, (row_number() OVER (ORDER BY z DESC, sig) - 1)::INTEGER AS order_in_slice,
+  'volume ' || w || ' events, expected ' || regexp_replace(round(e, 1)::DECIMAL(18, 1)::VARCHAR, '\\.0$', '') || ' (z=' || regexp_replace(round(z, 1)::DECIMAL(18, 1)::VARCHAR, '\\.0$', '') || ') · ' || body AS summary FROM z WHERE z >= 1"""))
+_found("change.feed", f"""WITH {_CHANGES}, c AS (SELECT ch.*, o_orderstatus FROM ch JOIN (SELECT o_orderkey::VARCHAR AS change_id, o_orderstatus FROM orders) USING (change_id)
+  WHERE ts >= TIMESTAMP '2024-01-05' - INTERVAL {{lead}} SECOND AND ts < TIMESTAMP '2024-01-06')
+SELECT change_id AS item_id, ts, round(CASE WHEN ts >= TIMESTAMP '2024-01-05' THEN 1 ELSE greatest(0, 1 - (epoch_us(TIMESTAMP '2024-01-05') - epoch_us(ts)) / 1e6 / {{lead}}) END::DOUBLE, 6) AS weight,
+  (row_number() OVER (ORDER BY ts DESC, change_id DESC) - 1)::INTEGER AS order_in_slice, change_kind || ' · ' || target_id || ' · by team_' || o_orderstatus || ' — order ' || change_id AS summary FROM c""".format(lead=int(evidence.CHANGE_LEAD.total_seconds())), CorrelationWindow("2024-01-05", "2024-01-06", "2023-12-29", "2024-01-05"))

@@ -230,8 +230,8 @@ def _lift(x: Inputs) -> Slice:
 def _propagation(x: Inputs) -> Slice:
     onsets = correlate.propagation(x.events, x.window, x.scope, x.severity_mode, x.severity)
     top = _top(onsets, x.budget, F.col("first_degraded_at"), F.col("source_id"), F.col("owner_group"))
-    earliest = F.min("first_degraded_at").over(Window.partitionBy(F.lit(0)))
-    top = top.withColumn("lag_seconds", scores.seconds_between(F.col("first_degraded_at"), earliest))
+    top = top.crossJoin(top.agg(F.min("first_degraded_at").alias("earliest")))  # one row
+    top = top.withColumn("lag_seconds", scores.seconds_between(F.col("first_degraded_at"), F.col("earliest")))
     warning = F.when(
         F.col("unreliable_time_count") > 0,
         F.concat(F.lit(" · "), F.col("unreliable_time_count"), F.lit(" events with unreliable time")),
