@@ -13,12 +13,12 @@ from logmeridian.functions.signature import unsigned_text
 from logmeridian.functions import steps as S
 from logmeridian.operators import alerts, correlate, detect, fragments, health, parse, preview, replay, search, templates, views
 from logmeridian.parsing_queries import _PARSED, PARSERS, _lines
-from logmeridian.plans import evidence, triggers
+from logmeridian.plans import bundles, evidence, triggers
 from logmeridian.queries import _CHANGES, ALL, MONTH, SOME, WINDOW, _ev, _inputs, _query
 from logmeridian.schemas import LIFT_FIELDS
 from logmeridian.scope import AccessScope, all_groups_readable
 from logmeridian.session import checkpoint_dir
-from logmeridian.sources import adapt, archive, inventory, store
+from logmeridian.sources import adapt, archive, inventory, samples, store
 from logmeridian.streaming import ingest, live
 from logmeridian.windows import CorrelationWindow, EventQuery
 
@@ -617,3 +617,26 @@ _found("change.feed", f"""WITH {_CHANGES}, c AS (SELECT ch.*, o_orderstatus FROM
   WHERE ts >= TIMESTAMP '2024-01-05' - INTERVAL {{lead}} SECOND AND ts < TIMESTAMP '2024-01-06')
 SELECT change_id AS item_id, ts, round(CASE WHEN ts >= TIMESTAMP '2024-01-05' THEN 1 ELSE greatest(0, 1 - (epoch_us(TIMESTAMP '2024-01-05') - epoch_us(ts)) / 1e6 / {{lead}}) END::DOUBLE, 6) AS weight,
   (row_number() OVER (ORDER BY ts DESC, change_id DESC) - 1)::INTEGER AS order_in_slice, change_kind || ' · ' || target_id || ' · by team_' || o_orderstatus || ' — order ' || change_id AS summary FROM c""".format(lead=int(evidence.CHANGE_LEAD.total_seconds())), CorrelationWindow("2024-01-05", "2024-01-06", "2023-12-29", "2024-01-05"))
+
+
+@_query("recent_bundles", """SELECT o_orderkey::VARCHAR AS bundle_id, o_orderdate AS gathered_at FROM orders
+WHERE o_orderkey % 7 <> 0 AND 'grp_' || (o_custkey % 4) IN ('grp_1', 'grp_2') AND 'grp_' || (o_custkey % 3) IN ('grp_1', 'grp_2') ORDER BY o_orderdate DESC, bundle_id LIMIT 500""")
+def _recent(spark, folder):
+    """The newest bundles of a reader of two groups; five hundred are the most that are listed."""
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    groups = F.array_distinct(F.array(F.concat(F.lit("grp_"), cust % 4), F.concat(F.lit("grp_"), cust % 3)))
+    stored = adapt.table(spark, folder, "orders").select(key.cast("string").alias("bundle_id"), F.col("o_orderdate").alias("gathered_at"), groups.alias("owner_groups"), (key % 7 == 0).alias("gathered_by_system"))
+    return bundles.recent_bundles(stored, SOME, 1000).select("bundle_id", "gathered_at")
+
+
+@_query("sample_coverage", _ev(f""", {_PARSED}, s AS (SELECT CASE WHEN event_id::BIGINT % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, parse_status FROM pb)
+SELECT kind, count(*) FILTER (parse_status = 'ok') AS ok, count(*) FILTER (parse_status = 'partial') AS partial, count(*) FILTER (parse_status = 'failed') AS failed, count(*) FILTER (parse_status = 'failed') = 0 AS passed FROM s GROUP BY kind"""))
+def _samples(spark, folder):
+    """Device lines written as sample files, with comments and blank lines, and read again."""
+    path = _new_folder(spark, "samples")
+    number = F.col("event_id").cast("long")
+    for kind, rest in (("even", 0), ("odd", 1)):
+        lines = _lines(spark, folder).filter(number % 2 == rest).select(F.explode(F.array(F.col("body"), F.when(number % 10 < 2, F.concat(F.lit("# "), F.col("body"))).otherwise(""))).alias("value"))
+        lines.write.text(f"{path}/{kind}")
+    found = samples.sample_lines(spark, f"{path}/even").withColumn("file", F.lit("even")).unionByName(samples.sample_lines(spark, f"{path}/odd").withColumn("file", F.lit("odd")))
+    return samples.sample_coverage(found, PARSERS).withColumnRenamed("file", "kind")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from logmeridian.functions import addresses, grok_library, steps
 from logmeridian.operators import alerts, fragments, ordering, ranges, replay, templates
-from logmeridian.plans import triggers
+from logmeridian.plans import bundles, triggers
 from logmeridian.scope import AccessScope
 from logmeridian.session import configure
 from logmeridian.sources import archive, inventory, store
 from logmeridian.streaming import live
+from logmeridian.windows import CorrelationWindow
 
 T0 = datetime(2024, 1, 1)
 ALL = AccessScope.system()
@@ -436,3 +437,20 @@ def test_every_library_pattern_compiles_and_takes_an_example(spark):
     regexes = {name: steps.expand(f"^%{{{name}}}$", grok_library.PATTERNS)[0] for name in grok_library.PATTERNS}
     row = spark.range(1).select(*[F.lit(examples.get(n, "x")).rlike(r).alias(n) for n, r in regexes.items()]).first()
     assert [n for n in examples if not row[n]] == []
+
+
+def test_bundles_are_kept_and_shown_to_those_who_may_read_them(spark, tmp_path):
+    window = CorrelationWindow("2024-01-29", "2024-01-30", "2024-01-22", "2024-01-29")
+    rows, slices = spark.createDataFrame([("a", 1.0)], "item_id string, weight double"), spark.createDataFrame([("p", "gathered")], "provider_id string, status string")
+    for name, scope in (("one", AccessScope.groups("g", "h")), ("two", AccessScope.groups("g")), ("system", AccessScope.system())):
+        bundles.save_bundle(rows, slices, str(tmp_path), name, "2024-02-01", window, scope)
+    stored = bundles.stored_bundles(spark, str(tmp_path))
+    assert [r["bundle_id"] for r in bundles.recent_bundles(stored, AccessScope.groups("g")).collect()] == ["two"]
+    assert [r["bundle_id"] for r in bundles.recent_bundles(stored, ALL, 0).collect()] == ["one"]
+    assert stored.count() == 3
+    found, parts = bundles.load_bundle(spark, str(tmp_path), "two", AccessScope.groups("g"))
+    assert (found.first()["item_id"], parts.first()["status"]) == ("a", "gathered")
+    assert bundles.load_bundle(spark, str(tmp_path), "one", AccessScope.groups("g")) is None
+    stored.limit(1).withColumn("schema_version", F.lit(9)).withColumn("bundle_id", F.lit("new")).write.mode("append").parquet(f"{tmp_path}/bundles")
+    with pytest.raises(ValueError, match="schema version 9"):
+        bundles.load_bundle(spark, str(tmp_path), "new", ALL)
