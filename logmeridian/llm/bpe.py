@@ -16,6 +16,8 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,7 +143,7 @@ def token_starts(marks: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """``ranks``: bytes to id; ``keys``/``ids`` and ``pairs``: mergeable pairs; ``flat``/``cuts``: the bytes of each id."""
+    """``ranks``: bytes to id; ``keys``/``ids``: mergeable pairs; ``flat``/``cuts``: the bytes of each id."""
 
     ranks: dict[bytes, int]
     bytes_to_id: np.ndarray
@@ -149,7 +151,6 @@ class Vocabulary:
     ids: np.ndarray
     flat: np.ndarray
     cuts: np.ndarray
-    pairs: dict[int, int]
     late: np.ndarray
     """Ids that are part of a pair of lower rank; such an id is made once per round, at the leftmost place."""
 
@@ -174,7 +175,7 @@ def load_vocabulary(path: str) -> Vocabulary:
         parts.append(names.get(i, b""))
         cuts[i + 1] = cuts[i] + len(parts[-1])
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    return Vocabulary(ranks, single, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), np.frombuffer(b"".join(parts), np.uint8), cuts, pairs, late)
+    return Vocabulary(ranks, single, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), np.frombuffer(b"".join(parts), np.uint8), cuts, late)
 
 
 _NONE = np.iinfo(np.int64).max
@@ -236,24 +237,30 @@ def merge_long(one: bytes, vocabulary: Vocabulary) -> bytes:
     fits = np.flatnonzero(vocabulary.keys[at] == pair)
     heap = ((vocabulary.ids[at[fits]] << 32) | fits).tolist()
     heapq.heapify(heap)
-    n, known = len(one), vocabulary.pairs
+    n, keys, ranks = len(one), array("q", vocabulary.keys.tobytes()), array("q", vocabulary.ids.tobytes())
+
+    def rank_of(left: int, right: int) -> int | None:
+        pair = (left << 32) | right
+        i = bisect_left(keys, pair)
+        return ranks[i] if i < len(keys) and keys[i] == pair else None
+
     ids, after, before = tokens.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
         top = heapq.heappop(heap)
         rank, i = top >> 32, top & 0xFFFFFFFF
         j = after[i]
-        if ids[i] < 0 or j >= n or known.get((ids[i] << 32) | ids[j]) != rank:
+        if ids[i] < 0 or j >= n or rank_of(ids[i], ids[j]) != rank:
             continue
         ids[i], ids[j] = rank, -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            fresh = known.get((rank << 32) | ids[k])
+            fresh = rank_of(rank, ids[k])
             if fresh is not None:
                 heapq.heappush(heap, (fresh << 32) | i)
         h = before[i]
         if h >= 0:
-            fresh = known.get((ids[h] << 32) | rank)
+            fresh = rank_of(ids[h], rank)
             if fresh is not None:
                 heapq.heappush(heap, (fresh << 32) | h)
     return np.array([x for x in ids if x >= 0], "<u4").tobytes()
