@@ -13,7 +13,7 @@ def micros(column: Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def _level(first: Column, last: Column) -> Column:
+def level_of(first: Column, last: Column) -> Column:
     """The least width that is not exceeded, so that an interval lies in at most two of its buckets."""
     level = F.lit(len(WIDTHS) - 1)
     for i in reversed(range(len(WIDTHS) - 1)):
@@ -47,7 +47,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Col
 
     def prepared(df: DataFrame, span: tuple[Column, Column], a: str, b: str) -> DataFrame:
         timed = df.withColumn(a, micros(span[0])).withColumn(b, micros(span[1])).filter(F.col(a) <= F.col(b))
-        return timed.withColumn("level_", _level(F.col(a), F.col(b)))
+        return timed.withColumn("level_", level_of(F.col(a), F.col(b)))
 
     one, two = prepared(left, left_span, "a1_", "b1_"), prepared(right, right_span, "a2_", "b2_")
     first, second = _levels(one), _levels(two)

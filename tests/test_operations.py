@@ -374,6 +374,34 @@ def test_trigger_counts_need_no_plan_for_each_trigger(spark):
     assert slices[(4, "logs.volume")] == "empty"
 
 
+@pytest.mark.parametrize("tile", [5, 1 << 19])
+def test_trigger_counts_equal_brute_force_in_tiles_of_any_size(spark, monkeypatch, tile):
+    monkeypatch.setattr(triggers, "TILE_EVENTS", tile)
+    monkeypatch.setattr(triggers, "TILE_TRIGGERS", tile)
+    rng = random.Random(3)
+    at = lambda: T0 + timedelta(minutes=rng.randint(0, 30_000), microseconds=rng.choice([0, 1]))
+    rows = [(rng.choice(["s", "t", None]), rng.choice(["g", "h", None]), rng.choice([at(), None]) if i % 9 == 0 else at(), rng.randint(0, 6)) for i in range(400)]
+    events = spark.createDataFrame([(s, g, t, n, f"text {n}" if n else "") for s, g, t, n in rows], "source_id string, owner_group string, ts timestamp_ntz, signature_hash long, signature_text string")
+    asked = []
+    for i in range(60):
+        start = at()
+        asked.append((rng.choice([i, 3, None]) if i % 4 == 0 else i, rng.choice(["g", "h", None]), rng.choice(["s", "t", " ", None]), start, start + timedelta(minutes=rng.choice([-5, 1, 600, 20_000]))))
+    wanted = {}
+    for trigger, group, source, start, end in asked:
+        for s, g, t, n in rows:
+            mine = s == source if (source or "").strip() else g is not None and g == group
+            if start < end and mine and n and t is not None and start - timedelta(days=7) <= t < end:
+                seen = wanted.setdefault((trigger, n), [0, 0, None, timedelta(0)])
+                seen[t < start] += 1
+                seen[3] = max(seen[3], end - start)
+                if t >= start:
+                    seen[2] = min(seen[2] or t, t)
+    got = triggers.signature_counts(spark.createDataFrame(asked, "trigger_id int, owner_group string, source_id string, window_from timestamp_ntz, window_to timestamp_ntz"), events, ALL).collect()
+    told = {(r["trigger_id"], r["signature_hash"]): (r["window_count"], r["baseline_count"], r["first_seen_at"], round(r["expected"], 9)) for r in got}
+    assert len(told) == len(got)
+    assert told == {k: (w, b, first, round(b * (span / timedelta(days=7)), 9)) for k, (w, b, first, span) in wanted.items() if w}
+
+
 def test_store_fills_what_is_missing_and_refuses_foreign_changes(spark, tmp_path):
     events = spark.createDataFrame([("1", T0, None)], "event_id string, ts timestamp_ntz, host string")
     store.append_events(events, f"{tmp_path}/e")
