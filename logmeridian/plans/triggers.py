@@ -170,9 +170,11 @@ def signature_counts(triggers: DataFrame, events: DataFrame, scope: AccessScope,
 def trigger_findings(triggers: DataFrame, events: DataFrame, scope: AccessScope, min_z: float = 3.0, min_count: int = 5) -> DataFrame:
     """``trigger_id, provider_id, signature_text, ts, weight``: signatures first seen in a trigger's window, and those far above their baseline's rate."""
     counts = signature_counts(triggers, events, scope)
-    new = counts.filter("baseline_count = 0").select("trigger_id", F.lit("logs.first-seen").alias("provider_id"), "signature_text", F.col("first_seen_at").alias("ts"), F.col("window_count").cast("double").alias("weight"))
-    high = counts.filter((F.col("window_count") >= min_count) & (F.col("expected") > 0) & (F.col("z_score") >= min_z))
-    return new.unionByName(high.select("trigger_id", F.lit("logs.volume").alias("provider_id"), "signature_text", F.col("first_seen_at").alias("ts"), F.col("z_score").alias("weight")))
+    high = (F.col("window_count") >= min_count) & (F.col("expected") > 0) & (F.col("z_score") >= min_z)
+    # A count is one or the other, for what has no baseline has no rate: one pass tells both.
+    provider = F.when(F.col("baseline_count") == 0, "logs.first-seen").when(high, "logs.volume")
+    weight = F.when(F.col("baseline_count") == 0, F.col("window_count").cast("double")).otherwise(F.col("z_score"))
+    return counts.select("trigger_id", provider.alias("provider_id"), "signature_text", F.col("first_seen_at").alias("ts"), weight.alias("weight")).filter("provider_id IS NOT NULL")
 
 
 def trigger_slices(triggers: DataFrame, findings: DataFrame) -> DataFrame:

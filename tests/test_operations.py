@@ -402,6 +402,13 @@ def test_trigger_counts_equal_brute_force_in_tiles_of_any_size(spark, monkeypatc
     assert told == {k: (w, b, first, round(b * (span / timedelta(days=7)), 9)) for k, (w, b, first, span) in wanted.items() if w}
 
 
+def test_trigger_findings_pass_over_the_counts_once(spark):
+    events = spark.createDataFrame([("s", "g", T0, 7, "old")], "source_id string, owner_group string, ts timestamp_ntz, signature_hash long, signature_text string")
+    asked = spark.createDataFrame([(1, "g", "s", T0, T0 + timedelta(hours=1))], "trigger_id int, owner_group string, source_id string, window_from timestamp_ntz, window_to timestamp_ntz")
+    plans = [f(asked, events, ALL)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") for f in (triggers.signature_counts, triggers.trigger_findings)]
+    assert plans[0] == plans[1] > 0
+
+
 def test_store_fills_what_is_missing_and_refuses_foreign_changes(spark, tmp_path):
     events = spark.createDataFrame([("1", T0, None)], "event_id string, ts timestamp_ntz, host string")
     store.append_events(events, f"{tmp_path}/e")
