@@ -31,62 +31,84 @@ def without_repeats(stream: DataFrame, key: Sequence[str], late: str = "1 hour",
 
 _SILENCE = "source_id string, owner_group string, never_seen boolean, last_at timestamp, fired_at timestamp"
 _NOTHING = -(2**63)
+SOURCE_GROUPS = 1024
+"""Groups of sources with a state each; the number stays for the life of a stream."""
 
 
 def _watch(silence: int):
-    """Of one source: each stretch of ``silence`` microseconds without an arrival, told once it is over or time has passed it.
+    """Of the sources of one group: each stretch of ``silence`` microseconds without an arrival, told once it is over or time has passed it.
 
-    The state is the owner group (null before the source is known), the creation, the last arrival, and whether its silence
-    was told.
+    The state holds, for each source, its name, the owner group (null before the source is known), the creation, the last arrival,
+    and whether its silence was told. All sources of a group are handled at once, for a call of Python costs more than a source does.
     """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner, created, last, told = state.get if state.exists else (None, _NOTHING, _NOTHING, False)
-        found: list[tuple[bool, int]] = []
-        if not state.hasTimedOut:
+        names, owners, created, last, told = (list(x) for x in state.get) if state.exists else ([], [], [], [], [])
+        found: list[pd.DataFrame] = []
+        known, came = [], []
+        for rows in () if state.hasTimedOut else chunks:
+            listed = rows["owner_group"].notna()
+            known.append(_newest(rows.loc[listed, ["source_id", "owner_group", "enabled", "micros"]]))
+            at = rows.loc[~listed, ["source_id", "micros"]]
             # Two arrivals of one interval of that length leave no silence between them but at its ends.
-            first_of: dict[int, int] = {}
-            last_of: dict[int, int] = {}
-            for rows in chunks:
-                known = rows[rows["owner_group"].notna()]
-                if len(known):
-                    newest = known.sort_values(["updated", "owner_group"]).iloc[-1]
-                    owner, created = (newest["owner_group"] if newest["enabled"] else None), int(newest["micros"])
-                at = rows.loc[rows["owner_group"].isna(), "micros"].to_numpy(np.int64)
-                for part, values in pd.Series(at).groupby(at // silence):
-                    first_of[part] = min(first_of.get(part, values.min()), values.min())
-                    last_of[part] = max(last_of.get(part, values.max()), values.max())
-            for at in sorted({int(x) for x in (*first_of.values(), *last_of.values())}):
-                since = last if last != _NOTHING else created
-                if since != _NOTHING and at - since >= silence and not told:
-                    found.append((last == _NOTHING, since))
-                if at > last:
-                    last, told = at, False
-        since = last if last != _NOTHING else created
-        passed = state.getCurrentWatermarkMs() * 1000
-        if since != _NOTHING and not told and owner is not None and (state.hasTimedOut or since + silence < passed):
-            found.append((last == _NOTHING, since))
-            told = True
-        state.update((owner, created, last, told))
-        if since != _NOTHING and not told and owner is not None:
-            state.setTimeoutTimestamp(max((since + silence) // 1000, state.getCurrentWatermarkMs() + 1))
-        if found and owner is not None:
-            never, since_ = zip(*found, strict=True)
-            since_ = np.array(since_, np.int64)
+            ends = at.groupby(["source_id", at["micros"] // silence], sort=False)["micros"].agg(["min", "max"])
+            came.append(pd.DataFrame({"source_id": [*ends.index.get_level_values(0)] * 2, "at": np.concatenate([ends["min"], ends["max"]]).astype(np.int64)}))
+        if known:
+            seen = pd.Index(names, dtype=object)
+            seen = seen.append(pd.Index(pd.unique(np.concatenate([x["source_id"].to_numpy(object) for x in (*known, *came)]))).difference(seen, sort=False))
+            fresh = len(seen) - len(names)
+            names, owners = list(seen), owners + [None] * fresh
+            created, last, told = created + [_NOTHING] * fresh, last + [_NOTHING] * fresh, told + [False] * fresh
+        owner, created, last, told = np.array(owners, object), np.array(created, np.int64), np.array(last, np.int64), np.array(told, bool)
+        if known:
+            newest = _newest(pd.concat(known))
+            at = seen.get_indexer(newest["source_id"])
+            owner[at] = np.where(newest["enabled"].to_numpy(bool), newest["owner_group"].to_numpy(object), None)
+            created[at] = newest["micros"].to_numpy(np.int64)
+            points = pd.concat(came).drop_duplicates().sort_values(["source_id", "at"])
+            who, at = seen.get_indexer(points["source_id"]), points["at"].to_numpy(np.int64)
+            later = at > last[who]
+            who, at = who[later], at[later]
+            first = np.append(True, who[1:] != who[:-1])[: len(who)]
+            never = first & (last[who] == _NOTHING)
+            since = np.where(never, created[who], np.where(first, last[who], np.roll(at, 1)))
+            over = (since != _NOTHING) & ~(first & told[who])
+            over[over] = at[over] - since[over] >= silence
+            found.append(pd.DataFrame({"who": who[over], "never": never[over], "since": since[over]}))
+            final = np.append(first[1:], True)[: len(who)]
+            last[who[final]], told[who[final]] = at[final], False
+        never = last == _NOTHING
+        since = np.where(never, created, last)
+        open_ = (since != _NOTHING) & ~told & pd.notna(owner)
+        due = np.flatnonzero(open_ & (since + silence < state.getCurrentWatermarkMs() * 1000))
+        found.append(pd.DataFrame({"who": due, "never": never[due], "since": since[due]}))
+        told[due] = True
+        state.update((names, owner.tolist(), created.tolist(), last.tolist(), told.tolist()))
+        left = since[open_ & ~told]
+        if len(left):
+            state.setTimeoutTimestamp(max((int(left.min()) + silence) // 1000, state.getCurrentWatermarkMs() + 1))
+        out = pd.concat(found)
+        out = out[pd.notna(owner[out["who"].to_numpy(np.int64)])]
+        if len(out):
+            who, never, since = out["who"].to_numpy(np.int64), out["never"].to_numpy(bool), out["since"].to_numpy(np.int64)
             yield pd.DataFrame({
-                "source_id": key[0], "owner_group": owner, "never_seen": never, "last_at": pd.to_datetime(np.where(never, pd.NaT.value, since_ * 1000), utc=True).tz_localize(None),
-                "fired_at": pd.to_datetime((since_ + silence) * 1000),
+                "source_id": np.array(names, object)[who], "owner_group": owner[who], "never_seen": never, "last_at": pd.to_datetime(np.where(never, pd.NaT.value, since * 1000), utc=True).tz_localize(None),
+                "fired_at": pd.to_datetime((since + silence) * 1000),
             })
 
     return run
 
 
+def _newest(listed: pd.DataFrame) -> pd.DataFrame:
+    return listed.sort_values(["micros", "owner_group", "enabled"]).drop_duplicates("source_id", keep="last")
+
+
 def silences(arrivals: DataFrame, inventory: DataFrame, silence_seconds: int, late: str = "1 hour", now: Column | None = None) -> DataFrame:
     """``source_id, owner_group, never_seen, last_at, fired_at``: every silence of an enabled source, also while nothing arrives from it.
 
     ``arrivals`` (``source_id, ingested_at``) and ``inventory`` (``source_id, owner_group, enabled, created_at``) are streams; the inventory's
     newest row of a source counts. A source that never sent anything is silent since its creation. A silence is told when the
-    next arrival ends it, or by a timer when the newest ingest time is ``late`` past it; the state of a source is four values. An
+    next arrival ends it, or by a timer when the newest ingest time is ``late`` past it; the state of a source is five values, kept with those of its group. An
     ingest clock that is ahead of ``now`` (default: the time of processing) counts as now, so it silences no other source.
     Unlisted and disabled sources, null sources and null times are left out.
     """
@@ -95,9 +117,9 @@ def silences(arrivals: DataFrame, inventory: DataFrame, silence_seconds: int, la
     came = arrivals.select("source_id", none.cast("string").alias("owner_group"), F.lit(True).alias("enabled"), F.least(F.col("ingested_at").cast("timestamp"), clock).alias("at"))
     listed = inventory.select("source_id", F.coalesce("owner_group", F.lit("")).alias("owner_group"), F.coalesce("enabled", F.lit(False)).alias("enabled"), F.least(F.col("created_at").cast("timestamp"), clock).alias("at"))
     both = came.unionByName(listed).filter("source_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
-    rows = both.withColumn("micros", F.unix_micros("at")).withColumn("updated", F.col("micros"))
-    return rows.groupBy("source_id").applyInPandasWithState(
-        _watch(silence_seconds * 1_000_000), _SILENCE, "owner_group string, created long, last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    rows = both.withColumn("micros", F.unix_micros("at")).withColumn("part", F.pmod(F.xxhash64("source_id"), F.lit(SOURCE_GROUPS)).cast("int"))
+    return rows.groupBy("part").applyInPandasWithState(
+        _watch(silence_seconds * 1_000_000), _SILENCE, "names array<string>, owner_groups array<string>, created array<long>, last array<long>, told array<boolean>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -355,6 +355,33 @@ def test_silence_fires_without_an_arriving_row(spark, tmp_path):
     assert len(found) == len(got)
 
 
+def test_sources_of_one_group_keep_their_own_silences(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "SOURCE_GROUPS", 1)
+    at = lambda minute: minutes(minute)[0]
+    rng = random.Random(2)
+    batches = [[(f"s{i}", at(rng.randint(0, 80))) for i in range(30) for _ in range(3)], [(f"s{i}", at(rng.randint(60, 600))) for i in range(10, 40) for _ in range(4)]]
+    arrivals = stream_of(spark, tmp_path / "a", "source_id string, ingested_at timestamp_ntz", [*batches, [("s0", at(1000)), ("late", at(5))]])
+    listed = stream_of(spark, tmp_path / "i", "source_id string, owner_group string, enabled boolean, created_at timestamp_ntz", [[(f"s{i}", "g", i % 7 != 0, at(0)) for i in range(50)]])
+    found = live.drain(live.silences(arrivals, listed, 3600, late="10 minutes", now=F.lit(at(2000))), "silences").collect()
+    got = sorted((r["source_id"], r["never_seen"], r["fired_at"]) for r in found)
+    wanted, last = [], {f"s{i}": (at(0), True, False) for i in range(50) if i % 7}
+    for rows in [*batches, []]:
+        for source, when in sorted(rows, key=lambda r: r[1]):
+            if source in last:
+                since, never, told = last[source]
+                if when - since >= timedelta(hours=1) and not told:
+                    wanted.append((source, never, since + timedelta(hours=1)))
+                if never or when > since:
+                    last[source] = (when, False, False)
+        # Time passes each batch; what is due by then and was not told before is told once.
+        newest = max((r[1] for r in rows), default=at(1000)) - timedelta(minutes=10)
+        for source, (since, never, told) in last.items():
+            if not told and since + timedelta(hours=1) < newest:
+                wanted.append((source, never, since + timedelta(hours=1)))
+                last[source] = (since, never, True)
+    assert got == sorted(wanted)
+
+
 def test_repeats_over_batches_of_a_stream(spark, tmp_path):
     rows = [[("1", "r", T0), ("2", "r", minutes(8)[0])], [("3", "r", minutes(16)[0]), ("4", "x", minutes(16)[0]), ("5", None, T0)], [("6", "r", minutes(25)[0]), ("7", "r", minutes(26)[0])]]
     stream = stream_of(spark, tmp_path / "s", "id string, rule_id string, fired_at timestamp_ntz", rows)
