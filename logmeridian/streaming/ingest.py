@@ -38,8 +38,12 @@ def pipeline(records: DataFrame, parsers: Sequence[parse.Parser], inventory: Dat
 
 
 def ingest(records: DataFrame, parsers: Sequence[parse.Parser], path: str, checkpoint: str, inventory: DataFrame | None = None, **trigger) -> StreamingQuery:
-    """Append the events of arriving records to the table at ``path``, each once, whatever is lost and repeated on the way."""
-    return store.append_stream(pipeline(records, parsers, inventory), path, checkpoint, **trigger)
+    """Append the events of arriving records to the table at ``path``, each once, whatever is lost and repeated on the way.
+
+    A batch may come as a file or two, so its records are dealt over all cores before they are parsed.
+    """
+    dealt = records.repartition(records.sparkSession.sparkContext.defaultParallelism, "event_id", "received_at", "source_key")
+    return store.append_stream(pipeline(dealt, parsers, inventory), path, checkpoint, **trigger)
 
 
 def sampled(events: DataFrame, known: DataFrame, percent: int = 1, late: str = "1 day", at: str = "ingested_at") -> DataFrame:

@@ -382,6 +382,22 @@ def test_sources_of_one_group_keep_their_own_silences(spark, tmp_path, monkeypat
     assert got == sorted(wanted)
 
 
+def test_ingest_deals_a_single_file_over_all_cores(spark, tmp_path):
+    from logmeridian.functions.exprs import TEXT_MAP
+    from logmeridian.parsing_queries import PARSERS
+    from logmeridian.streaming import ingest
+
+    rows = spark.range(200).select(
+        F.col("id").cast("string").alias("event_id"), F.lit(T0).alias("received_at"), F.lit(T0).alias("observed_at"), F.lit("key").alias("source_key"), F.lit("s").alias("source_id"),
+        F.lit("g").alias("owner_group"), F.encode(F.concat(F.lit("noise "), "id"), "UTF-8").alias("body"), F.create_map().cast(TEXT_MAP).alias("given"),
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    ingest.ingest(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), PARSERS, f"{tmp_path}/out", f"{tmp_path}/state", availableNow=True).awaitTermination()
+    out = store.scan_events(spark, f"{tmp_path}/out")
+    assert out.count() == 200
+    assert len(out.inputFiles()) == spark.sparkContext.defaultParallelism
+
+
 def test_repeats_over_batches_of_a_stream(spark, tmp_path):
     rows = [[("1", "r", T0), ("2", "r", minutes(8)[0])], [("3", "r", minutes(16)[0]), ("4", "x", minutes(16)[0]), ("5", None, T0)], [("6", "r", minutes(25)[0]), ("7", "r", minutes(26)[0])]]
     stream = stream_of(spark, tmp_path / "s", "id string, rule_id string, fired_at timestamp_ntz", rows)
