@@ -6,10 +6,9 @@ a written-out "at", numbers grouped or bracketed in other ways. Boosted trees le
 the context which ones look like personal data. Their labels do not come from the form of the base rules: confirmed
 spans, rewritten in place into the wider forms, are positive; the same spans made false (a failing checksum, a part out of
 range, a date, a sum, a sentence) and proposals that such a check refutes are negative; all other proposals have no label.
-On a held-out half of the texts of the sample each kind gets the lowest
+On a held-out half of the texts each kind gets the lowest
 threshold at which the share of confirmed proposals reaches ``PRECISION``; proposals above it, apart
-from base spans, are added best first. The sample for fitting is bounded by ``SAMPLE``, and ordered by a
-hash; proposing, scoring and selecting cover every whole text.
+from base spans, are added best first. Fitting, calibrating, proposing, scoring and selecting cover every whole text.
 """
 
 from __future__ import annotations
@@ -29,7 +28,9 @@ from logmeridian.llm import words as W
 from logmeridian.llm.storage import arrow_ready, stash, table
 
 SAMPLE = 20_000
-"""Examples used for fitting and calibration."""
+"""Examples that the driver fits by itself; of more, Spark jobs count the histograms of all of them."""
+GRID = 1 << 16
+"""Steps between 0 and 1 of the scores at which many examples are calibrated."""
 PRECISION = 0.98
 LEAST_CALIBRATION = 50
 """A kind with fewer held-out examples above a threshold than this adds none."""
@@ -211,7 +212,7 @@ def _examples(text: str, mark: bytes) -> Iterator[tuple[str, bool, list[float]]]
 
 
 def fit_selector(texts: DataFrame) -> tuple[boosting.Boosted, list[float]]:
-    """The trees and a threshold for each kind, from a bounded, hash-ordered sample of examples."""
+    """The trees and a threshold for each kind, from the examples of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,12 +226,9 @@ def fit_selector(texts: DataFrame) -> tuple[boosting.Boosted, list[float]]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(labels, pa.bool_()), pa.array(rows, pa.list_(pa.float64()))], names=["key", "label", "x"])
 
     examples = stash(texts.select("text").mapInArrow(run, "key string, label boolean, x array<double>"), "examples")
-    # Keys are hashes: of many examples only those below about twice the sample's share of all keys go to the driver.
-    share = 2 * SAMPLE / max(1, examples.count())
-    likely = examples.where(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") < int(share * 2**32)) if share < 1 else examples
-    rows = likely.orderBy("key", "label", "x").limit(SAMPLE).collect()
-    if share < 1 and len(rows) < SAMPLE:
-        rows = examples.orderBy("key", "label", "x").limit(SAMPLE).collect()
+    if examples.count() > SAMPLE:
+        return _fit_spread(examples)
+    rows = examples.orderBy("key", "label", "x").collect()
     if not rows:
         return boosting.Boosted([], [], 0.0), [2.0] * len(KINDS)
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
@@ -240,12 +238,33 @@ def fit_selector(texts: DataFrame) -> tuple[boosting.Boosted, list[float]]:
     return model, [_threshold(scores[x[held][:, 0] == k], y[held][x[held][:, 0] == k]) for k in range(len(KINDS))]
 
 
-def _threshold(scores: np.ndarray, confirmed: np.ndarray) -> float:
-    """Lowest score at which the proposals from it upwards are confirmed often enough; 2 if there is none."""
+def _fit_spread(examples: DataFrame) -> tuple[boosting.Boosted, list[float]]:
+    """Of any number of examples: histograms and calibration are counted by Spark jobs; scores are rounded down to a grid."""
+    held = F.substring("key", -1, 1).isin(*"13579bdf")
+    learned = examples.filter(~held)
+    model = boosting.fit(boosting.Spread(learned, "x"), boosting.Spread(learned, "label"))
+    if not model.cuts:
+        return model, [2.0] * len(KINDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int64)), pa.array(np.floor(model.score(x) * GRID).astype(np.int64)), batch.column(1)], names=["kind", "at", "label"])
+
+    scored = examples.filter(held).select("x", "label").mapInArrow(run, "kind long, at long, label boolean")
+    found = scored.groupBy("kind", "at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("confirmed")).collect()  # at most GRID + 1 a kind
+    of = lambda k, c: np.array([r[c] for r in found if r["kind"] == k], float)
+    return model, [_threshold(of(k, "at") / GRID, of(k, "confirmed"), of(k, "n")) for k in range(len(KINDS))]
+
+
+def _threshold(scores: np.ndarray, confirmed: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """Lowest score at which the proposals from it upwards are confirmed often enough; 2 if there is none. ``counts`` of proposals stand behind each score."""
     order = np.argsort(-scores, kind="stable")
-    share = np.cumsum(confirmed[order]) / np.arange(1, len(order) + 1)
+    number = np.cumsum(np.ones(len(order)) if counts is None else counts[order])
+    share = np.cumsum(confirmed[order]) / number
     last_of_tie = np.append(np.diff(scores[order]) != 0, True)
-    able = np.flatnonzero((share >= PRECISION) & last_of_tie & (np.arange(len(order)) + 1 >= LEAST_CALIBRATION))
+    able = np.flatnonzero((share >= PRECISION) & last_of_tie[: len(order)] & (number >= LEAST_CALIBRATION))
     return float(scores[order][able[-1]]) if len(able) else 2.0
 
 

@@ -128,6 +128,19 @@ def test_boosting_learns_and_does_not_depend_on_row_order():
     assert np.array_equal(model.score(x), again.score(x))
 
 
+def test_trees_of_a_table_are_those_of_its_rows(spark, monkeypatch):
+    """All rows count: a table's trees agree with those of the same rows in arrays, and tell them apart."""
+    monkeypatch.setattr(pii.boosting, "ROUNDS", 12)
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 40, size=(3000, 3)).astype(float)
+    y = ((x[:, 0] > 20) ^ (x[:, 2] > 15)).astype(float)
+    table = spark.createDataFrame([(r.tolist(), bool(v)) for r, v in zip(x, y, strict=True)], "x array<double>, label boolean")
+    local, spread = pii.boosting.fit(x, y), pii.boosting.fit(pii.boosting.Spread(table, "x"), pii.boosting.Spread(table, "label"))
+    assert all(np.allclose(a, b) for a, b in zip(local.cuts, spread.cuts, strict=True))
+    assert np.abs(local.score(x) - spread.score(x)).max() < 0.02
+    assert ((spread.score(x) > 0.5) == (y == 1)).mean() > 0.95
+
+
 def test_quality_statistics_and_verdicts(spark):
     rng = random.Random(5)
     good = [" ".join(rng.choice(["the", "and", f"n{rng.randint(0, 40)}", f"m{rng.randint(0, 40)}"]) for _ in range(120)) for _ in range(30)]
